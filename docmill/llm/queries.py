@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docmill.llm.decontamination import op10_decontamination
 from docmill.llm.line_dedup import OP2_SQL, op2_line_dedup
+from docmill.llm.packing import op4_packing
+from docmill.llm.quality_classifier import op8_quality_classifier
 from docmill.llm.sharding import op3_sharding
 from docmill.llm.simhash import op1_simhash
 
@@ -14,5 +17,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_line_dedup": op2_line_dedup,
     "op3_sharding": op3_sharding,
+    "op4_packing": op4_packing,
+    "op8_quality_classifier": op8_quality_classifier,
+    "op10_decontamination": op10_decontamination,
 }
 ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL}
