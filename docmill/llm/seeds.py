@@ -1,7 +1,9 @@
-"""Seeds of repeats: which of them occur again anywhere in the table, as a filter of bounded size."""
+"""Seeds of repeats: which of them occur again anywhere in the table, as a filter of bounded size; and known whole copies."""
 
 from __future__ import annotations
 
+import hashlib
+
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -31,30 +33,64 @@ def chosen(grams: np.ndarray, seeds: np.ndarray, inside: np.ndarray, width: int)
 @dataclass
 class Loaded:
     bits: np.ndarray
+    often: np.ndarray
     log2: int
 
-    def has(self, seeds: np.ndarray) -> np.ndarray:
+    def _in(self, bits: np.ndarray, seeds: np.ndarray) -> np.ndarray:
         slot = seeds >> np.uint64(64 - self.log2)
-        return (self.bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        return (bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+    def has(self, seeds: np.ndarray) -> np.ndarray:
+        return self._in(self.bits, seeds)
+
+    def hot(self, seeds: np.ndarray) -> np.ndarray:
+        return self._in(self.often, seeds)
 
 
 @dataclass
 class SeedFilter:
-    """A broadcast bit for each of 2**log2 ranges of seeds: set if a seed in it occurs twice or more."""
+    """A broadcast bit for each of 2**log2 ranges of seeds: set if a seed in it occurs twice or more; and one for very often."""
 
     shared: Broadcast
     log2: int
 
     def load(self) -> Loaded:
-        return Loaded(np.frombuffer(self.shared.value, np.uint8), self.log2)
+        bits, often = (np.frombuffer(x, np.uint8) for x in self.shared.value)
+        return Loaded(bits, often, self.log2)
+
+
+#: From so many places on a seed counts as hot: over so many in one block, or in half as many blocks.
+HOT = 64
+
+
+def known_copies(docs: DataFrame, least_bytes: int, most: int = 1 << 17) -> Broadcast:
+    """MD5 of a text -> the smallest doc_id that has it, of the `most` texts whose copies hold the most bytes.
+
+    A copy under a larger doc_id repeats that document throughout, so that it need not be searched; a text that isn't among
+    these is searched like any other, with the same result. The map takes 40 bytes a text, whatever the input.
+    """
+    named = docs.select("doc_id", F.octet_length("text").alias("n"), F.unhex(F.md5("text")).alias("md5")).where(F.col("n") >= least_bytes)
+    groups = named.groupBy("md5").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n")).where("copies > 1")
+    rows = groups.orderBy(F.desc(F.col("copies") * F.col("n")), "md5").limit(most).select("md5", "first").collect()
+    return docs.sparkSession.sparkContext.broadcast({bytes(r.md5): r.first for r in rows})
+
+
+def copies_in(copies: dict[bytes, int], doc_ids: np.ndarray, data: np.ndarray, at: np.ndarray, least_bytes: int) -> np.ndarray:
+    """Which rows of a block are copies of a document with a smaller doc_id."""
+    if not copies:
+        return np.zeros(len(doc_ids), bool)
+    text = memoryview(data)
+    long = np.diff(at) >= least_bytes
+    return np.array([bool(l) and copies.get(hashlib.md5(text[a:b]).digest(), i) < i for l, a, b, i in zip(long, at[:-1].tolist(), at[1:].tolist(), doc_ids.tolist())], bool)
 
 
-def repeated_seeds(docs: DataFrame, of_block: Callable[[np.ndarray, np.ndarray], np.ndarray], most_bits: int, block: int) -> SeedFilter:
+def repeated_seeds(docs: DataFrame, of_block: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], np.ndarray], most_bits: int, block: int) -> SeedFilter:
     """Finds the seeds that occur twice or more in the texts of docs.
 
-    Each task sends the distinct seeds of its blocks, those that occur twice in one block two times, six bytes each and bucketed
-    by their upper bits; a reducer sorts a bucket's seeds and returns a bit map of the repeated ones. The map has 2**most_bits
-    bits: its size is bounded by that parameter, not by the data. A bit stands for a range of seeds, so the filter may let seeds
+    of_block: the seeds of a block (rows, bytes, offsets), one for each place. Each task sends the distinct seeds of its blocks,
+    those that occur twice in one block two times, six bytes each and bucketed by their upper bits; a reducer sorts a bucket's
+    seeds and returns a bit map of the repeated ones, and one of the hot ones. The maps have 2**most_bits bits: their size is
+    bounded by that parameter, not by the data. A bit stands for a range of seeds, so the filter may let seeds
     through that occur once; it never stops one that occurs twice.
     """
     log2 = most_bits
@@ -67,15 +103,15 @@ def repeated_seeds(docs: DataFrame, of_block: Callable[[np.ndarray, np.ndarray],
         def out() -> pa.RecordBatch:
             seeds, counts = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
-            seeds = np.repeat(seeds, np.minimum(counts, 2))
+            seeds = np.repeat(seeds, np.where(counts > HOT, HOT, np.minimum(counts, 2)))
             bucket = (seeds >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
             six = ((seeds >> np.uint64(low)) & np.uint64((1 << 48) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
             at = np.searchsorted(bucket, np.arange((1 << BUCKET_BITS) + 1))
             full = [k for k in range(1 << BUCKET_BITS) if at[k] < at[k + 1]]
             return pa.record_batch([pa.array(full, pa.int32()), pa.array([six[6 * at[k] : 6 * at[k + 1]] for k in full], pa.binary())], names=["bucket", "seeds"])
 
-        for _, data, at in text_blocks(batches, block):
-            held.append(of_block(data, at))
+        for rows, data, at in text_blocks(batches, block):
+            held.append(of_block(rows, data, at))
             if sum(map(len, held)) >= 1 << 21:
                 yield out()
         if held:
@@ -89,10 +125,13 @@ def repeated_seeds(docs: DataFrame, of_block: Callable[[np.ndarray, np.ndarray],
             eight = np.zeros((len(six), 8), np.uint8)
             eight[:, :6] = six
             seeds = np.sort(eight.view("<u8").ravel())
-            again = seeds[1:][seeds[1:] == seeds[:-1]]
-            bits = np.zeros(width * 8, np.uint8)
-            bits[(again >> np.uint64(48 - (log2 - BUCKET_BITS))).astype(np.int64)] = 1
-            return pa.record_batch([pa.array([bucket], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["bucket", "bits"])
+            maps = []
+            for n in (2, HOT):
+                bits = np.zeros(width * 8, np.uint8)
+                again = seeds[n - 1 :][seeds[n - 1 :] == seeds[: len(seeds) - n + 1]]
+                bits[(again >> np.uint64(48 - (log2 - BUCKET_BITS))).astype(np.int64)] = 1
+                maps.append(pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary()))
+            return pa.record_batch([pa.array([bucket], pa.int32()), *maps], names=["bucket", "bits", "often"])
 
         for batch in batches:
             for bucket, seeds in zip(batch.column("bucket").to_pylist(), batch.column("seeds").to_pylist()):
@@ -103,8 +142,8 @@ def repeated_seeds(docs: DataFrame, of_block: Callable[[np.ndarray, np.ndarray],
             yield out(next(iter(held)))
 
     rows = docs.mapInArrow(sent, "bucket int, seeds binary").repartition(F.col("bucket")).sortWithinPartitions("bucket")
-    maps = rows.mapInArrow(repeated, "bucket int, bits binary").collect()  # 2**most_bits bits at most
-    whole = np.zeros((1 << BUCKET_BITS, width), np.uint8)
+    maps = rows.mapInArrow(repeated, "bucket int, bits binary, often binary").collect()  # twice 2**most_bits bits at most
+    whole = np.zeros((2, 1 << BUCKET_BITS, width), np.uint8)
     for r in maps:
-        whole[r.bucket] = np.frombuffer(r.bits, np.uint8)
-    return SeedFilter(docs.sparkSession.sparkContext.broadcast(whole.tobytes()), log2)
+        whole[0, r.bucket], whole[1, r.bucket] = np.frombuffer(r.bits, np.uint8), np.frombuffer(r.often, np.uint8)
+    return SeedFilter(docs.sparkSession.sparkContext.broadcast((whole[0].tobytes(), whole[1].tobytes())), log2)

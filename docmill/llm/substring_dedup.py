@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docmill.llm.common import materialize, narrowed, null_if_lowest, text_blocks, word_spans
+from docmill.llm.common import narrowed, null_if_lowest, text_blocks, word_spans
 from docmill.llm.hashing import Spans, sliding_min
-from docmill.llm.seeds import SeedFilter, chosen, repeated_seeds
+from docmill.llm.seeds import SeedFilter, chosen, copies_in, known_copies, repeated_seeds
 
 #: Text bytes that a task works on at a time; its arrays take about 60 times that.
 BLOCK = 1 << 21
@@ -50,23 +50,41 @@ class Windows:
         self.chosen = chosen(grams, seeds, inside, width)
 
 
-def _seeds(docs: DataFrame, window: int, seed_words: int, filter_bits: int) -> SeedFilter:
-    def of_block(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-        return Windows(data, at, window, seed_words).chosen
+def _without(copy: np.ndarray, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A block's bytes and offsets with the rows in `copy` emptied."""
+    if not copy.any():
+        return data, at
+    sizes = np.diff(at)
+    return data[np.repeat(~copy, sizes)], np.concatenate(([0], np.cumsum(np.where(copy, 0, sizes))))
+
+
+def _ids(rows: pa.RecordBatch) -> np.ndarray:
+    return rows.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _seeds(docs: DataFrame, window: int, seed_words: int, filter_bits: int, copies: Broadcast) -> SeedFilter:
+    def of_block(rows: pa.RecordBatch, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        copy = copies_in(copies.value, _ids(rows), data, at, 2 * window - 1)
+        return Windows(*_without(copy, data, at), window, seed_words).chosen
 
     return repeated_seeds(docs, of_block, filter_bits, BLOCK)
 
 
 def repeated_windows(docs: DataFrame, window: int, seed_words: int, filter_bits: int) -> DataFrame:
     """(doc_id, start, n): runs of windows whose words also start earlier."""
-    seeds = _seeds(docs, window, seed_words, filter_bits)
+    copies = known_copies(docs, 2 * window - 1)
+    seeds = _seeds(docs, window, seed_words, filter_bits, copies)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = seeds.load()
         for rows, data, at in text_blocks(batches, BLOCK):
-            w = Windows(data, at, window, seed_words)
+            ids = _ids(rows)
+            copy = copies_in(copies.value, ids, data, at, 2 * window - 1)
+            if copy.any():  # a copy's windows are repeats, all of them
+                n = np.array([len(data[a:b].tobytes().split()) for a, b in zip(at[:-1][copy], at[1:][copy])]) - window + 1
+                yield _batch(np.zeros(int((n > 0).sum()), np.int64), ids[copy][n > 0], np.zeros(int((n > 0).sum()), np.int64), n[n > 0].astype(np.int32))
+            w = Windows(*_without(copy, data, at), window, seed_words)
             keep = known.has(w.seed)
-            ids = rows.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
             doc, start, h = ids[w.row[keep]], w.start[keep], w.hash[keep]
             if not len(doc):
                 continue
@@ -110,6 +128,7 @@ def drop_repeated_words(docs: DataFrame, window: int = 20, seed_words: int = 5,
     doc_id is the smallest. Rows that repeat a doc_id are copies of one document: they lose the same words, and neither counts as
     the earlier.
 
+    0. Whole copies of a text under a larger doc_id are repeats throughout; those that weigh most are known beforehand.
     1. Seeds: in every window, the least hash of its seed_words-word sequences. Seeds found once cannot stand for a repeat.
        Those found again go into a filter of 2**filter_bits bits at most, so that what is broadcast is bounded; where it fills
        up, more windows are compared below, with the same result.
