@@ -128,7 +128,7 @@ def repeated_seeds(docs: DataFrame, of_block: Callable[[pa.RecordBatch, np.ndarr
             maps = []
             for n in (2, HOT):
                 bits = np.zeros(width * 8, np.uint8)
-                again = seeds[n - 1 :][seeds[n - 1 :] == seeds[: len(seeds) - n + 1]]
+                again = seeds[n - 1 :][seeds[n - 1 :] == seeds[: max(0, len(seeds) - n + 1)]]
                 bits[(again >> np.uint64(48 - (log2 - BUCKET_BITS))).astype(np.int64)] = 1
                 maps.append(pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary()))
             return pa.record_batch([pa.array([bucket], pa.int32()), *maps], names=["bucket", "bits", "often"])
