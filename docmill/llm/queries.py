@@ -13,6 +13,7 @@ from docmill.llm.quality_classifier import op8_quality_classifier
 from docmill.llm.sharding import op3_sharding
 from docmill.llm.simhash import op1_simhash
 from docmill.llm.substring_dedup import OP6_SQL, op6_substring_dedup
+from docmill.llm.suffix_array import OP7_SQL, op7_suffix_array
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
@@ -20,7 +21,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
     "op4_packing": op4_packing,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_suffix_array": op7_suffix_array,
     "op8_quality_classifier": op8_quality_classifier,
     "op10_decontamination": op10_decontamination,
 }
-ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op6_substring_dedup": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op6_substring_dedup": OP6_SQL, "op7_suffix_array": OP7_SQL}
