@@ -54,7 +54,7 @@ def test_every_id_once(spark):
 
 def test_ids_by_words_are_the_tokenizers():
     ids = Ids(public_tokenizer())
-    texts = ["It's ONE two three\x85 four", "a\x1d!b", "é ́x", "<|startoftext|>a b<|endoftext|>", "", "İ ſ K", "日本 語"]
+    texts = ["Straße,!! ÀÉ... ÿx a.b c,'s d<|endoftext|> x' <|startoftext|> ßÞ ª1 no: (yes) e\u0301t\u00e9\u0301 q<|"] * 2 + ["It's ONE two three\x85 four", "a\x1d!b", "é ́x", "<|startoftext|>a b<|endoftext|>", "", "İ ſ K", "日本 語"]
     assert [np.frombuffer(x, "<u4").tolist() for x in ids.of(texts)] == [encoded(t)[:-1] for t in texts]
 
 
