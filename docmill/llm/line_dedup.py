@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm.common import materialize, narrowed, null_if_lowest, shared_dir
+from docmill.llm.common import id_or_lowest, materialize, null_if_lowest, shared_dir, text_or_empty
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -94,26 +94,27 @@ def frequent_lines(docs: DataFrame, min_docs: int = 10, batches: int = 4, fanout
     return lines.select("doc_id", "hash").join(runs.closed().select("hash"), "hash", "left_semi")
 
 
-def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, batches: int = 4, fanout: int = 4) -> DataFrame:
-    """(doc_id, kept_text, n_lines, n_dropped), a row for each row of docs.
+def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, batches: int = 4, fanout: int = 4, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, kept_text, n_lines, n_dropped) and the columns in carry, a row for each row of docs.
 
     A text is split at \\n; lines whose key (blanks stripped, A-Z lower-cased) has at least one code point and is found in at
     least min_docs documents lose all their lines, the first ones too. A null text is an empty one, which has one empty line;
     empty lines always stay. Null doc_ids are together one document. Rows that repeat a doc_id count as one document and each
     of them is returned. Other columns are not read.
     """
-    docs = narrowed(docs)
+    docs = docs.select(id_or_lowest().alias("doc_id"), text_or_empty().alias("text"), F.struct(F.lit(0).alias("_"), *carry).alias("carried"))
     bad = frequent_lines(docs, min_docs, batches, fanout).groupBy("doc_id").agg(F.collect_set("hash").alias("bad"))
     joined = docs.join(bad, "doc_id", "left").withColumn("lines", F.split("text", "\n", -1))
     keep = F.when(F.col("bad").isNull(), F.col("lines")).otherwise(
         F.filter("lines", lambda x: F.coalesce(~F.array_contains("bad", key_hash(x)), F.lit(True)))
     )
-    kept = joined.select("doc_id", F.size("lines").cast("long").alias("n_lines"), keep.alias("keep"))
+    kept = joined.select("doc_id", F.size("lines").cast("long").alias("n_lines"), keep.alias("keep"), "carried")
     return kept.select(
         null_if_lowest(F.col("doc_id")).alias("doc_id"),
         F.array_join("keep", "\n").alias("kept_text"),
         "n_lines",
         (F.col("n_lines") - F.size("keep")).alias("n_dropped"),
+        *[F.col("carried")[c].alias(c) for c in carry],
     )
 
 

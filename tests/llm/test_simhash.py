@@ -1,10 +1,11 @@
+import random
 import re
 
 import numpy as np
 import xxhash
 
 from docmill.llm import simhash as s
-from tests.llm.helpers import corpus, frame
+from tests.llm.helpers import corpus, frame, words
 
 
 def brute(rows, shingle=3, threshold=2):
@@ -33,7 +34,7 @@ def test_against_brute_force(spark):
     rows = corpus(n=60)
     got = s.near_duplicates(frame(spark, rows)).collect()
     none = lambda x: -1 if x is None else x
-    assert sorted((none(r.doc_id), r.fp % 2**64, none(r.component_id)) for r in got) == brute(rows)
+    assert sorted((none(r.doc_id), r.fp0 % 2**64, none(r.component_id)) for r in got) == brute(rows)
 
 
 def test_empty_table(spark):
@@ -43,11 +44,11 @@ def test_empty_table(spark):
 def test_anchors_cover_every_flip():
     rng = np.random.default_rng(3)
     for t in (1, 2, 3):
-        x = rng.integers(0, 2**63, 40, dtype=np.uint64)
-        flips = np.array([sum(1 << int(b) for b in rng.choice(64, t, replace=False)) for _ in x], np.uint64)
-        y = x ^ flips
-        home = {int(i): int(a) for i, anchor, is_home in s.anchors(x, t) if is_home for i, a in zip(i, anchor)}
-        reach = {(int(i), int(a)) for i, anchor, _ in s.anchors(y, t) for i, a in zip(i, anchor)}
+        x = rng.integers(0, 2**63, (40, 1), dtype=np.uint64)
+        y = x ^ np.array([[sum(1 << int(b) for b in rng.choice(64, t, replace=False))] for _ in x], np.uint64)
+        links = s.Links(3, 1, ((0, 23),), t, t)
+        home = {int(i): int(a) for i, anchor, is_home in s.anchors(x, links) if is_home for i, a in zip(i, anchor)}
+        reach = {(int(i), int(a)) for i, anchor, _ in s.anchors(y, links) for i, a in zip(i, anchor)}
         assert len(home) == len(x) and all((i, a) in reach for i, a in home.items())
 
 
@@ -62,9 +63,24 @@ def test_links_of_chains_and_dense_groups(spark):
     for b in range(0, 60, 2):
         chain.append(chain[-1] ^ (3 << b))
     dense = [int(base ^ 0x5555555555555555) ^ (1 << b) for b in range(40)]
-    fps = spark.createDataFrame([(x - 2**64 if x >= 2**63 else x,) for x in {*chain, *dense}], "fp long")
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    fps = spark.createDataFrame([(signed(x), signed(x)) for x in {*chain, *dense}], "id long, fp0 long")
     from docmill.llm.graph import connected_components
 
-    roots = {r.node: r.root for r in connected_components(s.links(fps, 2)).collect()}
-    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    found = s.link_forest(fps, s.EXACT)
+    assert found.count() < 20 * (len(chain) + len(dense))
+    roots = {r.node: r.root for r in connected_components(found).collect()}
     assert len({roots[signed(x)] for x in chain}) == 1 and len({roots[signed(x)] for x in dense}) == 1
+
+
+def test_similar_texts_meet(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(120):
+        text = words(rng, 400, 100_000).split()
+        rows.append((2 * i, " ".join(text)))
+        for _ in range(6):  # each change touches five of 396 shingles: a similarity of about 0.86
+            text[rng.randrange(400)] = "changed"
+        rows.append((2 * i + 1, " ".join(text)))
+    got = {r.doc_id: r.component_id for r in s.near_duplicates(frame(spark, rows), s.SIMILAR).collect()}
+    assert sum(got[2 * i + 1] == 2 * i for i in range(120)) >= 100 and all(c in (d, d - d % 2) for d, c in got.items())
