@@ -80,11 +80,7 @@ class Items:
         self.of_place = np.concatenate([np.arange(len(h)) for h in hashes])[order] if n else np.zeros(0, np.int64)
         self.slots = np.zeros(1 << SLOT_BITS, np.uint8)
         self.slots[(flat >> np.uint64(64 - SLOT_BITS)).astype(np.int64)] = 1
-        # every match spans at most m - q + 1 + e places; cut into windows of the shortest such span, one of them has its share
-        spans = [m - q + 1 + e for m, e in zip(n, self.budget)]
-        self.window = min(spans, default=1)
-        self.share = min((-(-t // -(-s // self.window)) for t, s in zip(self.needed, spans)), default=1)
-        self.reach = max(spans, default=1)
+        self.reach = max((m - q + 1 + e for m, e in zip(n, self.budget)), default=1)  # places that a match spans at most
 
     def matches(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item_id, edits, start, end) of the best match of each item in the normalised text; ties: the first."""
@@ -93,20 +89,11 @@ class Items:
         if not len(hashes) or not self.items:
             return []
         hit = self.slots[(hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
-        total = np.concatenate(([0], np.cumsum(hit, dtype=np.int64)))
-        w = min(self.window, len(hashes))
-        dense = np.flatnonzero(total[w:] - total[:-w] >= self.share)
-        if not len(dense):
-            return []
-        # the places that a match around a dense window can span
-        cut = np.flatnonzero(np.diff(dense) > 2 * self.reach)
         best: dict[int, tuple[int, int, int]] = {}
-        for a, b in zip(dense[np.concatenate(([0], cut + 1))], dense[np.concatenate((cut, [len(dense) - 1]))]):
-            low, high = max(0, int(a) - self.reach), min(len(hashes), int(b) + w + self.reach)
-            self._in_region(points, hashes, hit, low, high, best)
+        self._in_region(text, points, hashes, hit, 0, len(hashes), best)
         return [(self.items[k][0], *v) for k, v in sorted(best.items())]
 
-    def _in_region(self, points: np.ndarray, hashes: np.ndarray, hit: np.ndarray, low: int, high: int, best: dict) -> None:
+    def _in_region(self, text: str, points: np.ndarray, hashes: np.ndarray, hit: np.ndarray, low: int, high: int, best: dict) -> None:
         """Counts shared q-grams of each item in overlapping bands of diagonals, and aligns the bands that meet the budget."""
         places = low + np.flatnonzero(hit[low:high])
         first = np.searchsorted(self.hashes, hashes[places], side="left")
@@ -114,12 +101,12 @@ class Items:
         if int(many.sum()) > 1 << 21 and high - low > 4 * self.reach:
             # too many pairs at once: the same by halves, which overlap by what a match can span
             mid = (low + high) // 2
-            self._in_region(points, hashes, hit, low, mid + self.reach, best)
-            self._in_region(points, hashes, hit, mid - self.reach, high, best)
+            self._in_region(text, points, hashes, hit, low, mid + self.reach, best)
+            self._in_region(text, points, hashes, hit, mid - self.reach, high, best)
         else:
-            self._bands(points, places, first, many, best)
+            self._bands(text, points, places, first, many, best)
 
-    def _bands(self, points: np.ndarray, places: np.ndarray, first: np.ndarray, many: np.ndarray, best: dict) -> None:
+    def _bands(self, text: str, points: np.ndarray, places: np.ndarray, first: np.ndarray, many: np.ndarray, best: dict) -> None:
         n = int(many.sum())
         if not n:
             return
@@ -132,13 +119,23 @@ class Items:
         band = diagonal // step
         both_item, both_band = np.concatenate([item, item]), np.concatenate([band, band - 1])
         key = both_item * (1 << 40) + both_band + (1 << 39)
-        found, counts = np.unique(key, return_counts=True)
-        which = found >> 40
-        for k, b in zip(which[counts >= needed[which]].tolist(), ((found & ((1 << 40) - 1)) - (1 << 39))[counts >= needed[which]].tolist()):
-            e, (_, _, pattern) = self.budget[k], self.items[k]
+        order = np.argsort(key, kind="stable")
+        first = np.flatnonzero(np.concatenate(([True], np.diff(key[order]) != 0)))
+        last = np.append(first[1:], n * 2)
+        wanted = needed[both_item[order[first]]]
+        for i in np.flatnonzero(last - first >= wanted).tolist():
+            group = order[first[i] : last[i]]
+            if len(np.unique(self.of_place[entry[group % n]])) < wanted[i]:  # the same few q-grams again and again
+                continue
+            k, b = int(both_item[group[0]]), int(both_band[group[0]])
+            e, (_, whole, pattern) = self.budget[k], self.items[k]
             start = max(0, b * (e + 1) - e)
             shift = max(0, (b + 2) * (e + 1) - 1 + e - start)
-            got = best_alignment(pattern, points[start : start + len(pattern) + shift + e], e, shift)
+            end = start + len(pattern) + shift + e
+            if (found := text.find(whole, start, end)) >= 0:
+                got = 0, found - start, found - start + len(pattern)
+            else:
+                got = best_alignment(pattern, points[start:end], e, shift)
             if got is not None:
                 new = (got[0], start + got[1], start + got[2])
                 best[k] = min(best.get(k, new), new)
@@ -154,12 +151,12 @@ def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int,
         yield sorted({(r.item_id, r.text) for r in part.collect()})
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, q: int = 6, block_chars: int = 2_000_000) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, q: int = 8, block_chars: int = 2_000_000) -> DataFrame:
     """(doc_id, item_id, edits, start, end): each document and benchmark item that a stretch of its text matches with at most
     rate * (item length) edits; the best such stretch (fewest edits, then the first), by code points of the normalised text.
 
     Both sides are lower-cased and their white space is collapsed. A text with at most e edits of an item of m code points shares
-    m - q + 1 - q * e q-grams with it inside a band of e + 1 diagonals; where m is so short that none would be left, e is
+    m - q + 1 - q * e of the item's q-grams with it inside a band of e + 1 diagonals; where m is so short that none would be left, e is
     lowered. Items of fewer than q code points, and null ones, match nothing; null or empty texts match nothing. Items with
     equal texts are each reported. The items are a stated query set, taken against all rows in blocks of about block_chars.
     """

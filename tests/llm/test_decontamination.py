@@ -35,7 +35,7 @@ def case():
     return rows, items
 
 
-def brute(rows, items, q=6, rate=0.1):
+def brute(rows, items, q=8, rate=0.1):
     out = set()
     for i, t in rows:
         for k, p in items:
