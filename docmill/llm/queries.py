@@ -10,6 +10,7 @@ from docmill.llm.decontamination import op10_decontamination
 from docmill.llm.line_dedup import OP2_SQL, op2_line_dedup
 from docmill.llm.packing import op4_packing
 from docmill.llm.quality_classifier import op8_quality_classifier
+from docmill.llm.quality_rules import op5_quality_rules
 from docmill.llm.sharding import op3_sharding
 from docmill.llm.simhash import op1_simhash
 from docmill.llm.substring_dedup import OP6_SQL, op6_substring_dedup
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_sharding": op3_sharding,
     "op4_packing": op4_packing,
+    "op5_quality_rules": op5_quality_rules,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_suffix_array": op7_suffix_array,
     "op8_quality_classifier": op8_quality_classifier,
