@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docmill.llm.decontamination import op10_decontamination
 from docmill.llm.line_dedup import OP2_SQL, op2_line_dedup
+from docmill.llm.lm_scoring import op9_lm_scoring
 from docmill.llm.packing import op4_packing
 from docmill.llm.quality_classifier import op8_quality_classifier
 from docmill.llm.quality_rules import op5_quality_rules
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_substring_dedup": op6_substring_dedup,
     "op7_suffix_array": op7_suffix_array,
     "op8_quality_classifier": op8_quality_classifier,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_decontamination": op10_decontamination,
 }
 ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op6_substring_dedup": OP6_SQL, "op7_suffix_array": OP7_SQL}
