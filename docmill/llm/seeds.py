@@ -59,8 +59,9 @@ class SeedFilter:
         return Loaded(bits, often, self.log2)
 
 
-#: From so many places on a seed counts as hot: over so many in one block, or in half as many blocks.
-HOT = 64
+#: From so many marks on a seed counts as hot. A block marks it once or twice, and again for each 64 places there, so that one which
+#: isn't hot stands in fewer than 64 * HOT places.
+HOT = 2048
 
 
 def known_copies(docs: DataFrame, least_bytes: int, most: int = 1 << 17) -> Broadcast:
@@ -88,7 +89,7 @@ def repeated_seeds(docs: DataFrame, of_block: Callable[[pa.RecordBatch, np.ndarr
     """Finds the seeds that occur twice or more in the texts of docs.
 
     of_block: the seeds of a block (rows, bytes, offsets), one for each place. Each task sends the distinct seeds of its blocks,
-    those that occur twice in one block two times, six bytes each and bucketed by their upper bits; a reducer sorts a bucket's
+    those that occur twice in one block two times (and one time more for each 64), six bytes each and bucketed by their upper bits; a reducer sorts a bucket's
     seeds and returns a bit map of the repeated ones, and one of the hot ones. The maps have 2**most_bits bits: their size is
     bounded by that parameter, not by the data. A bit stands for a range of seeds, so the filter may let seeds
     through that occur once; it never stops one that occurs twice.
@@ -103,7 +104,7 @@ def repeated_seeds(docs: DataFrame, of_block: Callable[[pa.RecordBatch, np.ndarr
         def out() -> pa.RecordBatch:
             seeds, counts = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
-            seeds = np.repeat(seeds, np.where(counts > HOT, HOT, np.minimum(counts, 2)))
+            seeds = np.repeat(seeds, np.minimum(counts, 2) + counts // 64)
             bucket = (seeds >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
             six = ((seeds >> np.uint64(low)) & np.uint64((1 << 48) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
             at = np.searchsorted(bucket, np.arange((1 << BUCKET_BITS) + 1))
