@@ -74,13 +74,14 @@ def _dictionary(texts: list[bytes], size: int) -> bytes:
         return b"\n".join(texts)[-size:] or b"\n" * 8
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> list[float]:
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> list[float]:
+    """Intercept and weights of a logistic regression, each row counted `weight` times."""
     x = np.hstack([np.ones((len(x), 1)), x])
     w = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = x.T @ (x * (p * (1 - p) + 1e-9)[:, None]) + ridge * np.eye(len(w))
-        step = np.linalg.solve(h, x.T @ (y - p) - ridge * w)
+        h = x.T @ (x * (weight * p * (1 - p) + 1e-9)[:, None]) + ridge * np.eye(len(w))
+        step = np.linalg.solve(h, x.T @ (weight * (y - p)) - ridge * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -111,7 +112,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, longest: int
     model = CompressionModel(_dictionary(train[1], dictionary), _dictionary(train[0], dictionary), [0.0, 0.0, 0.0])
     x = np.array([model.features(t) for m in (0, 1) for t in test[m]])
     y = np.array([m for m in (0, 1) for _ in test[m]], float)
-    model.weights = _logistic(x, y)
+    # the sample has as many rows of either label; each stands for its share of all labelled rows
+    counts = {r.mark: r.n for r in marks.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).collect()}
+    weight = np.where(y == 1, counts[1] / len(test[1]), counts[0] / len(test[0]))
+    model.weights = _logistic(x, y, weight * len(y) / weight.sum())
     return model
 
 
