@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,7 +97,8 @@ def maximal_repeats(context: np.ndarray, left: int, length: int, least: int) ->
                 maximal &= (high != lowest) | (high == OUTSIDE)
             take = np.repeat(maximal, sizes)
             group = np.repeat(np.cumsum(maximal) - 1, sizes)
-            yield group[take], order[row[take]], o[take], depth[interval[line[take]]]
+            if take.any():
+                yield group[take], order[row[take]], o[take], depth[interval[line[take]]]
         at = end
 
 
@@ -134,15 +136,34 @@ COLUMNS = "key long, kind int, doc_id long, start long, n int, context binary"
 REPEAT, SUFFIX, WINDOW = 0, 1, 2
 
 
-def _rows(kind: int, key: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray | None = None, context: np.ndarray | None = None) -> pa.RecordBatch:
+def _rows(kind: int, key: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray | None = None) -> pa.RecordBatch:
     size = len(doc)
-    if context is None:
-        bytes_ = pa.nulls(size, pa.binary())
-    else:
-        offsets = np.arange(size + 1, dtype=np.int32) * context.shape[1]
-        bytes_ = pa.Array.from_buffers(pa.binary(), size, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(context))])
     columns = [key.view(np.int64), np.full(size, kind, np.int32), doc.astype(np.int64), start.astype(np.int64), np.ones(size, np.int32) if n is None else n.astype(np.int32)]
-    return pa.record_batch([*map(pa.array, columns), bytes_], names=["key", "kind", "doc_id", "start", "n", "context"])
+    return pa.record_batch([*map(pa.array, columns), pa.nulls(size, pa.binary())], names=["key", "kind", "doc_id", "start", "n", "context"])
+
+
+def packed_suffixes(bucket_bits: int, seed: np.ndarray, doc: np.ndarray, start: np.ndarray, context: np.ndarray) -> pa.RecordBatch:
+    """Suffixes as one row for each bucket (the upper bits of their seeds), compressed: arrays of seed, doc_id and start, and the contexts."""
+    order = np.argsort(seed, kind="stable")
+    bucket = (seed[order] >> np.uint64(64 - bucket_bits)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+    squeeze = zstandard.ZstdCompressor(level=3).compress
+    blobs = []
+    for a, b in zip(first, np.append(first[1:], len(order))):
+        i = order[a:b]
+        # numbers by their bytes' places, so that high bytes, mostly zero, stand together
+        numbers = np.stack([seed[i].view(np.int64), doc[i], start[i]]).astype("<i8").view(np.uint8).reshape(3, -1, 8).transpose(0, 2, 1)
+        blobs.append(squeeze(np.ascontiguousarray(numbers).tobytes() + context[i].tobytes()))
+    n, size = np.diff(np.append(first, len(order))), len(first)
+    columns = [bucket[first], np.full(size, SUFFIX, np.int32), np.zeros(size, np.int64), np.zeros(size, np.int64), n.astype(np.int32)]
+    return pa.record_batch([*map(pa.array, columns), pa.array(blobs, pa.binary())], names=["key", "kind", "doc_id", "start", "n", "context"])
+
+
+def unpacked(blob: bytes, n: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(seeds, doc_ids, starts, contexts) of a row of packed_suffixes."""
+    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    numbers = np.ascontiguousarray(data[: 24 * n].reshape(3, 8, n).transpose(0, 2, 1)).view("<i8").reshape(3, n)
+    return numbers[0].view(np.uint64), numbers[1], numbers[2], data[24 * n :].reshape(n, width)
 
 
 def _earliest(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,6 +184,9 @@ def repeated_strings(docs: DataFrame, length: int, gram: int, filter_bits: int)
         return Places(data, at, length, gram).seeds
 
     seeds = repeated_seeds(docs, of_block, filter_bits, BLOCK)
+    # a bucket of suffixes is sorted in one task: as many buckets as there are stretches of 2 MB of text
+    text_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    bucket_bits = min(24, max(6, (text_bytes >> 21).bit_length()))
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = seeds.load()
@@ -179,7 +203,7 @@ def repeated_strings(docs: DataFrame, length: int, gram: int, filter_bits: int)
             after = np.where(inside[:, left:].all(axis=1), length, inside[:, left:].argmin(axis=1))
             yield _some(doc[i], start[i] - before, before - np.maximum(0, length - after) + 1)
             i = order[~later]
-            yield _rows(SUFFIX, key[i], doc[i], start[i], None, context[i])
+            yield packed_suffixes(bucket_bits, key[i], doc[i], start[i], context[i])
 
         for rows, data, at in text_blocks(batches, BLOCK):
             ids, data, at, gone = _split(copies, rows, data, at, length)
@@ -212,30 +236,30 @@ def repeated_strings(docs: DataFrame, length: int, gram: int, filter_bits: int)
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by (kind, key, doc_id)."""
-        held: list[pa.RecordBatch] = []
+        held: list[tuple[np.ndarray, ...]] = []  # the suffixes of one bucket
+        bucket = -1
         last: tuple[int, int] | None = None  # of a window: its hash and smallest document
 
-        def suffixes(part: pa.Table) -> Iterator[pa.RecordBatch]:
-            doc, start = part.column("doc_id").to_numpy(), part.column("start").to_numpy()
-            flat = np.frombuffer(b"".join(part.column("context").to_pylist()), np.uint8).reshape(len(doc), left + length)
-            for group, row, before, after in maximal_repeats(flat, left, length, gram):
+        def suffixes() -> Iterator[pa.RecordBatch]:
+            """Sorts the suffixes of the bucket, whole seeds at a time."""
+            seed, doc, start, context = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            order = np.argsort(seed, kind="stable")
+            seed = seed[order]
+            a = 0
+            while a < len(order):
+                b = int(np.searchsorted(seed, seed[min(a + SUFFIXES, len(seed)) - 1], side="right"))
+                i = order[a:b]
+                yield from repeats(doc[i], start[i], context[i])
+                a = b
+
+        def repeats(doc: np.ndarray, start: np.ndarray, context: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for group, row, before, after in maximal_repeats(context, left, length, gram):
                 new = np.concatenate(([True], group[1:] != group[:-1]))
                 first = np.minimum.reduceat(doc[row], np.flatnonzero(new))
                 later = doc[row] > first[group]
                 r, n = row[later], before[later] - np.maximum(0, length - after[later]) + 1
-                both = np.unique(np.stack([doc[r], start[r] - before[later], n]), axis=1) if len(r) else np.zeros((3, 0), np.int64)
-                yield _found(*both)
-
-        def whole(parts: list[pa.RecordBatch], final: bool) -> Iterator[pa.RecordBatch]:
-            """Sorts the suffixes of whole seeds; the last seed waits for more."""
-            table = pa.Table.from_batches(parts)
-            key = table.column("key").to_numpy()
-            end = len(key) if final else int(np.searchsorted(key, key[-1], side="left"))
-            held.clear()
-            if end < len(key):
-                held.extend(table.slice(end).to_batches())
-            if end:
-                yield from suffixes(table.slice(0, end))
+                yield _found(*(np.unique(np.stack([doc[r], start[r] - before[later], n]), axis=1) if len(r) else np.zeros((3, 0), np.int64)))
 
         for batch in batches:
             kind = batch.column("kind").to_numpy(zero_copy_only=False)
@@ -246,9 +270,11 @@ def repeated_strings(docs: DataFrame, length: int, gram: int, filter_bits: int)
                 if k == REPEAT:
                     yield _found(*(part.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "start", "n")))
                 elif k == SUFFIX:
-                    held.append(part)
-                    if sum(x.num_rows for x in held) >= SUFFIXES:
-                        yield from whole(list(held), False)
+                    for key, n, blob in zip(*(part.column(c).to_pylist() for c in ("key", "n", "context"))):
+                        if held and key != bucket:
+                            yield from suffixes()
+                        bucket = key
+                        held.append(unpacked(blob, n, left + length))
                 else:
                     key, doc, start = (part.column(c).to_numpy(zero_copy_only=False) for c in ("key", "doc_id", "start"))
                     new = np.concatenate(([last is None or last[0] != key[0]], key[1:] != key[:-1]))
@@ -258,7 +284,7 @@ def repeated_strings(docs: DataFrame, length: int, gram: int, filter_bits: int)
                     later = doc > first
                     yield _found(doc[later], start[later], np.ones(int(later.sum()), np.int64))
         if held:
-            yield from whole(list(held), True)
+            yield from suffixes()
 
     rows = docs.mapInArrow(sampled, COLUMNS).repartition("key").sortWithinPartitions("kind", "key", "doc_id")
     return rows.mapInArrow(compared, "doc_id long, start long, n long")
