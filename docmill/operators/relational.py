@@ -111,7 +111,7 @@ SELECT conv_id, turn, round(coalesce(len(list_intersect(w, b)) / nullif(len(w),
 }
 
 
-def _query(name: str):
+def statement_query(name: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
         statement = STATEMENTS[name][0]
         for t in TABLES:
@@ -123,5 +123,5 @@ def _query(name: str):
     return run
 
 
-QUERIES = {name: _query(name) for name in STATEMENTS}
+QUERIES = {name: statement_query(name) for name in STATEMENTS}
 ORACLE_SQL = {name: duck or statement for name, (statement, duck) in STATEMENTS.items()}
