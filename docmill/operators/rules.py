@@ -61,6 +61,24 @@ SELECT user_id, n, CASE WHEN n < 3 THEN 'INSUFFICIENT' WHEN protocol = 0 AND att
     "run_compliance": ("""
 WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY user_id, event_type) SELECT event_type, count(*) AS runs, sum(CASE WHEN n = 1 THEN 1 ELSE 0 END) AS one_call, round(avg(CASE WHEN n = 1 THEN 1.0D ELSE 0.0D END), 6) AS compliance, sum(n - 1) AS duplicates FROM c GROUP BY event_type""", """
 WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY user_id, event_type) SELECT event_type, count(*) AS runs, sum(CASE WHEN n = 1 THEN 1 ELSE 0 END)::BIGINT AS one_call, round(avg(CASE WHEN n = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS compliance, sum(n - 1)::BIGINT AS duplicates FROM c GROUP BY event_type"""),
+    # the hash embedding's terms: place, sign and weight of each word from its digest
+    "hash_embedding_terms": ("""
+WITH t AS (SELECT DISTINCT explode(regexp_extract_all(lower(text), '([\\\\p{L}\\\\p{N}]+)', 1)) AS term FROM documents), h AS (SELECT term, sha2(term, 256) AS h FROM t)
+SELECT term, CAST(conv(substr(h, 1, 8), 16, 10) AS BIGINT) % 512 AS place, CASE WHEN CAST(conv(substr(h, 9, 2), 16, 10) AS BIGINT) % 2 = 0 THEN 1 ELSE -1 END AS sign, round(1 + CAST(conv(substr(h, 11, 2), 16, 10) AS BIGINT) % 5 / 10D, 6) AS weight FROM h""", """
+WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '([\\p{L}\\p{N}]+)', 1)) AS term FROM documents), h AS (SELECT term, sha256(term) AS h FROM t)
+SELECT term, ('0x' || substr(h, 1, 8))::BIGINT % 512 AS place, CASE WHEN ('0x' || substr(h, 9, 2))::BIGINT % 2 = 0 THEN 1 ELSE -1 END AS sign, round(1 + ('0x' || substr(h, 11, 2))::BIGINT % 5 / 10::DOUBLE, 6) AS weight FROM h"""),
+    # payloads that don't hold to the contract: no object, or a key that isn't there
+    "json_contract": ("""
+SELECT event_id, CASE WHEN props IS NULL OR NOT trim(props) RLIKE '^[{].*[}]$' THEN 'NOT_AN_OBJECT' WHEN get_json_object(props, '$.page') IS NULL AND get_json_object(props, '$.k') IS NULL THEN 'MISSING_KEY' ELSE 'OK' END AS issue FROM events""", """
+SELECT event_id, CASE WHEN props IS NULL OR NOT regexp_matches(trim(props), '^[{].*[}]$') THEN 'NOT_AN_OBJECT' WHEN json_extract_string(props, '$.page') IS NULL AND json_extract_string(props, '$.k') IS NULL THEN 'MISSING_KEY' ELSE 'OK' END AS issue FROM events"""),
+    # the turn of a window of ten before and two after that says most of the asked turn's words
+    "context_subject": ("""
+WITH w AS (SELECT conv_id, turn, array_distinct(regexp_extract_all(lower(text), '([\\\\p{L}\\\\p{N}]+)', 1)) AS w FROM conversations),
+s AS (SELECT a.conv_id, a.turn, b.turn AS source_turn, round(10 * size(array_intersect(a.w, b.w)) / greatest(size(a.w), 1) - 0.15D * abs(a.turn - b.turn), 6) AS score FROM w a JOIN w b ON a.conv_id = b.conv_id AND b.turn BETWEEN a.turn - 10 AND a.turn + 2 AND b.turn <> a.turn),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, source_turn) AS k FROM s) SELECT conv_id, turn, source_turn, score FROM r WHERE k = 1""", """
+WITH w AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '([\\p{L}\\p{N}]+)', 1)) AS w FROM conversations),
+s AS (SELECT a.conv_id, a.turn, b.turn AS source_turn, round(10 * len(list_intersect(a.w, b.w)) / greatest(len(a.w), 1) - 0.15::DOUBLE * abs(a.turn - b.turn), 6) AS score FROM w a JOIN w b ON a.conv_id = b.conv_id AND b.turn BETWEEN a.turn - 10 AND a.turn + 2 AND b.turn <> a.turn),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, source_turn) AS k FROM s) SELECT conv_id, turn, source_turn, score FROM r WHERE k = 1"""),
     "hash_ids": ("SELECT doc_id, substr(sha1(concat_ws('|', 'v1', source, lang, CAST(doc_id AS STRING))), 1, 20) AS node_key, substr(sha2(text, 256), 1, 24) AS text_hash FROM documents", "SELECT doc_id, substr(sha1(concat_ws('|', 'v1', source, lang, doc_id)), 1, 20) AS node_key, substr(sha256(text), 1, 24) AS text_hash FROM documents"),
 }
 STATEMENTS |= RULES
