@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -36,15 +37,14 @@ class Loaded:
     often: np.ndarray
     log2: int
 
-    def _in(self, bits: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-        slot = seeds >> np.uint64(64 - self.log2)
-        return (bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
-
     def has(self, seeds: np.ndarray) -> np.ndarray:
-        return self._in(self.bits, seeds)
+        slot = seeds >> np.uint64(64 - self.log2)
+        return (self.bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
     def hot(self, seeds: np.ndarray) -> np.ndarray:
-        return self._in(self.often, seeds)
+        """often: a byte for each eight ranges, zlib-compressed on the way since nearly all are 0."""
+        slot = seeds >> np.uint64(64 - self.log2)
+        return (self.often[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
 @dataclass
@@ -55,8 +55,8 @@ class SeedFilter:
     log2: int
 
     def load(self) -> Loaded:
-        bits, often = (np.frombuffer(x, np.uint8) for x in self.shared.value)
-        return Loaded(bits, often, self.log2)
+        bits, often = self.shared.value
+        return Loaded(np.frombuffer(bits, np.uint8), np.frombuffer(zlib.decompress(often), np.uint8), self.log2)
 
 
 #: From so many marks on a seed counts as hot. A block marks it once or twice, and again for each 64 places there, so that one which
@@ -147,4 +147,4 @@ def repeated_seeds(docs: DataFrame, of_block: Callable[[pa.RecordBatch, np.ndarr
     whole = np.zeros((2, 1 << BUCKET_BITS, width), np.uint8)
     for r in maps:
         whole[0, r.bucket], whole[1, r.bucket] = np.frombuffer(r.bits, np.uint8), np.frombuffer(r.often, np.uint8)
-    return SeedFilter(docs.sparkSession.sparkContext.broadcast((whole[0].tobytes(), whole[1].tobytes())), log2)
+    return SeedFilter(docs.sparkSession.sparkContext.broadcast((whole[0].tobytes(), zlib.compress(whole[1].tobytes(), 1))), log2)

@@ -29,7 +29,7 @@ def lcp_intervals(lcp: list[int], least: int) -> Iterator[tuple[int, int, int]]:
     """
     stack: list[tuple[int, int]] = []
     for i in range(1, len(lcp) + 1):
-        now, first = lcp[i] if i < len(lcp) else 0, i - 1
+        now, first = lcp[i] if i < len(lcp) else least - 1, i - 1
         while stack and stack[-1][0] > now:
             depth, first = stack.pop()
             yield depth, first, i - 1
@@ -41,10 +41,10 @@ def maximal_repeats(context: np.ndarray, left: int, length: int, least: int) ->
     """The maximal repeat groups, of at least `length` bytes, around suffixes that begin at column `left` of context (a row for each
     suffix, `left` bytes before it and `length` from it on): (group, row, left bytes, right bytes), a line for each occurrence.
 
-    Sorts the suffixes, scans their common prefixes into intervals (each of which can't be extended to the right), and divides an
-    interval by the bytes to the left, length by length. A division is a repeat that can't be extended to either side if its next
-    bytes there differ, a document begins or ends there, or the context does. All its occurrences belong to it, not just
-    neighbours. Yields several chunks; groups are numbered inside a chunk.
+    Sorts the suffixes and scans their common prefixes into intervals, none of which can be extended to the right as a whole. An
+    interval's members are sorted by the bytes before them, read backwards, and the same scan divides them into groups that can't
+    be extended to the left: the next bytes there differ, a document begins, or the context ends. Such a group is a maximal
+    repeat if it can't be extended to the right either. All its occurrences belong to it, not just neighbours. Yields several chunks; groups are numbered inside a chunk.
     """
     right = np.ascontiguousarray(context[:, left:])
     order = np.argsort(right.view(f"S{length}").ravel(), kind="stable")
@@ -57,49 +57,45 @@ def maximal_repeats(context: np.ndarray, left: int, length: int, least: int) ->
     found = np.array(list(lcp_intervals([0, *lcp.tolist()], least)), np.int64).reshape(-1, 3)
     if not len(found):
         return
-    # hashes of the n bytes to the left, and how many there are
-    before = context[:, :left][:, ::-1]
+    # the same to the left: the rank of each suffix by the bytes before it, read backwards
+    before = np.ascontiguousarray(context[:, :left][:, ::-1])
     outside = before == OUTSIDE
     room = np.where(outside.any(axis=1), outside.argmax(axis=1), left)
-    hashes = np.zeros((len(context), left + 1), np.uint64)
-    powers = np.multiply.accumulate(np.full(left, 0x9E3779B97F4A7C15, np.uint64))
-    np.cumsum(mixed(before.astype(np.uint64) + np.uint64(1)) * powers, axis=1, out=hashes[:, 1:])
+    rank = np.empty(len(context), np.int64)
+    rank[np.argsort(before.view(f"S{left}").ravel(), kind="stable")] = np.arange(len(context))
     depth, first, last = found.T
-    low = np.maximum(0, length - depth)
     members = last - first + 1
-    work = np.cumsum(members * (left + 1 - low))
+    work = np.cumsum(members)
     at = 0
     while at < len(found):
-        end = max(at + 1, int(np.searchsorted(work, (work[at - 1] if at else 0) + (1 << 20), side="right")))
-        part = np.arange(at, end)
-        # a line for each interval, number of left bytes and member
-        n = left + 1 - low[part]
-        interval = np.repeat(part, n)
-        offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + low[interval]
-        m = members[interval]
-        line = np.repeat(np.arange(len(interval)), m)
-        row = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + first[interval][line]
-        o = offset[line]
-        fits = room[row] >= o
-        line, row, o = line[fits], row[fits], o[fits]
-        key = mixed(hashes[row, o] ^ mixed(line.astype(np.uint64) + np.uint64(at << 32)))
-        by = np.argsort(key, kind="stable")
-        key, line, row, o = key[by], line[by], row[by], o[by]
-        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-        if len(starts):
-            sizes = np.diff(np.append(starts, len(key)))
-            following = np.where(o < left, before[row, np.minimum(o, left - 1)], OUTSIDE)
-            after = depth[interval[line]]
-            beyond = np.where(after < length, right[row, np.minimum(after, length - 1)], OUTSIDE)
-            maximal = sizes > 1
-            for neighbour in (following, beyond):  # all members go on alike: a longer group has them
-                high, lowest = np.maximum.reduceat(neighbour, starts), np.minimum.reduceat(neighbour, starts)
-                maximal &= (high != lowest) | (high == OUTSIDE)
-            take = np.repeat(maximal, sizes)
-            group = np.repeat(np.cumsum(maximal) - 1, sizes)
-            if take.any():
-                yield group[take], order[row[take]], o[take], depth[interval[line[take]]]
+        end = max(at + 1, int(np.searchsorted(work, (work[at - 1] if at else 0) + (1 << 18), side="right")))
+        # a line for each interval and member, an interval's members by their rank
+        interval = np.repeat(np.arange(at, end), members[at:end])
+        row = np.arange(len(interval)) - np.repeat(np.cumsum(members[at:end]) - members[at:end], members[at:end]) + first[interval]
+        row = row[np.lexsort((rank[row], interval))]
+        same = before[row[1:]] == before[row[:-1]]
+        common = np.where(same.all(axis=1), left, same.argmin(axis=1))
+        common = np.minimum(common, np.minimum(room[row[1:]], room[row[:-1]]))
+        # a repeat has `length` bytes: what the right side lacks has to be on the left
+        low = np.maximum(0, length - depth)[interval]
+        over = np.where(interval[1:] == interval[:-1], common - low[1:], -1)
+        divided = np.array(list(lcp_intervals([-1, *over.tolist()], 0)), np.int64).reshape(-1, 3)
         at = end
+        if not len(divided):
+            continue
+        shared, start, stop = divided.T
+        sizes = stop - start + 1
+        group = np.repeat(np.arange(len(divided)), sizes)
+        line = np.arange(len(group)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + start[group]
+        member, after = row[line], depth[interval[line]]
+        # all members go on alike to the right: a longer repeat has them
+        beyond = np.where(after < length, right[member, np.minimum(after, length - 1)], OUTSIDE)
+        begins = np.cumsum(sizes) - sizes
+        high = np.maximum.reduceat(beyond, begins)
+        maximal = (high == OUTSIDE) | (high != np.minimum.reduceat(beyond, begins))
+        take = maximal[group]
+        if take.any():
+            yield (np.cumsum(maximal) - 1)[group][take], order[member[take]], (shared + low[start])[group][take], after[take]
 
 
 def _context(data: np.ndarray, begin: np.ndarray, end: np.ndarray, places: np.ndarray, left: int, length: int) -> np.ndarray:
