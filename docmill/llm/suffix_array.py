@@ -16,7 +16,7 @@ from docmill.llm.hashing import Spans, mixed, sliding_min
 from docmill.llm.seeds import copies_in, known_copies, repeated_seeds
 
 #: Text bytes that a task works on at a time, and suffixes that it sorts at a time.
-BLOCK, SUFFIXES = 1 << 21, 1 << 15
+BLOCK, SUFFIXES = 1 << 19, 1 << 15
 #: Stands for what lies outside the document: no byte of UTF-8.
 OUTSIDE = 0xFF
 
