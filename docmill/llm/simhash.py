@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache
 from itertools import combinations, product
@@ -10,7 +10,7 @@ from itertools import combinations, product
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.llm.common import materialize, narrowed, null_if_lowest
@@ -22,25 +22,42 @@ _UNPACKED = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _PLACES = np.arange(8, dtype=np.int64) * 256
 
 
-def fingerprint(text: str, shingle: int, words64: int = 1) -> list[int]:
-    """The SimHash of a text's word shingles, repeats included, as numbers of 64 bits; zeros without words.
-
-    The first 64 bits come from XXH64 with seed 42, further ones from bijections of that hash.
-    """
+def shingle_hashes(text: str, shingle: int) -> Iterator[np.ndarray]:
+    """XXH64 with seed 42 of each of a text's word shingles, repeats included, 2**16 at a time; nothing without words."""
     words = text.encode().translate(LOWER).split()
     if not words:
-        return [0] * words64
+        return
     width = min(shingle, len(words))
     line = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = len(words) - width + 1
-    counts = np.zeros((words64, 2048), np.int64)
     hashed = xxhash.xxh64_intdigest
     for first in range(0, n, 1 << 16):
         last = min(n, first + (1 << 16))
         spans = zip(starts[first:last].tolist(), ends[first + width - 1 : last + width - 1].tolist())
-        h = np.fromiter([hashed(line[a:b], 42) for a, b in spans], np.uint64, last - first)
+        yield np.fromiter([hashed(line[a:b], 42) for a, b in spans], np.uint64, last - first)
+
+
+def shingle_set(text: str, shingle: int) -> np.ndarray:
+    """The different hashes of a text's word shingles, sorted."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, shingle)]))
+
+
+def digest(shingles: np.ndarray) -> int:
+    """A 64-bit hash of a whole set of shingles."""
+    return xxhash.xxh64_intdigest(shingles.tobytes(), 42)
+
+
+def vote(parts: Iterable[np.ndarray], words64: int) -> list[int]:
+    """The SimHash of hashes, as numbers of 64 bits; zeros without any.
+
+    The first 64 bits come from the hashes, further ones from bijections of them.
+    """
+    counts = np.zeros((words64, 2048), np.int64)
+    n = 0
+    for h in parts:
+        n += len(h)
         for k in range(words64):
             h = mixed(h + np.uint64(k)) if k else h
             counts[k] += np.bincount((h.view(np.uint8).reshape(-1, 8) + _PLACES).ravel(), minlength=2048)
@@ -48,14 +65,25 @@ def fingerprint(text: str, shingle: int, words64: int = 1) -> list[int]:
     return [sum(1 << i for i in np.flatnonzero(2 * x > n).tolist()) for x in ones]
 
 
-def with_fingerprints(docs: DataFrame, shingle: int = 3, words64: int = 1) -> DataFrame:
-    """(doc_id, fp0, fp1, ... long) of narrowed docs."""
-    names = [f"fp{k}" for k in range(words64)]
+def fingerprint(text: str, shingle: int, words64: int = 1) -> list[int]:
+    """The SimHash of a text's word shingles, repeats included, as numbers of 64 bits; zeros without words."""
+    return vote(shingle_hashes(text, shingle), words64)
+
+
+def with_fingerprints(docs: DataFrame, links: Links) -> DataFrame:
+    """(doc_id, fp0, fp1, ... long) of narrowed docs; with least_jaccard those of the shingle sets, and digest long, the set's."""
+    names = links.names
+
+    def of(text: str) -> list[int]:
+        if links.least_jaccard is None:
+            return fingerprint(text, links.shingle, links.words64)
+        shingles = shingle_set(text, links.shingle)
+        return [*vote([shingles], links.words64), digest(shingles)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(x.as_py(), shingle, words64) for x in batch.column("text")], np.uint64).reshape(-1, words64)
-            yield pa.record_batch([batch.column("doc_id"), *(pa.array(fps[:, k].copy().view(np.int64)) for k in range(words64))], names=["doc_id", *names])
+            fps = np.array([of(x.as_py()) for x in batch.column("text")], np.uint64).reshape(-1, len(names))
+            yield pa.record_batch([batch.column("doc_id"), *(pa.array(fps[:, k].copy().view(np.int64)) for k in range(len(names)))], names=["doc_id", *names])
 
     return docs.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
 
@@ -95,7 +123,8 @@ class Links:
     tables: for each, the places of one or more blocks of 23 bits; a table's anchors are a code word for each of its blocks.
     reach: a fingerprint goes to every anchor within the radius plus `reach` bits. threshold: bits in which linked ones may
     differ. If all tables together can't see more than `reach` bits of a difference of `threshold` (one table: reach ==
-    threshold), no link is missed.
+    threshold), no link is missed. least_jaccard: if given, fingerprints (of the sets of shingles then) only find candidates, and
+    those link whose sets of shingles have at least this Jaccard similarity.
     """
 
     shingle: int
@@ -103,14 +132,20 @@ class Links:
     tables: tuple[tuple[int, ...], ...]
     reach: int
     threshold: int
+    least_jaccard: float | None = None
+
+    @property
+    def names(self) -> list[str]:
+        """The columns that tell distinct texts apart: fp0, fp1, ..., and digest with least_jaccard."""
+        return [*(f"fp{k}" for k in range(self.words64)), *(["digest"] if self.least_jaccard is not None else [])]
 
 
 #: Two fingerprints of 64 bits at 2 bits or fewer, every one of them, over 2**24 anchors.
 EXACT = Links(shingle=3, words64=1, tables=((0, 23),), reach=2, threshold=2)
-#: Texts whose sets of five-word shingles have a Jaccard similarity of about 0.8 or more: vectors of that similarity differ in
-#: 15 % of their bits (19 of 128). A pair is compared if one of six blocks differs in 2 bits or fewer: 87 % of the pairs at 0.8,
-#: 94 % at 0.85, 99 % at 0.9. Unrelated texts differ in 64 bits, give or take 6.
-SIMILAR = Links(shingle=5, words64=2, tables=((0,), (23,), (41,), (64,), (87,), (105,)), reach=2, threshold=19)
+#: Texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Sets of that similarity (and one size) differ in
+#: 15 % of their bits, 39 of 256 give or take 6; unrelated ones in 128 give or take 8. Candidates differ in 60 bits or fewer; a
+#: block's home meets the other's reach with a chance of 0.39 at 0.8, 0.48 at 0.85, 0.58 at 0.9, and there are twelve.
+SIMILAR = Links(shingle=5, words64=4, tables=tuple((64 * k + at,) for k in range(4) for at in (0, 23, 41)), reach=1, threshold=60, least_jaccard=0.8)
 
 
 def anchors(fps: np.ndarray, links: Links) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
@@ -135,21 +170,18 @@ def anchors(fps: np.ndarray, links: Links) -> Iterator[tuple[np.ndarray, np.ndar
             yield row, anchor, not any(excess)
 
 
-def at_anchors(fps: DataFrame, links: Links) -> DataFrame:
-    """(anchor, id, fp0, ..., home): each distinct fingerprint at every anchor that it has to reach."""
-    names = [f"fp{k}" for k in range(links.words64)]
+def at_anchors(fps: DataFrame, links: Links, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(anchor, home, id, carried longs, fp0, ...): each distinct fingerprint at every anchor that it has to reach."""
+    names = ["id", *carry, *(f"fp{k}" for k in range(links.words64))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, batch.num_rows, 4096):
-                ids, *signed = (batch.column(c).slice(first, 4096).to_numpy(zero_copy_only=False) for c in ("id", *names))
-                for i, anchor, home in anchors(np.stack(signed, axis=1).view(np.uint64), links):
-                    yield pa.record_batch(
-                        [pa.array(anchor), pa.array(ids[i]), *(pa.array(x[i]) for x in signed), pa.array(np.full(len(i), home))],
-                        names=["anchor", "id", *names, "home"],
-                    )
+                columns = [batch.column(c).slice(first, 4096).to_numpy(zero_copy_only=False) for c in names]
+                for i, anchor, home in anchors(np.stack(columns[-links.words64 :], axis=1).view(np.uint64), links):
+                    yield pa.record_batch([pa.array(anchor), pa.array(np.full(len(i), home)), *(pa.array(x[i]) for x in columns)], names=["anchor", "home", *names])
 
-    return fps.mapInArrow(run, "anchor long, id long, " + "".join(f"{n} long, " for n in names) + "home boolean")
+    return fps.select(*names).mapInArrow(run, "anchor long, home boolean, " + ", ".join(f"{n} long" for n in names))
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -174,13 +206,12 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _PAIRS = 1 << 21
 
 
-def _links_of_groups(threshold: int, anchor: np.ndarray, home: np.ndarray, ids: np.ndarray, *fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links of whole anchor groups, compared home against all, in bounded steps; a forest of them."""
+def _near(threshold: int, anchor: np.ndarray, home: np.ndarray, *fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(x, y, bits) of rows x and y of whole anchor groups that are near, compared home against all, in bounded steps."""
     starts = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
     sizes = np.diff(np.append(starts, len(anchor)))
     group = np.repeat(np.arange(len(starts)), sizes)
     homes = np.flatnonzero(home & (sizes[group] > 1))
-    found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     work = np.cumsum(sizes[group[homes]])
     first = 0
     while first < len(homes):
@@ -189,17 +220,33 @@ def _links_of_groups(threshold: int, anchor: np.ndarray, home: np.ndarray, ids:
         n = sizes[group[h]]
         x = np.repeat(h, n)
         y = np.repeat(starts[group[h]] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        bits = np.zeros(len(x), np.uint8)
+        bits = np.zeros(len(x), np.uint16)
         for fp in fps:
             bits += np.bitwise_count(fp[x].view(np.uint64) ^ fp[y].view(np.uint64))
         near = (bits <= threshold) & (x != y)
         if near.any():
-            a, b = forest(ids[x[near]], ids[y[near]])
-            found_a.append(a)
-            found_b.append(b)
+            yield x[near], y[near], bits[near]
         first = last
-    a, b = np.concatenate(found_a), np.concatenate(found_b)
-    return forest(a, b) if len(a) else (a, b)
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[np.ndarray, ...]]:
+    """The columns, of which the first is sorted, cut where its value changes."""
+    held: list[tuple[np.ndarray, ...]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in columns)
+        if now[0][0] != now[0][-1]:
+            last = int(np.searchsorted(now[0], now[0][-1]))
+            yield tuple(np.concatenate(x) for x in zip(*held, tuple(x[:last] for x in now)))
+            held = [tuple(x[last:] for x in now)]
+        elif held and held[-1][0][-1] != now[0][0]:
+            yield tuple(np.concatenate(x) for x in zip(*held))
+            held = [now]
+        else:
+            held.append(now)
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held))
 
 
 def link_forest(fps: DataFrame, links: Links) -> DataFrame:
@@ -212,44 +259,115 @@ def link_forest(fps: DataFrame, links: Links) -> DataFrame:
     columns = ["anchor", "home", "id", *(f"fp{k}" for k in range(links.words64))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-
-        def out(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-            a, b = _links_of_groups(links.threshold, *(np.concatenate(x) for x in zip(*parts)))
-            if len(a):
+        for anchor, home, ids, *fps in _whole_groups(batches, columns):
+            found = [forest(ids[x], ids[y]) for x, y, _ in _near(links.threshold, anchor, home, *fps)]
+            if found:
+                a, b = forest(*(np.concatenate(x) for x in zip(*found)))
                 yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
 
+    return at_anchors(fps, links).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "a long, b long")
+
+
+def _pairs(a: Column, b: Column) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def _first_candidates(classes: DataFrame, links: Links) -> DataFrame:
+    """(a, b): two candidates for each id that has any: that with the fewest differing bits and that with the least id."""
+    columns = ["anchor", "home", "id", *(f"fp{k}" for k in range(links.words64))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for anchor, home, ids, *fps in _whole_groups(batches, columns):
+            for x, y, bits in _near(links.threshold, anchor, home, *fps):
+                node, other, bits = ids[np.append(x, y)], ids[np.append(y, x)], np.append(bits, bits)
+                for order in (np.lexsort((other, bits, node)), np.lexsort((other, node))):
+                    own = order[np.concatenate(([True], node[order][1:] != node[order][:-1]))]
+                    yield pa.record_batch([pa.array(node[own]), pa.array(other[own]), pa.array(bits[own].astype(np.int32))], names=["node", "other", "bits"])
+
+    met = at_anchors(classes, links).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "node long, other long, bits int")
+    best = met.groupBy("node").agg(F.min(F.struct("bits", "other"))["other"].alias("near"), F.min("other").alias("least"))
+    return best.select("node", F.explode(F.array("near", "least")).alias("other")).select(*_pairs(F.col("node"), F.col("other"))).where("a <> b").distinct()
+
+
+def _other_candidates(classes: DataFrame, links: Links) -> DataFrame:
+    """(a, b): every candidate whose ids have different roots; classes: id, root, fp0, ..."""
+    columns = ["anchor", "home", "id", "root", *(f"fp{k}" for k in range(links.words64))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for anchor, home, ids, root, *fps in _whole_groups(batches, columns):
+            for x, y, _ in _near(links.threshold, anchor, home, *fps):
+                apart = root[x] != root[y]
+                if apart.any():
+                    yield pa.record_batch([pa.array(ids[x[apart]]), pa.array(ids[y[apart]])], names=["a", "b"])
+
+    met = at_anchors(classes, links, ("root",)).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "a long, b long")
+    return met.select(*_pairs(F.col("a"), F.col("b"))).where("a <> b").distinct()
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles (id, shingles) have a Jaccard similarity of `least` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in columns)
-            if now[0][0] != now[0][-1]:
-                last = int(np.searchsorted(now[0], now[0][-1]))
-                yield from out([*held, tuple(x[:last] for x in now)])
-                held = [tuple(x[last:] for x in now)]
-            elif held and held[-1][0][-1] != now[0][0]:
-                yield from out(held)
-                held = [now]
-            else:
-                held.append(now)
-        if held:
-            yield from out(held)
+            keep = []
+            for x, y in zip(batch.column("x"), batch.column("y")):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = 0
+                if min(len(x), len(y)) >= least * max(len(x), len(y)) - 1:  # else they can't be
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both > 0 and both / (len(x) + len(y) - both) >= least)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    one = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
+    two = one.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    return two.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
+
+
+def similar_links(docs: DataFrame, classes: DataFrame, links: Links) -> DataFrame:
+    """(a, b): links between classes (id, fp0, ..., digest) of narrowed docs that connect them just as do all candidates with a
+    Jaccard similarity of least_jaccard or more.
+
+    Every candidate is compared by its sets of shingles, joined in Spark, unless what was compared before connects it: first two
+    candidates of each class, so that a large group of near copies gets its links without all its pairs, then all that are left
+    between different components. Classes of one id are one document.
+    """
+    classes = materialize(classes, "classes")
+    first = materialize(_first_candidates(classes, links), "candidates")
+    ends = classes.join(first.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id")
+    texts = docs.join(ends.select("id", "digest"), F.col("doc_id") == F.col("id")).select("id", "digest", "text")
 
-    return at_anchors(fps, links).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "a long, b long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, digests, sets = [], [], []
+            for i, d, text in zip(batch.column("id").to_pylist(), batch.column("digest").to_pylist(), batch.column("text")):
+                shingles = shingle_set(text.as_py(), links.shingle)
+                if digest(shingles) == d % 2**64:  # a repeated doc_id has other texts
+                    ids.append(i)
+                    digests.append(d)
+                    sets.append(shingles.tobytes())
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(digests, pa.int64()), pa.array(sets, pa.binary())], names=["id", "digest", "shingles"])
+
+    sets = materialize(texts.mapInArrow(run, "id long, digest long, shingles binary").dropDuplicates(["id", "digest"]), "shingles")
+    found = materialize(_similar(first, sets, links.least_jaccard), "links")
+    roots = connected_components(found)
+    left = ends.join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id"))
+    rest = _other_candidates(left, links).join(first, ["a", "b"], "left_anti")
+    return found.union(_similar(materialize(rest, "candidates"), sets, links.least_jaccard))
 
 
 def near_duplicates(docs: DataFrame, links: Links = EXACT) -> DataFrame:
     """(doc_id, fp0 long, ..., component_id), a row for each row of docs.
 
-    Fingerprints link at links.threshold or fewer differing bits; component_id is the smallest doc_id reachable over links. The
-    words are `[^\\x20\\x09-\\x0D]+` of the text with A-Z lower-cased; fewer words than a shingle has are one shingle; without
-    words (null or empty texts) the fingerprint is 0 and links like any other. Rows that repeat a doc_id are one document, so
-    their fingerprints count as linked. A null doc_id sorts before all others and gives a null component_id.
+    Fingerprints link at links.threshold or fewer differing bits, with links.least_jaccard also by their sets of shingles; component_id
+    is the smallest doc_id reachable over links. The words are `[^\\x20\\x09-\\x0D]+` of the text with A-Z lower-cased; fewer words
+    than a shingle has are one shingle; without words (null or empty texts) the fingerprint is 0 and links like any other. Rows that
+    repeat a doc_id are one document, so their fingerprints count as linked. A null doc_id sorts before all others and gives a null
+    component_id.
     """
-    names = [f"fp{k}" for k in range(links.words64)]
-    prints = materialize(with_fingerprints(narrowed(docs), links.shingle, links.words64), "fingerprints")
+    docs, names = narrowed(docs), links.names
+    prints = materialize(with_fingerprints(docs, links), "fingerprints")
     classes = prints.groupBy(names).agg(F.min("doc_id").alias("id"))  # copies leave before anything is replicated
-    found = connected_components(link_forest(classes, links))
+    found = connected_components(link_forest(classes, links) if links.least_jaccard is None else similar_links(docs, classes, links))
     labels = classes.join(found, F.col("id") == F.col("node"), "left").select(*names, F.coalesce("root", "id").alias("component_id"))
     return prints.join(labels, names).select(
         null_if_lowest(F.col("doc_id")).alias("doc_id"), *names, null_if_lowest(F.col("component_id")).alias("component_id")

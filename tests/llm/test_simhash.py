@@ -84,3 +84,19 @@ def test_similar_texts_meet(spark):
         rows.append((2 * i + 1, " ".join(text)))
     got = {r.doc_id: r.component_id for r in s.near_duplicates(frame(spark, rows), s.SIMILAR).collect()}
     assert sum(got[2 * i + 1] == 2 * i for i in range(120)) >= 100 and all(c in (d, d - d % 2) for d, c in got.items())
+
+
+def test_similar_links_are_those_of_the_shingle_sets(spark):
+    rng = random.Random(21)
+    rows, like = [], {}
+    for i in range(300):  # one run of k changed words touches k + 4 of 396 shingles
+        text = words(rng, 400, 100_000).split()
+        k = 25 + i % 44
+        other = text[:100] + [f"new{i}_{j}" for j in range(k)] + text[100 + k :]
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(other))]
+        like[i] = (396 - k - 4) / (396 + k + 4)
+    got = {r.doc_id: r.component_id for r in s.near_duplicates(frame(spark, rows), s.SIMILAR).collect()}
+    linked = {i for i in like if got[2 * i + 1] == 2 * i}
+    assert all(like[i] >= 0.8 for i in linked) and all(c in (d, d - d % 2) for d, c in got.items())
+    wanted = {i for i in like if like[i] >= 0.8}
+    assert len(wanted) > 80 and len(linked) >= 0.97 * len(wanted)
