@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse
@@ -25,6 +27,16 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+@cache
+def _longest(base: int, log2: int) -> np.ndarray:
+    return _powers(base, 1 << log2)
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """The first n powers; up to 2**22 of them are kept for the next block."""
+    return _longest(base, max(16, n.bit_length()))[:n] if n < 1 << 22 else _powers(base, n)
+
+
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64))
 
 
@@ -39,8 +51,8 @@ class Spans:
         values = _BYTES[values] if values.dtype == np.uint8 else values
         self.n = len(values)
         self.sums = np.zeros(self.n + 1, np.uint64)
-        np.cumsum(values * _powers(_BASE, self.n), out=self.sums[1:])
-        self.back = _powers(_INVERSE, self.n + 1)
+        np.cumsum(values * powers(_BASE, self.n), out=self.sums[1:])
+        self.back = powers(_INVERSE, self.n + 1)
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The length takes part, so that no value hashes like its absence."""

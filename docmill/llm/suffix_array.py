@@ -100,9 +100,42 @@ def maximal_repeats(context: np.ndarray, left: int, length: int, least: int) ->
 
 def _context(data: np.ndarray, begin: np.ndarray, end: np.ndarray, places: np.ndarray, left: int, length: int) -> np.ndarray:
     """The bytes around places, OUTSIDE beyond their document's begin and end."""
-    index = places[:, None] + np.arange(-left, length)
-    inside = (index >= begin[:, None]) & (index < end[:, None])
-    return np.where(inside, data[np.clip(index, 0, len(data) - 1)], np.uint8(OUTSIDE))
+    padded = np.full(len(data) + left + length, OUTSIDE, np.uint8)
+    padded[left : left + len(data)] = data
+    out = np.lib.stride_tricks.sliding_window_view(padded, left + length)[places]
+    near = np.flatnonzero((places - begin < left) | (end - places < length))
+    index = places[near, None] + np.arange(-left, length)
+    out[near] = np.where((index >= begin[near, None]) & (index < end[near, None]), out[near], np.uint8(OUTSIDE))
+    return out
+
+
+def _extents(context: np.ndarray, left: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many bytes of the document each context has before its suffix and from it on."""
+    outside = context == OUTSIDE
+    before, after = outside[:, :left][:, ::-1], outside[:, left:]
+    return np.where(before.any(axis=1), before.argmax(axis=1), left), np.where(after.any(axis=1), after.argmax(axis=1), context.shape[1] - left)
+
+
+def _keys(context: np.ndarray, left: int) -> np.ndarray:
+    """Contexts as strings that sort by the suffix and then by the bytes before it, read backwards."""
+    return np.ascontiguousarray(np.concatenate([context[:, left:], context[:, :left][:, ::-1]], axis=1)).view(f"S{context.shape[1]}").ravel()
+
+
+def collapsed(doc: np.ndarray, context: np.ndarray, left: int, seed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Of suffixes with wholly equal contexts (and equal seeds), those of the smallest document, and all the others.
+
+    The others are repeats for as far as the context goes; the first ones stand for the context in what follows.
+    """
+    key = _keys(context, left)
+    order = np.argsort(key, kind="stable") if seed is None else np.lexsort((key, seed))
+    key = key[order]
+    new = np.concatenate(([True], key[1:] != key[:-1]))
+    if seed is not None:
+        new[1:] |= seed[order][1:] != seed[order][:-1]
+    first = np.flatnonzero(new)
+    low = np.minimum.reduceat(doc[order], first)
+    later = doc[order] > low[np.cumsum(new) - 1]
+    return order[~later], order[later]
 
 
 class Places:
@@ -119,17 +152,17 @@ class Places:
         np.add.at(over, np.maximum(inner - length + 1, 0), 1)
         np.add.at(over, inner, -1)
         inside = begins[np.cumsum(over)[: len(seeds)] == 0]
-        self.spans, self.inside = spans, inside
+        self.spans = spans
         around = np.zeros(len(grams) + width - 1, np.uint64)
         if len(inside):
             around[inside + width - 1] = seeds[inside]
         self.places = np.flatnonzero((~sliding_min(~around, width) == grams) & (grams != 0)) if len(inside) else np.zeros(0, np.int64)
-        self.seeds = grams[self.places]
-        self.window_seeds = seeds
+        # least hashes are small numbers: mixed again, they fill all buckets alike
+        self.seeds = mixed(grams[self.places])
 
 
 COLUMNS = "key long, kind int, doc_id long, start long, n int, context binary"
-REPEAT, SUFFIX, WINDOW = 0, 1, 2
+REPEAT, SUFFIX = 0, 1
 
 
 def _rows(kind: int, key: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray | None = None) -> pa.RecordBatch:
@@ -162,14 +195,6 @@ def unpacked(blob: bytes, n: int, width: int) -> tuple[np.ndarray, np.ndarray, n
     return numbers[0].view(np.uint64), numbers[1], numbers[2], data[24 * n :].reshape(n, width)
 
 
-def _earliest(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order by key, in that order: whether the document isn't the smallest that has the key)."""
-    order = np.lexsort((doc, key))
-    key, doc = key[order], doc[order]
-    new = np.concatenate(([True], key[1:] != key[:-1]))
-    return order, doc > doc[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
-
-
 def repeated_strings(docs: DataFrame, length: int, gram: int, filter_bits: int) -> DataFrame:
     """(doc_id, start, n): runs of starts of `length`-byte strings that also start in a smaller doc_id."""
     left = length - gram
@@ -190,16 +215,13 @@ def repeated_strings(docs: DataFrame, length: int, gram: int, filter_bits: int)
 
         def flush() -> Iterator[pa.RecordBatch]:
             """Among equal contexts, those of the smallest document here may be the first of all; the others are repeats."""
-            key, same, doc, start, context = (np.concatenate(x) for x in zip(*held))
+            key, doc, start, context = (np.concatenate(x) for x in zip(*held))
             held.clear()
-            order, later = _earliest(same, doc)
-            i = order[later]
-            inside = context[i] != OUTSIDE
-            before = np.where(inside[:, :left].all(axis=1), left, inside[:, :left][:, ::-1].argmin(axis=1))
-            after = np.where(inside[:, left:].all(axis=1), length, inside[:, left:].argmin(axis=1))
-            yield _some(doc[i], start[i] - before, before - np.maximum(0, length - after) + 1)
-            i = order[~later]
-            yield packed_suffixes(bucket_bits, key[i], doc[i], start[i], context[i])
+            if not len(doc):
+                return
+            first, later = collapsed(doc, context, left, key)
+            yield _some(*_whole(doc[later], start[later], context[later], left, length))
+            yield packed_suffixes(bucket_bits, key[first], doc[first], start[first], context[first])
 
         for rows, data, at in text_blocks(batches, BLOCK):
             ids, data, at, gone = _split(copies, rows, data, at, length)
@@ -207,34 +229,28 @@ def repeated_strings(docs: DataFrame, length: int, gram: int, filter_bits: int)
                 yield _some(gone[0], np.zeros(len(gone[0]), np.int64), gone[1])
             p = Places(data, at, length, gram)
             keep = known.has(p.seeds)
-            hot = known.hot(p.seeds)
-            places, key = p.places[keep & ~hot], p.seeds[keep & ~hot]
+            places, key = p.places[keep], p.seeds[keep]
             row = np.searchsorted(at, places, side="right") - 1
             begin, end = at[row], at[row + 1]
-            a, b = np.maximum(begin, places - left), np.minimum(end, places + length)
-            same = mixed(p.spans.of(a, places)) ^ p.spans.of(places, b)
-            held.append((key, same, ids[row], places - begin, _context(data, begin, end, places, left, length)))
-            if sum(len(h[0]) for h in held) >= 1 << 17:
+            context = _context(data, begin, end, places, left, length)
+            hot = known.hot(key)
+            for low, high in parts_of_hot(left) if hot.any() else ():
+                i = np.flatnonzero(hot & (begin <= places - low) & (places + length - high <= end))
+                part = context[i]
+                part[:, : left - high] = OUTSIDE
+                part[:, left + length - low :] = OUTSIDE
+                held.append((mixed(p.spans.of(places[i] - low, places[i] + length - high) + np.uint64(low)), ids[row[i]], (places - begin)[i], part))
+            i = np.flatnonzero(~hot)
+            held.append((key[i], ids[row[i]], (places - begin)[i], context[i]))
+            if sum(len(h[0]) for h in held) >= 1 << 16:
                 yield from flush()
-            if hot.any() and len(p.inside):
-                # seeds that stand in very many places: their windows are compared one by one, after the block's own repeats
-                begins = p.inside[known.hot(p.window_seeds[p.inside])]
-                row = np.searchsorted(at, begins, side="right") - 1
-                h, doc, start = p.spans.of(begins, begins + length), ids[row], begins - at[row]
-                order, later = _earliest(h, doc)
-                i = order[later]
-                by = np.lexsort((start[i], doc[i]))
-                yield _some(*_merged(doc[i][by], start[i][by]))
-                i = order[~later]
-                yield _rows(WINDOW, h[i], doc[i], start[i])
         if held:
             yield from flush()
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by (kind, key, doc_id)."""
+        """Rows come sorted by (kind, key)."""
         held: list[tuple[np.ndarray, ...]] = []  # the suffixes of one bucket
         bucket = -1
-        last: tuple[int, int] | None = None  # of a window: its hash and smallest document
 
         def suffixes() -> Iterator[pa.RecordBatch]:
             """Sorts the suffixes of the bucket, whole seeds at a time."""
@@ -246,63 +262,78 @@ def repeated_strings(docs: DataFrame, length: int, gram: int, filter_bits: int)
             while a < len(order):
                 b = int(np.searchsorted(seed, seed[min(a + SUFFIXES, len(seed)) - 1], side="right"))
                 i = order[a:b]
-                yield from repeats(doc[i], start[i], context[i])
+                yield from repeats(seed[a:b], doc[i], start[i], context[i])
                 a = b
 
-        def repeats(doc: np.ndarray, start: np.ndarray, context: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def repeats(seed: np.ndarray, doc: np.ndarray, start: np.ndarray, context: np.ndarray) -> Iterator[pa.RecordBatch]:
+            first, later = collapsed(doc, context, left, seed)
+            yield _found(*_whole(doc[later], start[later], context[later], left, length))
+            # a seed that is left with one suffix has no other repeat
+            seed = seed[first]
+            again = np.zeros(len(seed), bool)
+            again[1:] = seed[1:] == seed[:-1]
+            again[:-1] |= again[1:]
+            i = first[again]
+            if not len(i):
+                return
+            doc, start, context = doc[i], start[i], context[i]
             for group, row, before, after in maximal_repeats(context, left, length, gram):
                 new = np.concatenate(([True], group[1:] != group[:-1]))
-                first = np.minimum.reduceat(doc[row], np.flatnonzero(new))
-                later = doc[row] > first[group]
-                r, n = row[later], before[later] - np.maximum(0, length - after[later]) + 1
-                yield _found(*(np.unique(np.stack([doc[r], start[r] - before[later], n]), axis=1) if len(r) else np.zeros((3, 0), np.int64)))
+                low = np.minimum.reduceat(doc[row], np.flatnonzero(new))
+                late = doc[row] > low[group]
+                r, n = row[late], before[late] - np.maximum(0, length - after[late]) + 1
+                yield _found(doc[r], start[r] - before[late], n)
 
         for batch in batches:
             kind = batch.column("kind").to_numpy(zero_copy_only=False)
-            for k in (REPEAT, SUFFIX, WINDOW):
-                part = batch.slice(int(np.searchsorted(kind, k)), int((kind == k).sum()))
-                if not part.num_rows:
-                    continue
-                if k == REPEAT:
-                    yield _found(*(part.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "start", "n")))
-                elif k == SUFFIX:
-                    for key, n, blob in zip(*(part.column(c).to_pylist() for c in ("key", "n", "context"))):
-                        if held and key != bucket:
-                            yield from suffixes()
-                        bucket = key
-                        held.append(unpacked(blob, n, left + length))
-                else:
-                    key, doc, start = (part.column(c).to_numpy(zero_copy_only=False) for c in ("key", "doc_id", "start"))
-                    new = np.concatenate(([last is None or last[0] != key[0]], key[1:] != key[:-1]))
-                    nth = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
-                    first = np.where(nth >= 0, doc[np.maximum(nth, 0)], last[1] if last else 0)
-                    last = int(key[-1]), int(first[-1])
-                    later = doc > first
-                    yield _found(doc[later], start[later], np.ones(int(later.sum()), np.int64))
+            repeat = batch.slice(0, int((kind == REPEAT).sum()))
+            if repeat.num_rows:
+                yield _found(*(repeat.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "start", "n")))
+            suffix = batch.slice(repeat.num_rows)
+            for key, n, blob in zip(*(suffix.column(c).to_pylist() for c in ("key", "n", "context"))):
+                if held and key != bucket:
+                    yield from suffixes()
+                bucket = key
+                held.append(unpacked(blob, n, left + length))
         if held:
             yield from suffixes()
 
-    rows = docs.mapInArrow(sampled, COLUMNS).repartition("key").sortWithinPartitions("kind", "key", "doc_id")
+    rows = docs.mapInArrow(sampled, COLUMNS).repartition("key").sortWithinPartitions("kind", "key")
     return rows.mapInArrow(compared, "doc_id long, start long, n long")
 
 
-def _found(doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(x.astype(np.int64)) for x in (doc, start, n)], names=["doc_id", "start", "n"])
+def parts_of_hot(left: int, parts: int = 4) -> list[tuple[int, int]]:
+    """Ranges of how many bytes before its suffix a string begins, which divide the strings around a hot beginning."""
+    cuts = [left * k // parts for k in range(parts)] + [left + 1]
+    return [(a, b - 1) for a, b in zip(cuts, cuts[1:])]
 
 
-def _merged(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of neighbouring starts of sorted rows."""
-    if not len(doc):
-        return doc, start, start
-    a = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1))))
-    b = np.append(a[1:], len(doc)) - 1
-    return doc[a], start[a], start[b] - start[a] + 1
+def _whole(doc: np.ndarray, start: np.ndarray, context: np.ndarray, left: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc_id, start, n): all strings of contexts."""
+    before, after = _extents(context, left)
+    return doc, start - before, before - np.maximum(0, length - after) + 1
+
+
+def _found(doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """Repeats; runs of strings of one document that overlap or adjoin here become one."""
+    full = n > 0
+    doc, start, end = doc[full].astype(np.int64), start[full].astype(np.int64), (start + n)[full].astype(np.int64)
+    if len(doc):
+        order = np.lexsort((start, doc))
+        doc, start, end = doc[order], start[order], end[order]
+        new = np.concatenate(([True], doc[1:] != doc[:-1]))
+        # the furthest end so far in the document: ends of each document are lifted above those of the one before
+        lift = (np.cumsum(new) - 1) * (int(end.max()) + 1)
+        reach = np.maximum.accumulate(end + lift) - lift
+        new[1:] |= start[1:] > reach[:-1]
+        first = np.flatnonzero(new)
+        doc, start, end = doc[first], start[first], reach[np.append(first[1:], len(doc)) - 1]
+    return pa.record_batch([pa.array(x) for x in (doc, start, end - start)], names=["doc_id", "start", "n"])
 
 
 def _some(doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     """Repeats, dealt by a hash of their place."""
-    full = n > 0
-    doc, start, n = doc[full].astype(np.int64), start[full].astype(np.int64), n[full]
+    doc, start, n = (c.to_numpy() for c in _found(doc, start, n).columns)
     return _rows(REPEAT, mixed(doc.view(np.uint64) ^ mixed(start.view(np.uint64))), doc, start, n)
 
 
@@ -330,8 +361,9 @@ def drop_repeated_bytes(docs: DataFrame, length: int = 50, gram: int = 24, filte
        bytes around, so that each task has the whole of some ranges of the suffix array.
     3. There the suffixes are sorted, common prefixes scanned into intervals, and these divided by their left bytes into maximal
        repeats (maximal_repeats); all occurrences outside a group's smallest document are removed.
-    4. Beginnings that stand in very many places (seeds.HOT) could make a task's range unbounded: strings around them are compared
-       one by one, by 64-bit hashes, of which a block sends each only once.
+    4. Beginnings that stand in very many places (seeds.HOT) would make one range unbounded: their suffixes are dealt by further
+       bytes, in four parts by how far before the suffix a string may begin, each with the bytes that all its strings share as
+       beginning and without the bytes that none of them reaches. What then has a whole equal context is sent once a block.
     """
     docs = narrowed(docs)
     found = repeated_strings(docs, length, gram, filter_bits).groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("counts"))
