@@ -15,20 +15,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docmill.llm.common import text_blocks
-from docmill.llm.hashing import sliding_min
 
 #: The upper bits of a seed name its bucket; a row of the shuffle holds many seeds of one bucket.
 BUCKET_BITS = 16
 
 
-def chosen(grams: np.ndarray, seeds: np.ndarray, inside: np.ndarray, width: int) -> np.ndarray:
-    """The grams that are the seed of one of the `inside` windows, once for each place, so that a gram twice in one window counts
-    twice. seeds: the least of each `width` neighbouring grams."""
-    if not len(inside):
-        return grams[:0]
-    around = np.zeros(len(grams) + width - 1, np.uint64)
-    around[inside + width - 1] = seeds[inside]
-    return grams[~sliding_min(~around, width) == grams]
+def buckets_for(docs: DataFrame) -> int:
+    """log2 of a number of buckets, one for each stretch of 2 MB of text or so, of which a task compares one at a time."""
+    text_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    return min(24, max(6, (text_bytes >> 21).bit_length()))
+
+
+def parts_of_hot(left: int, parts: int = 4) -> list[tuple[int, int]]:
+    """Ranges of how many bytes before its suffix a string begins, which divide the strings around a hot beginning."""
+    cuts = [left * k // parts for k in range(parts)] + [left + 1]
+    return [(a, b - 1) for a, b in zip(cuts, cuts[1:])]
+
+
+def runs(doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """Repeats; runs of strings of one document that overlap or adjoin here become one."""
+    full = n > 0
+    doc, start, end = doc[full].astype(np.int64), start[full].astype(np.int64), (start + n)[full].astype(np.int64)
+    if len(doc):
+        order = np.lexsort((start, doc))
+        doc, start, end = doc[order], start[order], end[order]
+        new = np.concatenate(([True], doc[1:] != doc[:-1]))
+        # the furthest end so far in the document: ends of each document are lifted above those of the one before
+        lift = (np.cumsum(new) - 1) * (int(end.max()) + 1)
+        reach = np.maximum.accumulate(end + lift) - lift
+        new[1:] |= start[1:] > reach[:-1]
+        first = np.flatnonzero(new)
+        doc, start, end = doc[first], start[first], reach[np.append(first[1:], len(doc)) - 1]
+    return pa.record_batch([pa.array(x) for x in (doc, start, end - start)], names=["doc_id", "start", "n"])
 
 
 @dataclass

@@ -1,22 +1,25 @@
-"""Substring deduplication: winnowed seeds, extended to 20-word windows, and the repeats that they make up."""
+"""Substring deduplication: documents joined on winnowed anchors, matches extended both ways, maximal repeats removed."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docmill.llm.common import narrowed, null_if_lowest, text_blocks, word_spans
-from docmill.llm.hashing import Spans, sliding_min
-from docmill.llm.seeds import SeedFilter, chosen, copies_in, known_copies, repeated_seeds
+from docmill.llm.hashing import Spans, mixed, sliding_min
+from docmill.llm.seeds import buckets_for, parts_of_hot, repeated_seeds, runs
 
-#: Text bytes that a task works on at a time; its arrays take about 60 times that.
-BLOCK = 1 << 21
+#: Text bytes that a task works on at a time (its arrays take about 60 times that), and occurrences that it compares at a time.
+BLOCK, OCCURRENCES = 1 << 20, 1 << 15
+#: A longer word stands in contexts by a digest behind a byte that no word has.
+LONG = 64
 
 
 def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -25,98 +28,243 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-class Windows:
-    """The windows of `window` words of a block's rows, each with its hash and its seed.
-
-    The seed is the least hash of the seed_words-word sequences in the window: winnowing, by which equal windows have equal seeds
-    and neighbouring windows mostly the same one.
-    """
-
-    def __init__(self, data: np.ndarray, at: np.ndarray, window: int, seed_words: int):
-        starts, ends, first = word_spans(data, at)
-        words = Spans(data).of(starts, ends) if len(data) else np.zeros(0, np.uint64)
-        self.words_of = np.diff(first)
-        spans = Spans(words)
-        width = window - seed_words + 1
-        grams = spans.rolling(seed_words)
-        seeds = sliding_min(grams, width)
-        hashes = spans.rolling(window)
-        # windows that end in the row that they start in
-        row = np.repeat(np.arange(len(at) - 1), self.words_of)
-        inside = np.flatnonzero(row[: len(hashes)] == row[window - 1 :]) if len(hashes) else np.zeros(0, np.int64)
-        self.row = row[inside]
-        self.start = inside - first[self.row]
-        self.hash, self.seed = hashes[inside], seeds[inside]
-        self.chosen = chosen(grams, seeds, inside, width)
+def _array(data: np.ndarray, at: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data)])
 
 
-def _without(copy: np.ndarray, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A block's bytes and offsets with the rows in `copy` emptied."""
-    if not copy.any():
-        return data, at
-    sizes = np.diff(at)
-    return data[np.repeat(~copy, sizes)], np.concatenate(([0], np.cumsum(np.where(copy, 0, sizes))))
-
-
-def _ids(rows: pa.RecordBatch) -> np.ndarray:
-    return rows.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+class Words:
+    """The words of a block's rows, one after another and each followed by a space: word i is text[at[i] : at[i + 1]].
 
+    first: the index of each row's first word (one value more than rows).
+    """
 
-def _seeds(docs: DataFrame, window: int, seed_words: int, filter_bits: int, copies: Broadcast) -> SeedFilter:
-    def of_block(rows: pa.RecordBatch, data: np.ndarray, at: np.ndarray) -> np.ndarray:
-        copy = copies_in(copies.value, _ids(rows), data, at, 2 * window - 1)
-        return Windows(*_without(copy, data, at), window, seed_words).chosen
+    def __init__(self, data: np.ndarray, at: np.ndarray):
+        starts, ends, self.first = word_spans(data, at)
+        sizes = ends - starts
+        if (sizes > LONG).any():
+            words = [data[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist())]
+            words = [w if len(w) <= LONG else b"\x0b" + hashlib.blake2b(w, digest_size=32).hexdigest().encode() for w in words]
+            sizes = np.array([len(w) for w in words], np.int64)
+            letters = np.frombuffer(b"".join(words), np.uint8)
+        else:
+            covered = np.zeros(len(data) + 1, np.int8)
+            covered[starts] += 1
+            covered[ends] -= 1
+            letters = data[np.cumsum(covered[:-1], dtype=np.int8) > 0] if len(data) else data
+        self.at = np.concatenate(([0], np.cumsum(sizes + 1)))
+        self.text = np.full(int(self.at[-1]), 32, np.uint8)
+        self.text[np.arange(len(letters)) + np.repeat(np.arange(len(sizes)), sizes)] = letters
+
+    def hashes(self) -> np.ndarray:
+        """XXH64 of each word."""
+        coded = _array(self.text, self.at).dictionary_encode()
+        distinct = np.array([xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()], np.uint64)
+        return distinct[coded.indices.to_numpy()] if len(distinct) else np.zeros(0, np.uint64)
+
+
+class Anchors:
+    """The winnowed anchors of a block: in each window of `window` words, the place of the least hash of seed_words words.
+
+    So equal windows have equal anchors at equal places, and neighbouring windows mostly the same one.
+    """
 
-    return repeated_seeds(docs, of_block, filter_bits, BLOCK)
+    def __init__(self, data: np.ndarray, at: np.ndarray, window: int, seed_words: int):
+        self.words = Words(data, at)
+        first = self.words.first
+        self.spans = Spans(self.words.hashes())
+        grams = self.spans.rolling(seed_words)
+        width = window - seed_words + 1
+        least = sliding_min(grams, width)
+        row = np.repeat(np.arange(len(at) - 1), np.diff(first))
+        inside = np.flatnonzero(row[: len(least)] == row[window - 1 :]) if len(least) else np.zeros(0, np.int64)
+        around = np.zeros(len(grams) + width - 1, np.uint64)
+        if len(inside):
+            around[inside + width - 1] = least[inside]
+        self.places = np.flatnonzero((~sliding_min(~around, width) == grams) & (grams != 0)) if len(inside) else np.zeros(0, np.int64)
+        self.row = row[self.places]
+        # least hashes are small numbers: mixed again, they fill all buckets alike
+        self.seeds = mixed(grams[self.places])
+        self.left, self.right = self.places - first[self.row], first[self.row + 1] - self.places
+
+    def contexts(self, which: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[bytes]:
+        """The words from `left` before to `right` after the beginning of the anchors."""
+        at, text, places = self.words.at, memoryview(self.words.text), self.places[which]
+        return [bytes(text[a:b]) for a, b in zip(at[places - left].tolist(), at[places + right].tolist())]
+
+
+def earliest(doc: np.ndarray, place: np.ndarray, left: np.ndarray, contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Of occurrences with wholly equal contexts the earliest one, and those that come after it."""
+    order = np.lexsort((place, doc))
+    codes = pa.array([contexts[i] for i in order.tolist()], pa.large_binary()).dictionary_encode().indices.to_numpy()
+    _, at, group = np.unique(codes.astype(np.int64) << 8 | left[order], return_index=True, return_inverse=True)
+    low = order[at][group]
+    later = (doc[order] != doc[low]) | (place[order] != place[low])
+    return order[at], order[later]
+
+
+def extended(key: np.ndarray, doc: np.ndarray, place: np.ndarray, left: np.ndarray, right: np.ndarray, contexts: list[bytes], window: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(doc_id, window start): the repeats among occurrences of anchors, which are joined by their keys.
+
+    All matches of an anchor are extended at once, word by word to the right and then to the left: occurrences that agree so
+    far form a class, the next word divides it, and one that is alone is done. A window that begins `a` words before the anchor
+    matches where both its sides are in one class, and is a repeat wherever it isn't the earliest. Words are compared as such.
+    """
+    most = int(left.max(initial=0))
+    total = left + right
+    data = np.frombuffer(b"".join(contexts), np.uint8)
+    words = _array(data, np.concatenate(([0], np.flatnonzero(data == 32) + 1))).dictionary_encode().indices.to_numpy().astype(np.int64)
+    row = np.repeat(np.arange(len(key)), total)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(total) - total, total)
+    table = np.full((window + most, len(key)), -1, np.int64)
+    table[most - left[row] + nth, row] = words
+    size = int(words.max(initial=0)) + 1
+
+    def divided(classes: np.ndarray, word: np.ndarray) -> np.ndarray:
+        out = np.full(len(classes), -1, np.int64)
+        live = np.flatnonzero((classes >= 0) & (word >= 0))
+        _, new, count = np.unique(classes[live] * size + word[live], return_inverse=True, return_counts=True)
+        out[live] = np.where(count[new] > 1, new, -1)
+        return out
+
+    rights = [np.unique(key, return_inverse=True)[1].astype(np.int64)]
+    for k in range(window):
+        rights.append(divided(rights[-1], table[most + k]))
+    lefts = rights[0]
+    for a in range(min(most, window) + 1):
+        if a:
+            lefts = divided(lefts, table[most - a])
+        live = np.flatnonzero((lefts >= 0) & (rights[window - a] >= 0))
+        both = lefts[live] * len(key) + rights[window - a][live]
+        order = np.lexsort((place[live], doc[live], both))
+        live, both = live[order], both[order]
+        new = np.concatenate(([True], both[1:] != both[:-1]))[: len(both)]
+        low = live[np.flatnonzero(new)][np.cumsum(new) - 1]
+        later = live[(doc[live] != doc[low]) | (place[live] != place[low])]
+        yield doc[later], place[later] - a
+
+
+COLUMNS = "key long, kind int, doc_id long, start long, n int, occurrences binary"
+REPEAT, OCCURRENCE = 0, 1
+NAMES = [c.split()[0] for c in COLUMNS.split(", ")]
+
+
+def _repeats(doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """Repeats, dealt by a hash of their place."""
+    doc, start, n = (c.to_numpy() for c in runs(doc, start, n).columns)
+    key = mixed(doc.view(np.uint64) ^ mixed(start.view(np.uint64))).view(np.int64)
+    return pa.record_batch([*map(pa.array, (key, np.full(len(doc), REPEAT, np.int32), doc, start, n.astype(np.int32))), pa.nulls(len(doc), pa.binary())], names=NAMES)
+
+
+def packed(bucket_bits: int, key: np.ndarray, doc: np.ndarray, place: np.ndarray, left: np.ndarray, right: np.ndarray, contexts: list[bytes]) -> pa.RecordBatch:
+    """Occurrences as one row for each bucket (the upper bits of their keys), compressed: arrays of numbers, and the contexts."""
+    order = np.argsort(key, kind="stable")
+    bucket = (key[order] >> np.uint64(64 - bucket_bits)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(order) else order
+    squeeze = zstandard.ZstdCompressor(level=3).compress
+    blobs = []
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(order)]):
+        i = order[a:b]
+        numbers = np.stack([key[i].view(np.int64), doc[i], place[i], left[i], right[i]]).astype("<i8").view(np.uint8).reshape(5, -1, 8).transpose(0, 2, 1)
+        blobs.append(squeeze(np.ascontiguousarray(numbers).tobytes() + b"".join([contexts[j] for j in i.tolist()])))
+    n, size = np.diff(np.append(first, len(order))), len(first)
+    columns = [bucket[first], np.full(size, OCCURRENCE, np.int32), np.zeros(size, np.int64), np.zeros(size, np.int64), n.astype(np.int32)]
+    return pa.record_batch([*map(pa.array, columns), pa.array(blobs, pa.binary())], names=NAMES)
+
+
+def unpacked(blob: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """(keys, doc_ids, places, left, right, contexts) of a row of packed."""
+    data = zstandard.ZstdDecompressor().decompress(blob)
+    numbers = np.ascontiguousarray(np.frombuffer(data, np.uint8, 40 * n).reshape(5, 8, n).transpose(0, 2, 1)).view("<i8").reshape(5, n)
+    text = data[40 * n :]
+    ends = np.concatenate(([0], np.flatnonzero(np.frombuffer(text, np.uint8) == 32) + 1))
+    cuts = ends[np.concatenate(([0], np.cumsum(numbers[3] + numbers[4])))].tolist()
+    return numbers[0].view(np.uint64), *numbers[1:], [text[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 def repeated_windows(docs: DataFrame, window: int, seed_words: int, filter_bits: int) -> DataFrame:
     """(doc_id, start, n): runs of windows whose words also start earlier."""
-    copies = known_copies(docs, 2 * window - 1)
-    seeds = _seeds(docs, window, seed_words, filter_bits, copies)
+    reach = window - seed_words
+    seeds = repeated_seeds(docs, lambda rows, data, at: Anchors(data, at, window, seed_words).seeds, filter_bits, BLOCK)
+    bucket_bits = buckets_for(docs)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def whole(doc: np.ndarray, place: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return doc, place - left, left - np.maximum(0, window - right) + 1
+
+    def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = seeds.load()
+        held: list[tuple] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            """Of equal contexts only the earliest here may be the first of all; the others are repeats."""
+            key, doc, place, left, right = (np.concatenate(x) for x in zip(*(h[:5] for h in held)))
+            contexts = [c for h in held for c in h[5]]
+            held.clear()
+            first, later = earliest(doc, place, left, contexts)
+            yield _repeats(*whole(doc[later], place[later], left[later], right[later]))
+            yield packed(bucket_bits, key[first], doc[first], place[first], left[first], right[first], [contexts[i] for i in first.tolist()])
+
         for rows, data, at in text_blocks(batches, BLOCK):
-            ids = _ids(rows)
-            copy = copies_in(copies.value, ids, data, at, 2 * window - 1)
-            if copy.any():  # a copy's windows are repeats, all of them
-                n = np.array([len(data[a:b].tobytes().split()) for a, b in zip(at[:-1][copy], at[1:][copy])]) - window + 1
-                yield _batch(np.zeros(int((n > 0).sum()), np.int64), ids[copy][n > 0], np.zeros(int((n > 0).sum()), np.int64), n[n > 0].astype(np.int32))
-            w = Windows(*_without(copy, data, at), window, seed_words)
-            keep = known.has(w.seed)
-            doc, start, h = ids[w.row[keep]], w.start[keep], w.hash[keep]
-            if not len(doc):
-                continue
-            # in one block, only the earliest place of a window can be the earliest of all; the others are repeats already
-            order = np.lexsort((start, doc, h))
-            doc, start, h = doc[order], start[order], h[order]
-            group = np.concatenate(([0], np.flatnonzero(h[1:] != h[:-1]) + 1))
-            lowest = np.repeat(group, np.diff(np.append(group, len(h))))
-            later = (doc != doc[lowest]) | (start != start[lowest])
-            once = ~later
-            once[1:] &= ~((h[1:] == h[:-1]) & (doc[1:] == doc[:-1]) & (start[1:] == start[:-1]))  # a repeated row
-            yield _batch(h[once].view(np.int64), doc[once], start[once], np.zeros(int(once.sum()), np.int32))
-            # repeats, as runs of neighbouring starts
-            d, s = doc[later], start[later]
-            order = np.lexsort((s, d))
-            d, s = d[order], s[order]
-            fresh = np.concatenate(([True], (d[1:] != d[:-1]) | (s[1:] > s[:-1] + 1))) if len(d) else np.zeros(0, bool)
-            a = np.flatnonzero(fresh)
-            b = np.append(a[1:], len(d)) - 1
-            n = (s[b] - s[a] + 1).astype(np.int32) if len(a) else np.zeros(0, np.int32)
-            yield _batch(np.zeros(len(a), np.int64), d[a], s[a], n)
-
-    found = docs.mapInArrow(run, "hash long, doc_id long, start long, n int")
-    # a repeat of the block is no window to compare: it goes to a group of its own
-    group = [F.when(F.col("n") == 0, F.col("hash")).otherwise(F.xxhash64("doc_id", "start")), F.col("n") == 0]
-    nth = F.rank().over(W.partitionBy(*group).orderBy("doc_id", "start"))
-    later = found.withColumn("nth", F.when(F.col("n") == 0, nth).otherwise(2)).where("nth > 1")
-    return later.select("doc_id", "start", F.greatest("n", F.lit(1)).alias("n"))
-
-
-def _batch(h: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(h), pa.array(doc), pa.array(start.astype(np.int64)), pa.array(n)], names=["hash", "doc_id", "start", "n"])
+            anchors = Anchors(data, at, window, seed_words)
+            ids = rows.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+            keep = known.has(anchors.seeds)
+            hot = known.hot(anchors.seeds)
+            for low, high in [(0, reach), *(parts_of_hot(reach) if (keep & hot).any() else ())]:
+                some = keep & ~hot if (low, high) == (0, reach) else keep & hot & (anchors.left >= low) & (anchors.right >= window - high)
+                i = np.flatnonzero(some)
+                if not len(i):
+                    continue
+                left, right, place = np.minimum(anchors.left[i], high), np.minimum(anchors.right[i], window - low), anchors.places[i]
+                key = anchors.seeds[i] if (low, high) == (0, reach) else mixed(anchors.spans.of(place - low, place + window - high) + np.uint64(low))
+                held.append((key, ids[anchors.row[i]], anchors.left[i], left, right, anchors.contexts(i, left, right)))
+            if sum(len(h[0]) for h in held) >= 1 << 15:
+                yield from flush()
+        if held:
+            yield from flush()
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by (kind, key)."""
+        held: list[tuple] = []  # the occurrences of one bucket
+        bucket = -1
+
+        def bucketful() -> Iterator[pa.RecordBatch]:
+            """Extends the matches of the bucket, whole anchors at a time."""
+            columns, contexts = [np.concatenate(x) for x in zip(*(h[:5] for h in held))], [c for h in held for c in h[5]]
+            held.clear()
+            order = np.argsort(columns[0], kind="stable")
+            a = 0
+            while a < len(order):
+                key = columns[0][order]
+                b = int(np.searchsorted(key, key[min(a + OCCURRENCES, len(key)) - 1], side="right"))
+                i = order[a:b]
+                yield from matches(*(c[i] for c in columns), [contexts[j] for j in i.tolist()])
+                a = b
+
+        def matches(key: np.ndarray, doc: np.ndarray, place: np.ndarray, left: np.ndarray, right: np.ndarray, contexts: list[bytes]) -> Iterator[pa.RecordBatch]:
+            first, later = earliest(doc, place, left, contexts)
+            yield runs(*whole(doc[later], place[later], left[later], right[later]))
+            # an anchor that is left with one context has no other match
+            _, group, count = np.unique(key[first], return_inverse=True, return_counts=True)
+            i = first[count[group] > 1]
+            if len(i):
+                found = list(extended(key[i], doc[i], place[i], left[i], right[i], [contexts[j] for j in i.tolist()], window))
+                d, s = (np.concatenate(x) for x in zip(*found))
+                yield runs(d, s, np.ones(len(d), np.int64))
+
+        for batch in batches:
+            kind = batch.column("kind").to_numpy(zero_copy_only=False)
+            repeat = batch.slice(0, int((kind == REPEAT).sum()))
+            if repeat.num_rows:
+                yield runs(*(repeat.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "start", "n")))
+            for key, n, blob in zip(*(batch.slice(repeat.num_rows).column(c).to_pylist() for c in ("key", "n", "occurrences"))):
+                if held and key != bucket:
+                    yield from bucketful()
+                bucket = key
+                held.append(unpacked(blob, n))
+        if held:
+            yield from bucketful()
+
+    rows = docs.mapInArrow(anchored, COLUMNS).repartition("key").sortWithinPartitions("kind", "key")
+    return rows.mapInArrow(compared, "doc_id long, start long, n long")
 
 
 def drop_repeated_words(docs: DataFrame, window: int = 20, seed_words: int = 5, filter_bits: int = 27) -> DataFrame:
@@ -128,13 +276,14 @@ def drop_repeated_words(docs: DataFrame, window: int = 20, seed_words: int = 5,
     doc_id is the smallest. Rows that repeat a doc_id are copies of one document: they lose the same words, and neither counts as
     the earlier.
 
-    0. Whole copies of a text under a larger doc_id are repeats throughout; those that weigh most are known beforehand.
-    1. Seeds: in every window, the least hash of its seed_words-word sequences. Seeds found once cannot stand for a repeat.
-       Those found again go into a filter of 2**filter_bits bits at most, so that what is broadcast is bounded; where it fills
-       up, more windows are compared below, with the same result.
-    2. Extension: around seeds that pass, windows are compared by their 64-bit hashes. In a task's block all but the earliest
-       place of a window is a repeat at once, so that a text copied a million times sends one place for each block.
-    3. The places of a window that come after its first are repeats; overlapping and adjoining ones are one maximal repeat.
+    1. Anchors: in every window, the least hash of its seed_words-word sequences. Anchors found once cannot stand for a repeat.
+       Those found again go into a filter of 2**filter_bits bits, so that what is broadcast is bounded; where it fills up, more
+       anchors are joined below, with the same result.
+    2. Join: occurrences of anchors that pass are dealt by anchor, with the words that a window around them can reach. In a task's
+       block only the earliest of equal contexts is sent: the others are repeats at once. Very frequent anchors (seeds.HOT) are
+       dealt by further words, in four parts by how far before the anchor a window may begin.
+    3. Extension: matches of an anchor are extended both ways on their words (`extended`); windows that come after their first
+       occurrence are repeats. Overlapping and adjoining ones are one maximal repeat. No result hangs on a hash alone.
     """
     docs = narrowed(docs)
     found = repeated_windows(docs, window, seed_words, filter_bits)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from docmill.llm.common import narrowed, null_if_lowest, text_blocks
 from docmill.llm.hashing import Spans, mixed, sliding_min
-from docmill.llm.seeds import copies_in, known_copies, repeated_seeds
+from docmill.llm.seeds import buckets_for, copies_in, known_copies, parts_of_hot, repeated_seeds, runs
 
 #: Text bytes that a task works on at a time, and suffixes that it sorts at a time.
 BLOCK, SUFFIXES = 1 << 21, 1 << 15
@@ -205,9 +205,7 @@ def repeated_strings(docs: DataFrame, length: int, gram: int, filter_bits: int)
         return Places(data, at, length, gram).seeds
 
     seeds = repeated_seeds(docs, of_block, filter_bits, BLOCK)
-    # a bucket of suffixes is sorted in one task: as many buckets as there are stretches of 2 MB of text
-    text_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
-    bucket_bits = min(24, max(6, (text_bytes >> 21).bit_length()))
+    bucket_bits = buckets_for(docs)
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = seeds.load()
@@ -267,7 +265,7 @@ def repeated_strings(docs: DataFrame, length: int, gram: int, filter_bits: int)
 
         def repeats(seed: np.ndarray, doc: np.ndarray, start: np.ndarray, context: np.ndarray) -> Iterator[pa.RecordBatch]:
             first, later = collapsed(doc, context, left, seed)
-            yield _found(*_whole(doc[later], start[later], context[later], left, length))
+            yield runs(*_whole(doc[later], start[later], context[later], left, length))
             # a seed that is left with one suffix has no other repeat
             seed = seed[first]
             again = np.zeros(len(seed), bool)
@@ -282,13 +280,13 @@ def repeated_strings(docs: DataFrame, length: int, gram: int, filter_bits: int)
                 low = np.minimum.reduceat(doc[row], np.flatnonzero(new))
                 late = doc[row] > low[group]
                 r, n = row[late], before[late] - np.maximum(0, length - after[late]) + 1
-                yield _found(doc[r], start[r] - before[late], n)
+                yield runs(doc[r], start[r] - before[late], n)
 
         for batch in batches:
             kind = batch.column("kind").to_numpy(zero_copy_only=False)
             repeat = batch.slice(0, int((kind == REPEAT).sum()))
             if repeat.num_rows:
-                yield _found(*(repeat.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "start", "n")))
+                yield runs(*(repeat.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "start", "n")))
             suffix = batch.slice(repeat.num_rows)
             for key, n, blob in zip(*(suffix.column(c).to_pylist() for c in ("key", "n", "context"))):
                 if held and key != bucket:
@@ -302,38 +300,15 @@ def repeated_strings(docs: DataFrame, length: int, gram: int, filter_bits: int)
     return rows.mapInArrow(compared, "doc_id long, start long, n long")
 
 
-def parts_of_hot(left: int, parts: int = 4) -> list[tuple[int, int]]:
-    """Ranges of how many bytes before its suffix a string begins, which divide the strings around a hot beginning."""
-    cuts = [left * k // parts for k in range(parts)] + [left + 1]
-    return [(a, b - 1) for a, b in zip(cuts, cuts[1:])]
-
-
 def _whole(doc: np.ndarray, start: np.ndarray, context: np.ndarray, left: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(doc_id, start, n): all strings of contexts."""
     before, after = _extents(context, left)
     return doc, start - before, before - np.maximum(0, length - after) + 1
 
 
-def _found(doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    """Repeats; runs of strings of one document that overlap or adjoin here become one."""
-    full = n > 0
-    doc, start, end = doc[full].astype(np.int64), start[full].astype(np.int64), (start + n)[full].astype(np.int64)
-    if len(doc):
-        order = np.lexsort((start, doc))
-        doc, start, end = doc[order], start[order], end[order]
-        new = np.concatenate(([True], doc[1:] != doc[:-1]))
-        # the furthest end so far in the document: ends of each document are lifted above those of the one before
-        lift = (np.cumsum(new) - 1) * (int(end.max()) + 1)
-        reach = np.maximum.accumulate(end + lift) - lift
-        new[1:] |= start[1:] > reach[:-1]
-        first = np.flatnonzero(new)
-        doc, start, end = doc[first], start[first], reach[np.append(first[1:], len(doc)) - 1]
-    return pa.record_batch([pa.array(x) for x in (doc, start, end - start)], names=["doc_id", "start", "n"])
-
-
 def _some(doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     """Repeats, dealt by a hash of their place."""
-    doc, start, n = (c.to_numpy() for c in _found(doc, start, n).columns)
+    doc, start, n = (c.to_numpy() for c in runs(doc, start, n).columns)
     return _rows(REPEAT, mixed(doc.view(np.uint64) ^ mixed(start.view(np.uint64))), doc, start, n)
 
 

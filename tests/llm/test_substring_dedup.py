@@ -1,12 +1,13 @@
+import random
 import re
 from collections import defaultdict
 
 import numpy as np
 
-from docmill.llm import substring_dedup
+from docmill.llm import seeds, substring_dedup
 from docmill.llm.hashing import Spans, sliding_min
-from docmill.llm.substring_dedup import drop_repeated_words
-from tests.llm.helpers import corpus, frame
+from docmill.llm.substring_dedup import drop_repeated_words, extended
+from tests.llm.helpers import corpus, frame, words
 
 
 def brute(rows, window):
@@ -37,6 +38,39 @@ def test_against_brute_force(spark, monkeypatch):
     assert sum(x[3] for x in brute(rows, 20)) > 500
 
 
+def test_hot_anchors(spark, monkeypatch):
+    rng = random.Random(3)
+    line = [f"w{k}" for k in range(27)]
+    rows = [(i, " ".join([rng.choice("abc") for _ in range(rng.randrange(18))] + line[: rng.choice([12, 19, 20, 27])] + [rng.choice("xy")] * 9)) for i in range(150)]
+    monkeypatch.setattr(seeds, "HOT", 5)
+    monkeypatch.setattr(substring_dedup, "BLOCK", 2000)
+    monkeypatch.setattr(substring_dedup, "OCCURRENCES", 40)
+    got = drop_repeated_words(frame(spark, rows), filter_bits=20).collect()
+    assert sorted(tuple(r[:4]) for r in got) == brute(rows, 20)
+
+
+def test_words_that_collide_and_very_long_texts(spark):
+    thue = ["a"]
+    while len(thue) < 2048:
+        thue += ["b" if x == "a" else "a" for x in thue]
+    one, other = "".join(thue), "".join("b" if x == "a" else "a" for x in thue)
+    rest = " ".join(f"w{k}" for k in range(19))
+    long = words(random.Random(4), 300_000, 90_000)  # more than two blocks
+    rows = [(1, f"{one} {rest}"), (2, f"{other} {rest}"), (3, f"{one} {rest}"), (4, f"{long} {one} {rest}"), (5, f"tail {long[-900_000:]}")]
+    got = {r.doc_id: r for r in drop_repeated_words(frame(spark, rows), filter_bits=22).collect()}
+    assert [got[i].n_removed for i in (1, 2, 3, 4)] == [0, 0, 20, 20]
+    assert got[5].n_removed >= len(long[-900_000:].split()) - 1
+    assert got[4].spans[0].start == 300_000
+
+
+def test_matches_are_extended_both_ways():
+    # one anchor "x y", windows of four words; the occurrences differ to the left or to the right
+    texts = [b"p q x y r s ", b"p q x y t u ", b"m q x y r s "]
+    three = np.array([2, 2, 2])
+    found = {(d, s) for doc, start in extended(np.zeros(3, np.uint64), np.arange(3), three, three, three + 2, texts, 4) for d, s in zip(doc.tolist(), start.tolist())}
+    assert found == {(1, 0), (2, 1), (2, 2)}
+
+
 def test_empty_table(spark):
     assert drop_repeated_words(frame(spark, [])).count() == 0
 
