@@ -4,22 +4,24 @@ from __future__ import annotations
 
 import heapq
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from docmill.llm.common import NULL_ID, narrowed
+from docmill.llm.common import NULL_ID, narrowed, text_blocks, text_buffers, word_spans
 
-#: str.split() parts words there, but the tokenizer doesn't
-_ODD = re.compile("[\x1c-\x1f]")
 #: letters of ASCII and Latin-1, and signs (no apostrophe, which may open an ending)
-_LETTERS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-_{-~]*)")
+_LETTERS = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
+_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_{|}~"
+#: Text bytes whose words are looked up at a time.
+BLOCK = 1 << 22
 
 
 def karmarkar_karp(sizes: list[int], k: int) -> np.ndarray:
@@ -73,16 +75,28 @@ def windows(sizes: list[int], capacity: int) -> np.ndarray:
         k += 1
 
 
+def _slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The stretches of data, in order and without overlap, as strings."""
+    covered = np.zeros(len(data) + 1, np.int8)
+    full = ends > starts
+    covered[starts[full]] += 1
+    covered[ends[full]] -= 1
+    letters = data[np.cumsum(covered[:-1], dtype=np.int8) > 0]
+    at = np.concatenate(([0], np.cumsum(ends - starts)))
+    return pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(letters))])
+
+
 class Ids:
     """Texts to ids (little-endian 32-bit), through a bounded memory of words; the same ids as the tokenizer gives the text.
 
     The tokenizer drops white space and never joins what it parts, so that a text's ids are those of its words in turn. It parts
     a run of letters from the signs that follow, and ends each part with an end-of-word id. So letters of one or two bytes that
     have no other form are looked up as such, lower-cased, many in one call without its regular expressions; any other word is
-    given to the whole tokenizer.
+    given to the whole tokenizer. The distinct words of a block are found by Arrow, as are the parts of new ones; dictionaries name
+    the place of a word's and a part's ids in one array, and are emptied when they are full.
     """
 
-    MOST = 300_000
+    MOST = 600_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -97,50 +111,80 @@ class Ids:
         vocabulary = self.letters.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for s, i in vocabulary.items() if s.endswith("</w>")]] = True
-        self.words: list[dict[str, bytes]] = [{}, {}]  # the newer, the older
-        self.parts: list[dict[str, bytes]] = [{}, {}]
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _encode_letters(self, parts: list[str]) -> list[bytes]:
-        ids = np.array(self.letters.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, "<u4")
-        cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-        if len(cuts) != len(parts):  # not a vocabulary with ends of words
-            return self._encode(parts)
-        data = ids.tobytes()
-        return [data[a:b] for a, b in zip([0, *cuts], cuts)]
-
-    def _known(self, memory: list[dict[str, bytes]], keys: set[str], make) -> dict[str, bytes]:
-        """The memory with all keys in it; `make` gets those that aren't. A full memory becomes the older one."""
-        if len(memory[0]) > self.MOST:
-            memory[:] = [{}, memory[0]]
-        newer, older = memory
-        missing = []
-        for key in keys:
-            if key in newer:
-                continue
-            if (found := older.get(key)) is None:
-                missing.append(key)
-            else:
-                newer[key] = found
+        self._empty()
+
+    def _empty(self) -> None:
+        self.words: dict[str, int] = {}
+        self.parts: tuple[dict[str, int], dict[str, int]] = {}, {"": 0}  # of letters, of all else
+        self.ids, self.at, self.used = np.zeros(1 << 20, np.uint32), np.zeros(1 << 16, np.int64), 1  # entry i is ids[at[i] : at[i + 1]]
+
+    def _add(self, ids: np.ndarray, sizes: np.ndarray) -> int:
+        """Puts new entries behind the others; the number of the first."""
+        first, end = self.used, int(self.at[self.used]) + len(ids)
+        while end > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while first + len(sizes) >= len(self.at):
+            self.at = np.concatenate([self.at, np.zeros_like(self.at)])
+        self.ids[end - len(ids) : end] = ids
+        self.at[first + 1 : first + len(sizes) + 1] = end - len(ids) + np.cumsum(sizes)
+        self.used += len(sizes)
+        return first
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([i for ids in found for i in ids], np.uint32), np.array([len(ids) for ids in found], np.int64)
+
+    def _encode_letters(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.array(self.letters.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, np.uint32)
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        return (ids, np.diff(cuts, prepend=0)) if len(cuts) == len(parts) else self._encode(parts)  # not a vocabulary with ends of words
+
+    def _numbers(self, words: list[str], letters: bool) -> np.ndarray:
+        """The entries of words, new ones made."""
+        known, make = self.parts[not letters], self._encode_letters if letters else self._encode
+        missing = list(dict.fromkeys(w for w in words if w not in known))
         for first in range(0, len(missing), 512):
-            part = missing[first : first + 512]
-            newer.update(zip(part, make(part)))
-        return newer
-
-    def _of_words(self, words: list[str]) -> list[bytes]:
-        split = [_LETTERS.fullmatch(w) for w in words]
-        parts = {m.group(1).lower() for m in split if m}
-        letters = self._known(self.parts, parts, self._encode_letters)
-        rest = {m.group(2) for m in split if m} | {w for w, m in zip(words, split) if m is None}
-        other = dict(zip(rest, self._encode(list(rest))))
-        return [letters[m.group(1).lower()] + other[m.group(2)] if m else other[w] for w, m in zip(words, split)]
-
-    def of(self, texts: list[str]) -> list[bytes]:
-        words = [[] if _ODD.search(t) else t.split() for t in texts]
-        get = self._known(self.words, {w for ws in words for w in ws}, self._of_words).__getitem__
-        return [b"".join(map(get, ws)) if ws else (self._encode([t])[0] if t else b"") for t, ws in zip(texts, words)]
+            some = missing[first : first + 512]
+            known.update(zip(some, range(at := self._add(*make(some)), at + len(some))))
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+
+    def of(self, texts: list[str] | pa.Array) -> list[bytes]:
+        data, at = text_buffers(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()))
+        starts, ends, first = word_spans(data, at)
+        if not len(starts):
+            return [b""] * len(texts)
+        if self.used > self.MOST:
+            self._empty()
+        coded = _slices(data, starts, ends).dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        numbers = np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
+        if len(new := np.flatnonzero(numbers < 0)):
+            numbers[new] = self._new(coded.dictionary.take(pa.array(new)))
+            self.words.update(zip((words[i] for i in new.tolist()), numbers[new].tolist()))
+        ids, sizes = self._gathered(numbers[coded.indices.to_numpy()])
+        cuts = np.concatenate(([0], np.cumsum(sizes)))[first].tolist()
+        ids = ids.astype("<u4")
+        return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+
+    def _gathered(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of entries, one after another, and how many each has."""
+        begins = self.at[entries]
+        sizes = self.at[entries + 1] - begins
+        ends = np.cumsum(sizes)
+        return self.ids[np.repeat(begins - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)], sizes
+
+    def _new(self, words: pa.Array) -> np.ndarray:
+        """Entries for words: letters and the signs after them, or whole."""
+        core = pc.ascii_rtrim(words, characters=_SIGNS)
+        plain = pc.match_substring_regex(core, _LETTERS).to_numpy(zero_copy_only=False)
+        numbers = np.zeros((len(words), 2), np.int64)
+        numbers[plain, 0] = self._numbers(pc.utf8_lower(core.filter(pa.array(plain))).to_numpy(zero_copy_only=False).tolist(), True)
+        numbers[~plain, 0] = self._numbers(words.filter(pa.array(~plain)).to_numpy(zero_copy_only=False).tolist(), False)
+        letters, place = text_buffers(words)
+        signs = _slices(letters, (place[:-1] + pc.binary_length(core).to_numpy())[plain], place[1:][plain]).dictionary_encode()
+        numbers[plain, 1] = self._numbers(signs.dictionary.to_numpy(zero_copy_only=False).tolist(), False)[signs.indices.to_numpy()]
+        ids, sizes = self._gathered(numbers.ravel())
+        return self._add(ids, sizes.reshape(-1, 2).sum(axis=1)) + np.arange(len(words))
 
 
 @cache
@@ -199,10 +243,9 @@ def pack_documents(
         names = [c.split()[0] for c in columns.split(", ")]
         full = group * (capacity - slack)
         for batch in batches:
-            for first in range(0, batch.num_rows, 256):
-                part = batch.slice(first, 256)
+            for part, _, _ in text_blocks([batch], BLOCK):
                 doc_ids = [None if i == NULL_ID else i for i in part.column("doc_id").to_pylist()]
-                for doc_id, data in zip(doc_ids, ids.of(part.column("text").to_pylist())):
+                for doc_id, data in zip(doc_ids, ids.of(part.column("text"))):
                     data = memoryview(data + end)
                     n, start = len(data) // 4, 0
                     while n - start >= capacity:
