@@ -62,15 +62,33 @@ def best_alignment(item: np.ndarray, region: np.ndarray, budget: int, shift: int
 
 
 class Items:
-    """One block of benchmark items, indexed by q-grams."""
+    """One block of benchmark items, indexed by q-grams of at most `q` code points.
+
+    An edit destroys g of an item's m - g + 1 g-grams at most, so that m - g + 1 - g * e are left after e edits. An item whose
+    budget leaves no 8-gram is indexed by the longest g-grams of which one is left: g = m // (e + 1).
+    """
+
+    def __init__(self, items: list[tuple[int, str]], q: int, rate: float):
+        by_gram: dict[int, list[tuple[int, str]]] = {}
+        for i, t in items:
+            if t := normalised(t or ""):
+                by_gram.setdefault(min(q, len(t) // (int(rate * len(t)) + 1)), []).append((i, t))
+        self.indexes = [Index(part, g, rate) for g, part in sorted(by_gram.items())]
+
+    def matches(self, text: str) -> list[tuple[int, int, int, int]]:
+        """(item_id, edits, start, end) of the best match of each item in the normalised text; ties: the first."""
+        points = code_points(text)
+        return sorted(m for index in self.indexes for m in index.matches(text, points))
+
+
+class Index:
+    """Items that are indexed by grams of one length."""
 
     def __init__(self, items: list[tuple[int, str]], q: int, rate: float):
         self.q = q
-        texts = [(i, normalised(t or "")) for i, t in items]
-        self.items = [(i, t, code_points(t)) for i, t in texts if len(t) >= q]
+        self.items = [(i, t, code_points(t)) for i, t in items]
         n = [len(p) for _, _, p in self.items]
-        # an edit destroys q of the m - q + 1 q-grams at most: those that must be left; at least one has to be
-        self.budget = [max(0, min(int(rate * m), (m - q) // q)) for m in n]
+        self.budget = [int(rate * m) for m in n]
         self.needed = [m - q + 1 - q * e for m, e in zip(n, self.budget)]
         hashes = [grams(p, q) for _, _, p in self.items]
         flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
@@ -82,11 +100,9 @@ class Items:
         self.slots[(flat >> np.uint64(64 - SLOT_BITS)).astype(np.int64)] = 1
         self.reach = max((m - q + 1 + e for m, e in zip(n, self.budget)), default=1)  # places that a match spans at most
 
-    def matches(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(item_id, edits, start, end) of the best match of each item in the normalised text; ties: the first."""
-        points = code_points(text)
+    def matches(self, text: str, points: np.ndarray) -> list[tuple[int, int, int, int]]:
         hashes = grams(points, self.q)
-        if not len(hashes) or not self.items:
+        if not len(hashes):
             return []
         hit = self.slots[(hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
         best: dict[int, tuple[int, int, int]] = {}
@@ -156,9 +172,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1,
     rate * (item length) edits; the best such stretch (fewest edits, then the first), by code points of the normalised text.
 
     Both sides are lower-cased and their white space is collapsed. A text with at most e edits of an item of m code points shares
-    m - q + 1 - q * e of the item's q-grams with it inside a band of e + 1 diagonals; where m is so short that none would be left, e is
-    lowered. Items of fewer than q code points, and null ones, match nothing; null or empty texts match nothing. Items with
-    equal texts are each reported. The items are a stated query set, taken against all rows in blocks of about block_chars.
+    m - q + 1 - q * e of the item's q-grams with it inside a band of e + 1 diagonals; where m is so short that none would be left,
+    shorter grams are taken, so that every item has its whole budget (below ten code points: none, the item itself is sought).
+    Items without text match nothing; null or empty texts match nothing. Items with equal texts are each reported. The items are a stated query set, taken against all rows in blocks of about block_chars.
     """
     out = None
     for block in _blocks(benchmark, block_chars):

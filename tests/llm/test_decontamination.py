@@ -25,7 +25,7 @@ def changed(rng, text, n):
 
 def case():
     rng = random.Random(9)
-    items = [(k, words(rng, 12, 4000)) for k in range(12)] + [(50, "tiny"), (51, None), (52, ""), (53, "abcdefgh")]
+    items = [(k, words(rng, 12, 4000)) for k in range(12)] + [(50, "w17 w"), (51, None), (52, ""), (53, "abcdefgh")]
     items.append((60, items[0][1]))
     rows = corpus(n=20)
     for k in range(36):
@@ -35,13 +35,12 @@ def case():
     return rows, items
 
 
-def brute(rows, items, q=8, rate=0.1):
+def brute(rows, items, rate=0.1):
     out = set()
     for i, t in rows:
         for k, p in items:
             p = normalised(p or "")
-            budget = min(int(rate * len(p)), (len(p) - q) // q)
-            if len(p) >= q and (n := edits(p, normalised(t or ""))) <= max(0, budget):
+            if p and (n := edits(p, normalised(t or ""))) <= int(rate * len(p)):
                 out.add((-1 if i is None else i, k, n))
     return out
 
@@ -87,6 +86,14 @@ def test_random_alignments():
             assert edits(item, text[got[1] : got[2]]) == got[0]
 
 
-def test_short_items_get_a_lower_budget():
-    items = Items([(1, "abcdefgh"), (2, "abcdefghijklmnopqrstuvwxyz")], 6, 0.1)
-    assert items.budget == [0, 2] and items.needed == [3, 9]
+def test_short_items_keep_their_budget():
+    items = Items([(1, "abcdefgh"), (2, "abcdefghijklmnopqrstuvwxyz"), (3, "abcdefghij"), (4, "xyz")], 8, 0.1)
+    assert [(x.q, x.budget, x.needed) for x in items.indexes] == [(3, [0], [1]), (5, [1], [1]), (8, [0, 2], [1, 3])]
+
+
+def test_short_items_against_brute_force(spark):
+    rng = random.Random(12)
+    items = [(n, "".join(rng.choice("abcdefghijkl") for _ in range(n))) for n in (1, 3, 7, 8, 9, 10, 12, 15, 19, 20, 21, 23, 29, 30, 31, 39, 40, 47)]
+    rows = [(k, "".join(rng.choice("mnopqrst ") for _ in range(20)) + changed(rng, t, e) + "".join(rng.choice("mnopqrst ") for _ in range(20))) for k, (t, e) in enumerate((t, e) for _, t in items for e in range(5))]
+    got = find_contamination(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.edits) for r in got} == brute(rows, items)
