@@ -2,24 +2,21 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm.common import narrowed, null_if_lowest, text_blocks, word_spans
+from docmill.llm.common import narrowed, null_if_lowest, text_blocks
 from docmill.llm.hashing import Spans, mixed, sliding_min
 from docmill.llm.seeds import buckets_for, parts_of_hot, repeated_seeds, runs
+from docmill.llm.words import Words, byte_strings
 
 #: Text bytes that a task works on at a time (its arrays take about 60 times that), and occurrences that it compares at a time.
 BLOCK, OCCURRENCES = 1 << 20, 1 << 15
-#: A longer word stands in contexts by a digest behind a byte that no word has.
-LONG = 64
 
 
 def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -28,40 +25,6 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def _array(data: np.ndarray, at: np.ndarray) -> pa.Array:
-    return pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data)])
-
-
-class Words:
-    """The words of a block's rows, one after another and each followed by a space: word i is text[at[i] : at[i + 1]].
-
-    first: the index of each row's first word (one value more than rows).
-    """
-
-    def __init__(self, data: np.ndarray, at: np.ndarray):
-        starts, ends, self.first = word_spans(data, at)
-        sizes = ends - starts
-        if (sizes > LONG).any():
-            words = [data[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist())]
-            words = [w if len(w) <= LONG else b"\x0b" + hashlib.blake2b(w, digest_size=32).hexdigest().encode() for w in words]
-            sizes = np.array([len(w) for w in words], np.int64)
-            letters = np.frombuffer(b"".join(words), np.uint8)
-        else:
-            covered = np.zeros(len(data) + 1, np.int8)
-            covered[starts] += 1
-            covered[ends] -= 1
-            letters = data[np.cumsum(covered[:-1], dtype=np.int8) > 0] if len(data) else data
-        self.at = np.concatenate(([0], np.cumsum(sizes + 1)))
-        self.text = np.full(int(self.at[-1]), 32, np.uint8)
-        self.text[np.arange(len(letters)) + np.repeat(np.arange(len(sizes)), sizes)] = letters
-
-    def hashes(self) -> np.ndarray:
-        """XXH64 of each word."""
-        coded = _array(self.text, self.at).dictionary_encode()
-        distinct = np.array([xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()], np.uint64)
-        return distinct[coded.indices.to_numpy()] if len(distinct) else np.zeros(0, np.uint64)
-
-
 class Anchors:
     """The winnowed anchors of a block: in each window of `window` words, the place of the least hash of seed_words words.
 
@@ -112,7 +75,7 @@ def extended(key: np.ndarray, doc: np.ndarray, place: np.ndarray, left: np.ndarr
     most = int(left.max(initial=0))
     total = left + right
     data = np.frombuffer(b"".join(contexts), np.uint8)
-    words = _array(data, np.concatenate(([0], np.flatnonzero(data == 32) + 1))).dictionary_encode().indices.to_numpy().astype(np.int64)
+    words = byte_strings(data, np.concatenate(([0], np.flatnonzero(data == 32) + 1))).dictionary_encode().indices.to_numpy().astype(np.int64)
     row = np.repeat(np.arange(len(key)), total)
     nth = np.arange(len(row)) - np.repeat(np.cumsum(total) - total, total)
     table = np.full((window + most, len(key)), -1, np.int64)
@@ -325,7 +288,7 @@ OP6_SQL = r"""
 WITH w AS (
   SELECT doc_id, pos, word FROM (
     SELECT doc_id, unnest(l) AS word, unnest(range(len(l))) AS pos
-    FROM (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS l FROM documents))),
+    FROM (SELECT doc_id, list_filter(regexp_split_tobyte_strings(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS l FROM documents))),
 win AS (
   SELECT doc_id, pos, string_agg(word, ' ') OVER s AS h, count(*) OVER s AS n
   FROM w WINDOW s AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
