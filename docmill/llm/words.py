@@ -44,5 +44,6 @@ class Words:
     def hashes(self) -> np.ndarray:
         """XXH64 of each word."""
         coded = byte_strings(self.text, self.at).dictionary_encode()
-        distinct = np.array([xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()], np.uint64)
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        distinct = np.fromiter(map(xxhash.xxh64_intdigest, distinct), np.uint64, len(distinct))
         return distinct[coded.indices.to_numpy()] if len(distinct) else np.zeros(0, np.uint64)
