@@ -43,11 +43,11 @@ FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY d.lang""", N
     "agg_rollup": ("""
 SELECT l_returnflag, l_linestatus, count(*) AS n, count(DISTINCT l_suppkey) AS n_suppliers, max(l_shipdate) AS last_seen, grouping(l_linestatus) AS level FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_returnflag, l_linestatus))""", """
 SELECT l_returnflag, l_linestatus, count(*) AS n, count(DISTINCT l_suppkey) AS n_suppliers, max(l_shipdate) AS last_seen, grouping(l_linestatus)::TINYINT AS level FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_returnflag, l_linestatus))"""),
-    # recency weight max(0.2, 1 - min(age / 120, 0.8)) at a stated day, top 50 of each type
+    # recency weight max(0.2, 1 - min(age / 120, 0.8)) as of the newest event's day, top 50 of each type
     "agg_recency": ("""
-WITH w AS (SELECT event_type, user_id, round(sum(greatest(0.2D, 1 - least(datediff(DATE'2030-01-01', CAST(ts AS DATE)) % 150 / 120D, 0.8D))), 6) AS weight FROM events GROUP BY event_type, user_id),
+WITH w AS (SELECT event_type, user_id, round(sum(greatest(0.2D, 1 - least(datediff((SELECT max(CAST(ts AS DATE)) FROM events), CAST(ts AS DATE)) / 120D, 0.8D))), 6) AS weight FROM events GROUP BY event_type, user_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY weight DESC, user_id) AS nth FROM w) SELECT event_type, user_id, weight, CAST(nth AS BIGINT) AS nth FROM r WHERE nth <= 50""", """
-WITH w AS (SELECT event_type, user_id, round(sum(greatest(0.2::DOUBLE, 1 - least(datediff('day', CAST(ts AS DATE), DATE '2030-01-01') % 150 / 120::DOUBLE, 0.8::DOUBLE))), 6) AS weight FROM events GROUP BY event_type, user_id),
+WITH w AS (SELECT event_type, user_id, round(sum(greatest(0.2::DOUBLE, 1 - least(datediff('day', CAST(ts AS DATE), (SELECT max(CAST(ts AS DATE)) FROM events)) / 120::DOUBLE, 0.8::DOUBLE))), 6) AS weight FROM events GROUP BY event_type, user_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY weight DESC, user_id) AS nth FROM w) SELECT event_type, user_id, weight, nth FROM r WHERE nth <= 50"""),
     "agg_latency": ("""
 SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, percentile_disc(0.95) WITHIN GROUP (ORDER BY value) AS p95, max(value) AS highest FROM events GROUP BY event_type""", """
@@ -85,12 +85,12 @@ SELECT p_brand, p_partkey, CAST(by_price AS BIGINT) AS by_price, CAST(by_size AS
 SELECT user_id, max(score) AS score FROM (SELECT user_id, round(value * 0.37D + 0.58D, 6) AS score FROM events WHERE event_type = 'purchase' UNION ALL SELECT user_id, round(value, 6) FROM events WHERE event_type = 'click') GROUP BY user_id""", """
 SELECT user_id, max(score) AS score FROM (SELECT user_id, round(value * 0.37::DOUBLE + 0.58::DOUBLE, 6) AS score FROM events WHERE event_type = 'purchase' UNION ALL SELECT user_id, round(value, 6) FROM events WHERE event_type = 'click') GROUP BY user_id"""),
     "set_missing": ("SELECT user_id FROM events WHERE event_type = 'view' EXCEPT SELECT user_id FROM events WHERE event_type = 'error'", None),
-    # tree: region > nation > supplier with path and depth
+    # tree: region > nation > supplier with path and depth; ends when no node is left, and a cycle fails at Spark's level limit
     "tree_paths": ("""
 WITH RECURSIVE n AS (SELECT concat('r', r_regionkey) AS id, CAST(NULL AS STRING) AS parent, r_name AS title FROM region UNION ALL SELECT concat('n', n_nationkey), concat('r', n_regionkey), n_name FROM nation UNION ALL SELECT concat('s', s_suppkey), concat('n', s_nationkey), s_name FROM supplier),
-t AS (SELECT id, title AS path, 0 AS depth FROM n WHERE parent IS NULL UNION ALL SELECT n.id, concat(t.path, ' > ', n.title), t.depth + 1 FROM t JOIN n ON n.parent = t.id WHERE t.depth < 8) SELECT id, path, depth FROM t""", """
+t AS (SELECT id, title AS path, 0 AS depth FROM n WHERE parent IS NULL UNION ALL SELECT n.id, concat(t.path, ' > ', n.title), t.depth + 1 FROM t JOIN n ON n.parent = t.id) SELECT id, path, depth FROM t""", """
 WITH RECURSIVE n AS (SELECT concat('r', r_regionkey) AS id, NULL::VARCHAR AS parent, r_name AS title FROM region UNION ALL SELECT concat('n', n_nationkey), concat('r', n_regionkey), n_name FROM nation UNION ALL SELECT concat('s', s_suppkey), concat('n', s_nationkey), s_name FROM supplier),
-t AS (SELECT id, title AS path, 0 AS depth FROM n WHERE parent IS NULL UNION ALL SELECT n.id, concat(t.path, ' > ', n.title), t.depth + 1 FROM t JOIN n ON n.parent = t.id WHERE t.depth < 8) SELECT id, path, depth FROM t"""),
+t AS (SELECT id, title AS path, 0 AS depth FROM n WHERE parent IS NULL UNION ALL SELECT n.id, concat(t.path, ' > ', n.title), t.depth + 1 FROM t JOIN n ON n.parent = t.id) SELECT id, path, depth FROM t"""),
     # links, their kind by suffix, and the page's stable external id
     "url_links": ("""
 SELECT page_id, link, CASE WHEN link RLIKE '(?i)[.]pdf($|[?])' THEN 'protocol' WHEN link RLIKE '(?i)[.](mp3|wav)($|[?])' THEN 'audio' WHEN link RLIKE '(?i)[.](mp4|avi)($|[?])' THEN 'video' ELSE 'page' END AS kind

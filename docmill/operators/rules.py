@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from docmill.operators.relational import STATEMENTS, statement_query
 
-#: Query parameters that only track, words that make no topic.
+#: Query parameters that only track.
 TRACKING = "^(utm_|fbclid|gclid|mc_|ref)"
-STOP = ("the", "of", "and", "to", "in", "a", "part", "item", "general", "other")
-_STOP = ", ".join(f"'{w}'" for w in STOP)
 
 RULES: dict[str, tuple[str, str | None]] = {
     # scheme and host in lower case, doubled slashes collapsed, tracking parameters and fragment gone, the others sorted
@@ -28,22 +26,6 @@ SELECT page_id, concat(path, CASE WHEN q = '' THEN '' ELSE concat('__q', substr(
 WITH p AS (SELECT page_id, regexp_replace(regexp_replace(regexp_extract(url, '^[A-Za-z]+://([^?#]*)', 1), '[<>:"|*]', '_', 'g'), '[.][.]', '_', 'g') AS path, regexp_extract(url, '[?]([^#]*)', 1) AS q FROM pages),
 s AS (SELECT page_id, path, q, regexp_extract(path, '([^/]*)$', 1) AS leaf FROM p)
 SELECT page_id, concat(path, CASE WHEN q = '' THEN '' ELSE concat('__q', substr(sha256(q), 1, 10)) END, CASE WHEN contains(leaf, '.') THEN '' ELSE '.bin' END) AS path FROM s"""),
-    # why a label makes no topic, else how specific it is
-    "label_rules": (f"""
-WITH w AS (SELECT p_partkey, filter(split(lower(trim(p_name)), ' '), x -> x <> '') AS w FROM part), i AS (SELECT p_partkey, w, filter(w, x -> NOT array_contains(array({_STOP}), x) AND NOT x RLIKE '^[0-9#]+$') AS info FROM w)
-SELECT p_partkey, CASE WHEN size(w) = 0 THEN 'EMPTY' WHEN forall(w, x -> x RLIKE '^[0-9#]+$') THEN 'NUMERIC_ONLY' WHEN size(info) = 0 THEN 'STOPWORDS_ONLY' WHEN size(info) < 2 THEN 'TOO_GENERIC' ELSE 'OK' END AS reason,
-  round(0.6D * size(info) / greatest(size(w), 1) + 0.4D * least(1, size(info) / 3), 6) AS specificity FROM i""", f"""
-WITH w AS (SELECT p_partkey, list_filter(string_split(lower(trim(p_name)), ' '), lambda x: x <> '') AS w FROM part), i AS (SELECT p_partkey, w, list_filter(w, lambda x: NOT list_contains([{_STOP}], x) AND NOT regexp_matches(x, '^[0-9#]+$')) AS info FROM w)
-SELECT p_partkey, CASE WHEN len(w) = 0 THEN 'EMPTY' WHEN len(list_filter(w, lambda x: NOT regexp_matches(x, '^[0-9#]+$'))) = 0 THEN 'NUMERIC_ONLY' WHEN len(info) = 0 THEN 'STOPWORDS_ONLY' WHEN len(info) < 2 THEN 'TOO_GENERIC' ELSE 'OK' END AS reason,
-  round(0.6::DOUBLE * len(info) / greatest(len(w), 1) + 0.4::DOUBLE * least(1, len(info) / 3), 6) AS specificity FROM i"""),
-    # lines that may open a decision: numbered, with a keyword, or long enough; islands of up to four lines
-    "candidate_lines": ("""
-WITH l AS (SELECT doc_id, posexplode(split(text, '\\n', -1)) AS (pos, line) FROM documents),
-f AS (SELECT doc_id, pos, line, CASE WHEN trim(line) RLIKE '^[0-9]+[.)-]' OR length(trim(line)) >= 12 THEN 1 ELSE 0 END AS candidate FROM l)
-SELECT doc_id, CAST(pos AS BIGINT) AS pos, candidate, CAST(sum(candidate) OVER (PARTITION BY doc_id ORDER BY pos) AS BIGINT) AS item FROM f WHERE trim(line) <> ''""", """
-WITH l AS (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
-f AS (SELECT doc_id, pos, line, CASE WHEN regexp_matches(trim(line), '^[0-9]+[.)-]') OR length(trim(line)) >= 12 THEN 1 ELSE 0 END AS candidate FROM l)
-SELECT doc_id, pos, candidate, sum(candidate) OVER (PARTITION BY doc_id ORDER BY pos)::BIGINT AS item FROM f WHERE trim(line) <> ''"""),
     # phrases of two words by (count, length, phrase), the top 80 of each language
     "top_phrases": ("""
 WITH w AS (SELECT lang, regexp_extract_all(lower(text), '([\\\\p{L}]+)', 1) AS w FROM documents), p AS (SELECT lang, explode(transform(sequence(1, size(w) - 1), i -> concat(w[i - 1], ' ', w[i]))) AS phrase FROM w WHERE size(w) > 1),

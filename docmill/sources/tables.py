@@ -1,7 +1,20 @@
-"""The Parquet tables of a folder."""
+"""The Parquet tables of a folder, and results that outlast their lineage."""
+
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def lasting(df: DataFrame) -> DataFrame:
+    """df as a reliable checkpoint in the session's checkpoint folder; a temporary one is set only for a local master that has none."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        given = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if given is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(given or tempfile.mkdtemp(prefix="docmill-"))
+    return df.checkpoint()
