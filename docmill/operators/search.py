@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docmill.functions.text import cosine, normalized, snippet, tokens, trigrams
 from docmill.operators.texts import NORM, TRIGRAMS
-from docmill.sources.tables import table
+from docmill.sources.tables import lasting, table
+
+#: Queries that are broadcast at a time.
+BLOCK = 1024
 
 
 def _numbered(order, *by):
@@ -20,21 +29,26 @@ def hybrid_search(docs: DataFrame, queries: DataFrame, candidates: int = 250, to
 
     Candidates: the best by BM25 over the query's first 8 tokens, and the best by shared trigrams. The score is 0.72 * (1 / (1 + rank
     by BM25 - 1 over candidates)) plus 0.28 * shared / larger trigram set. Postings are filtered by the queries' terms before
-    anything is shuffled; ties go to the smaller doc_id.
+    anything is shuffled; ties go to the smaller doc_id. Queries are broadcast, BLOCK of them at a time.
     """
-    words = docs.select("doc_id", tokens(F.col("text")).alias("w"))
-    totals = words.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("mean"))
+    if (n := -(-queries.count() // BLOCK)) > 1:
+        parts = [queries.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) for k in range(n)]
+        return reduce(DataFrame.union, [hybrid_search(docs, part, candidates, top, k1, b) for part in parts])
     wanted = queries.select("item_id", F.explode(F.array_distinct(F.slice(tokens(F.col("text")), 1, 8))).alias("term"))
-    post = words.select("doc_id", F.size("w").alias("len"), F.explode("w").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
-    post = post.groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    asked = wanted.agg(F.collect_set("term").alias("asked"))  # of a block of queries: eight words each
+    # each text is parted into words once: its length and the asked words stay
+    words = docs.select("doc_id", tokens(F.col("text")).alias("w")).crossJoin(F.broadcast(asked))
+    words = lasting(words.select("doc_id", F.size("w").alias("len"), F.filter("w", lambda x: F.array_contains("asked", x)).alias("w")))
+    totals = words.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"))
+    post = words.select("doc_id", "len", F.explode("w").alias("term")).groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
     bm25 = post.join(df, "term").crossJoin(F.broadcast(totals)).join(wanted, "term").groupBy("item_id", "doc_id").agg(F.round(F.sum(part), 6).alias("bm25"))
     bm25 = bm25.withColumn("nth", _numbered(F.desc("bm25"), "doc_id")).where(F.col("nth") <= candidates)
-    shapes = docs.select("doc_id", trigrams(F.col("text")).alias("g")).select("doc_id", F.size("g").alias("cn"), F.explode("g").alias("gram"))
-    asked = queries.select("item_id", trigrams(F.col("text")).alias("g")).select("item_id", F.size("g").alias("qn"), F.explode("g").alias("gram"))
-    shared = shapes.join(F.broadcast(asked), "gram").groupBy("item_id", "doc_id", "qn", "cn").agg(F.count(F.lit(1)).alias("overlap"))
+    # a stated query set against all rows: each text's trigrams meet those of each query as two sets, without a row for each
+    shapes = docs.select("doc_id", trigrams(F.col("text")).alias("g")).crossJoin(F.broadcast(queries.select("item_id", trigrams(F.col("text")).alias("q"))))
+    shared = shapes.select("item_id", "doc_id", F.size("q").alias("qn"), F.size("g").alias("cn"), F.size(F.array_intersect("g", "q")).cast("long").alias("overlap")).where("overlap > 0")
     near = shared.withColumn("nth3", _numbered(F.desc("overlap"), "doc_id")).where(F.col("nth3") <= candidates)
     both = bm25.select("item_id", "doc_id", "nth").join(near, ["item_id", "doc_id"], "full")
     like = F.coalesce(F.least(F.col("overlap") / F.greatest("qn", "cn"), F.lit(1.0)), F.lit(0.0))
@@ -57,24 +71,64 @@ def search_snippets(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(top, "lang").select("doc_id", "term", snippet(F.col("text"), F.col("term")).alias("snippet"))
 
 
+def nearest(v: DataFrame, q: DataFrame, k: int = 3) -> DataFrame:
+    """(query_id, vec_id, similarity, rank): the k vectors of v (vec_id, embedding) nearest to each of q by cosine, if above 0.
+
+    The queries are broadcast BLOCK at a time; each batch of vectors is normalised once and multiplied with them, and leaves its k
+    best for each query (more in a tie). Vectors of another length, null or zero ones match nothing; ties go to the smaller id.
+    """
+    n = max(1, -(-q.count() // BLOCK))
+    parts = []
+    for block in range(n):
+        rows = q.where(F.pmod(F.xxhash64("vec_id"), F.lit(n)) == block).where("vec_id IS NOT NULL AND embedding IS NOT NULL").select("vec_id", "embedding").collect()
+        by_size: dict[int, list] = {}
+        for r in rows:
+            by_size.setdefault(len(r.embedding), []).append(r)
+        queries = {size: (np.array([r.vec_id for r in rs]), _units(np.array([r.embedding for r in rs], float))) for size, rs in by_size.items() if size}
+
+        def run(batches: Iterator[pa.RecordBatch], queries: dict = queries) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                batch = batch.filter(pc.is_valid(batch.column("embedding")))
+                sizes = pc.list_value_length(batch.column("embedding")).to_numpy(zero_copy_only=False)
+                for size, (query_ids, units) in queries.items():
+                    part = batch.filter(pa.array(sizes == size))
+                    if not part.num_rows:
+                        continue
+                    ids = part.column("vec_id").to_numpy(zero_copy_only=False)
+                    vectors = part.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+                    similarity = np.round(units @ _units(vectors.astype(float)).T, 6)
+                    similarity[query_ids[:, None] == ids[None, :]] = -1
+                    least = np.partition(similarity, -min(k, len(ids)), axis=1)[:, -min(k, len(ids))]
+                    i, j = np.nonzero((similarity >= least[:, None]) & (similarity > 0))
+                    yield pa.record_batch([pa.array(query_ids[i]), pa.array(ids[j]), pa.array(similarity[i, j])], names=["query_id", "vec_id", "similarity"])
+
+        parts.append(v.where("vec_id IS NOT NULL").select("vec_id", "embedding").mapInArrow(run, "query_id long, vec_id long, similarity double"))
+    nth = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))
+    return reduce(DataFrame.union, parts).withColumn("rank", nth.cast("long")).where(F.col("rank") <= k)
+
+
+def _units(x: np.ndarray) -> np.ndarray:
+    norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+
+
 def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     """The three nearest vectors of each query (ids divisible by 20), if their cosine is above 0."""
     v = table(spark, d, "embeddings")
-    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    # a stated query set against all rows: each task holds the queries, and each vector is read once
-    pair = v.join(F.broadcast(q), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("similarity"))
-    near = pair.where("similarity > 0")
-    nth = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))
-    return near.withColumn("rank", nth.cast("long")).where("rank <= 3")
+    return nearest(v, v.where("vec_id % 20 = 0"))
 
 
-def vector_rerank(spark: SparkSession, d: str) -> DataFrame:
-    """0.65 of a lexical score and 0.35 of the cosine to the centroid of the vector's label, as hits are reranked."""
+def vector_rerank(spark: SparkSession, d: str, candidates: int = 10, weight: float = 0.35) -> DataFrame:
+    """Twenty hits of each query, the first `candidates` of them by 0.65 of their score and 0.35 of the cosine of document and query
+    (0 without vectors), the others unchanged behind them; vectors belong to the documents and items with their ids."""
+    hits = hybrid_search(table(spark, d, "documents"), table(spark, d, "benchmark").where("item_id % 20 = 0"), top=20)
     v = table(spark, d, "embeddings")
-    mean = centroids(v)
-    scored = v.join(mean, "label").select("vec_id", "label", cosine(F.col("embedding"), F.col("centroid")).alias("c"))
-    lexical = 1 / (1 + F.pmod("vec_id", F.lit(7)))
-    return scored.select("vec_id", "label", F.round(0.65 * lexical + 0.35 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), "c")), 6).alias("score"))
+    both = hits.join(v.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("x")), "doc_id", "left").join(v.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("y")), "item_id", "left")
+    near = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(cosine(F.col("x"), F.col("y")), F.lit(0.0))))
+    tail = F.col("rank") > candidates
+    out = both.select("item_id", "doc_id", tail.alias("tail"), F.round(F.when(tail, F.col("score")).otherwise((1 - weight) * F.col("score") + weight * near), 6).alias("score"))
+    place = F.row_number().over(W.partitionBy("item_id").orderBy("tail", F.desc("score"), "doc_id"))
+    return out.select("item_id", "doc_id", "score", place.cast("long").alias("place"))
 
 
 def centroids(v: DataFrame) -> DataFrame:
@@ -115,9 +169,9 @@ SELECT doc_id, term, (CASE WHEN a > 1 THEN '...' ELSE '' END) || trim(substr(tex
 WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)
 SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.e, v.e), 6) AS similarity, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.e, v.e), 6) DESC, v.vec_id) AS rank
 FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0 AND round(list_cosine_similarity(q.e, v.e), 6) > 0 QUALIFY rank <= 3""",
-    "vector_rerank": """
-WITH p AS (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings), m AS (SELECT label, i, avg(x) AS x FROM p GROUP BY 1, 2),
-c AS (SELECT label, list(x ORDER BY i) AS c FROM m GROUP BY 1)
-SELECT vec_id, label, round(0.65::DOUBLE * (1 / (1 + vec_id % 7)) + 0.35::DOUBLE * greatest(0, least(1, list_cosine_similarity(embedding::DOUBLE[], c))), 6) AS score FROM embeddings JOIN c USING (label)""",
     "vector_centroids": "SELECT label, i, round(avg(x), 6) AS x FROM (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY 1, 2",
 }
+ORACLE_SQL["vector_rerank"] = f"""
+WITH h AS ({ORACLE_SQL["search_hybrid"].replace("rank <= 10", "rank <= 20")}), v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+s AS (SELECT h.item_id, h.doc_id, rank > 10 AS tail, round(CASE WHEN rank > 10 THEN score ELSE 0.65::DOUBLE * score + 0.35::DOUBLE * greatest(0, least(1, coalesce(list_cosine_similarity(a.e, b.e), 0))) END, 6) AS score FROM h LEFT JOIN v a ON a.vec_id = h.doc_id LEFT JOIN v b ON b.vec_id = h.item_id)
+SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY tail, score DESC, doc_id) AS place FROM s"""
