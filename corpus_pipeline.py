@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docmill.llm.common import NULL_ID, materialize
@@ -22,7 +23,8 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier doesn't reject (score 0.5 or more).
 
-    It learns from the labelled rows of docs of two folds of three, as the registered query does.
+    It learns from the labelled rows of docs of two folds of three, as the registered query does. Null and empty texts have a
+    score like any other, rows that repeat a doc_id go together, an empty table stays empty, and all columns stay.
     """
     learn = remainder(3) != 1
     model = fit(docs.where(learn), spark.read.parquet(f"{sf_dir}/labels.parquet").where(learn))
@@ -31,24 +33,34 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that ten or more of them have; n_chars is that of the text that stays, maybe none."""
+    """All documents, without the lines that ten or more of them have; n_chars is that of the text that stays, maybe none.
+
+    A null text becomes an empty one; rows that repeat a doc_id count as one document and all stay. Only the columns of
+    documents stay.
+    """
     kept = drop_frequent_lines(docs, carry=("lang", "source"))
     return kept.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that with the smallest doc_id: five-word shingles, a similarity of 0.8 or more."""
+    """One document of each group of near copies, that with the smallest doc_id: five-word shingles, a similarity of 0.8 or more.
+
+    A null doc_id is the smallest; empty texts are copies of each other. Of rows that repeat a doc_id and text, one stays (the
+    first by lang, source and n_chars); other texts of a doc_id are the same document and stay with it. All columns stay.
+    """
     found = near_duplicates(docs, SIMILAR)
-    return _without(docs, found.where("not doc_id <=> component_id"))
+    kept = _without(docs, found.where("not doc_id <=> component_id"))
+    same = W.partitionBy("doc_id", F.xxhash64("text"), F.md5("text")).orderBy("lang", "source", "n_chars")
+    return kept.withColumn("_nth", F.row_number().over(same)).where("_nth = 1").drop("_nth")
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark; null and empty texts have none, and all columns stay."""
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences."""
+    """The pieces of the packed sequences; a null or empty text is its end alone."""
     return pack_documents(docs, public_tokenizer())
 
 
