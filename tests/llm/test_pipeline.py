@@ -30,6 +30,21 @@ def tables(spark, folder):
     return rows
 
 
+def test_repeated_rows_and_very_long_texts(spark, tmp_path):
+    folder = str(tmp_path)
+    tables(spark, folder)
+    rng = random.Random(5)
+    long = words(rng, 400_000, 90_000)
+    rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, None), (3, ""), (4, long), (5, long + " more"), (6, words(rng, 40, 9000)), (6, words(rng, 40, 9000))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "x", 1) for i, t in rows], DOCS)
+    near = sorted((r.doc_id, r.n_chars) for r in p.near_copies(spark, docs, folder).collect())
+    assert [i for i, _ in near] == [1, 2, 4, 6, 6]
+    kept = p.lines(spark, docs, folder)
+    assert kept.count() == len(rows) and kept.where("doc_id = 4").first().text == long
+    pieces = p.packed(spark, p.benchmark(spark, docs, folder), folder).where("doc_id = 4")
+    assert pieces.groupBy().sum("length").first()[0] == pieces.first().doc_tokens
+
+
 def test_stages(spark, tmp_path):
     folder = str(tmp_path)
     rows = tables(spark, folder)
