@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docmill.functions.text import cosine, normalized, snippet, tokens, trigrams
+from docmill.functions.text import cosine, normalized, snippet, tokens
 from docmill.operators.texts import NORM, TRIGRAMS
 from docmill.sources.tables import lasting, table
 
@@ -35,20 +37,16 @@ def hybrid_search(docs: DataFrame, queries: DataFrame, candidates: int = 250, to
         parts = [queries.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) for k in range(n)]
         return reduce(DataFrame.union, [hybrid_search(docs, part, candidates, top, k1, b) for part in parts])
     wanted = queries.select("item_id", F.explode(F.array_distinct(F.slice(tokens(F.col("text")), 1, 8))).alias("term"))
-    asked = wanted.agg(F.collect_set("term").alias("asked"))  # of a block of queries: eight words each
-    # each text is parted into words once: its length and the asked words stay
-    words = docs.select("doc_id", tokens(F.col("text")).alias("w")).crossJoin(F.broadcast(asked))
-    words = lasting(words.select("doc_id", F.size("w").alias("len"), F.filter("w", lambda x: F.array_contains("asked", x)).alias("w")))
+    read = lasting(_read(docs, queries, wanted, candidates))
+    words = read.where("item_id IS NULL")
     totals = words.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"))
-    post = words.select("doc_id", "len", F.explode("w").alias("term")).groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    post = words.select("doc_id", "len", F.explode(F.arrays_zip("terms", "counts")).alias("t")).select("doc_id", "len", F.col("t.terms").alias("term"), F.col("t.counts").alias("tf"))
     df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
     bm25 = post.join(df, "term").crossJoin(F.broadcast(totals)).join(wanted, "term").groupBy("item_id", "doc_id").agg(F.round(F.sum(part), 6).alias("bm25"))
     bm25 = bm25.withColumn("nth", _numbered(F.desc("bm25"), "doc_id")).where(F.col("nth") <= candidates)
-    # a stated query set against all rows: each text's trigrams meet those of each query as two sets, without a row for each
-    shapes = docs.select("doc_id", trigrams(F.col("text")).alias("g")).crossJoin(F.broadcast(queries.select("item_id", trigrams(F.col("text")).alias("q"))))
-    shared = shapes.select("item_id", "doc_id", F.size("q").alias("qn"), F.size("g").alias("cn"), F.size(F.array_intersect("g", "q")).cast("long").alias("overlap")).where("overlap > 0")
+    shared = read.where("item_id IS NOT NULL").select("item_id", "doc_id", "qn", "cn", "overlap")
     near = shared.withColumn("nth3", _numbered(F.desc("overlap"), "doc_id")).where(F.col("nth3") <= candidates)
     both = bm25.select("item_id", "doc_id", "nth").join(near, ["item_id", "doc_id"], "full")
     like = F.coalesce(F.least(F.col("overlap") / F.greatest("qn", "cn"), F.lit(1.0)), F.lit(0.0))
@@ -57,6 +55,50 @@ def hybrid_search(docs: DataFrame, queries: DataFrame, candidates: int = 250, to
     return out.withColumn("rank", _numbered(F.desc("score"), "doc_id").cast("long")).where(F.col("rank") <= top)
 
 
+def _read(docs: DataFrame, queries: DataFrame, wanted: DataFrame, candidates: int) -> DataFrame:
+    """One pass over the texts for a block of queries: a row for each text with its length and the counts of the queries' terms, and
+    a row for each query and text among the batch's `candidates` with most shared trigrams.
+
+    The sets of a text live in Python, since Spark's regular expressions and array functions take twenty times as long on them.
+    """
+    terms = {r.term for r in wanted.select("term").distinct().collect()}
+    asked = [(r.item_id, _grams(r.n)) for r in queries.select("item_id", normalized(F.col("text")).alias("n")).collect() if r.n]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, rows, sizes, shared = batch.column("doc_id"), [], [], []
+            for n in batch.column("n").to_pylist():
+                w = _WORD.findall(n) if n is not None else None
+                counts = Counter(x for x in w or () if x in terms)
+                rows.append((None if w is None else len(w), list(counts), list(counts.values())))
+                grams = _grams(n or "")
+                sizes.append(len(grams))
+                shared.append([len(grams & q) for _, q in asked])
+            yield _found(ids, *(pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32())))), *[None] * 4)
+            order = np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable")
+            for (item, q), overlap in zip(asked, np.array(shared).T):
+                best = order[np.argsort(-overlap[order], kind="stable")][:candidates]
+                best = best[overlap[best] > 0]
+                same = [pa.array(np.full(len(best), x), t) for x, t in ((item, pa.int64()), (len(q), pa.int32()))]
+                yield _found(ids.take(pa.array(best)), None, None, None, same[0], same[1], pa.array(np.array(sizes)[best], pa.int32()), pa.array(overlap[best], pa.int64()))
+
+    return docs.select("doc_id", normalized(F.col("text")).alias("n")).mapInArrow(run, _READ)
+
+
+_WORD = regex.compile(r"[\p{L}\p{N}]+")
+_READ = "doc_id long, len int, terms array<string>, counts array<int>, item_id long, qn int, cn int, overlap long"
+_TYPES = (pa.int64(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.int64(), pa.int32(), pa.int32(), pa.int64())
+
+
+def _grams(n: str) -> set[str]:
+    """As trigrams()."""
+    return {n[i : i + 3] for i in range(len(n) - 2)} if len(n) >= 3 else {n} if n else set()
+
+
+def _found(*columns: pa.Array | None) -> pa.RecordBatch:
+    return pa.record_batch([pa.nulls(len(columns[0]), t) if c is None else c.cast(t) for c, t in zip(columns, _TYPES)], names=[c.split()[0] for c in _READ.split(", ")])
+
+
 def search_hybrid(spark: SparkSession, d: str) -> DataFrame:
     """Queries: every benchmark item whose id is divisible by 20."""
     return hybrid_search(table(spark, d, "documents"), table(spark, d, "benchmark").where("item_id % 20 = 0"))
