@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -78,6 +79,14 @@ def text_blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[
             end = max(int(np.searchsorted(at, at[first] + most, side="right")) - 1, first + 1)
             yield batch.slice(first, end - first), data[at[first] : at[end]], at[first : end + 1] - at[first]
             first = end
+        give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: a worker process lives through many tasks, and what it keeps adds up on an executor."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
