@@ -26,10 +26,19 @@ def _range_of(splitters: list[tuple[int, int]]) -> Column:
     return out
 
 
-def _sampled(rows: DataFrame, share: Column, by_id: Column) -> list[tuple[int, int]]:
-    """Keys drawn with a chance of `share`; by_id: split inside one k too."""
+def _sampled(rows: DataFrame, share: Column) -> list[tuple[int, int]]:
+    """Keys drawn with a chance of `share`."""
     drawn = rows.where(_uniform("k", "id", F.lit(3)) < share)
-    return [tuple(r) for r in drawn.select("k", F.when(by_id, F.col("id")).otherwise(F.lit(NO_ID))).collect()]
+    return [(r.k, NO_ID) for r in drawn.select("k").collect()]
+
+
+def _sampled_inside(ranged: DataFrame, ranges: list[int], by_id: list[int], per_byte: float) -> dict[int, list[tuple[int, int]]]:
+    """Keys drawn in proportion to the size inside all the ranges in one job, by range; in those of by_id, one text's, with the id."""
+    inside = ranged.where(F.col("range").isin(ranges) & (_uniform("k", "id", F.lit(3)) < F.col("size") * F.lit(per_byte)))
+    out: dict[int, list[tuple[int, int]]] = {}
+    for r in inside.select("range", "k", F.when(F.col("range").isin(by_id), F.col("id")).otherwise(F.lit(NO_ID)).alias("id")).collect():
+        out.setdefault(r.range, []).append((r.k, r.id))
+    return out
 
 
 def _quantiles(keys: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
@@ -49,8 +58,8 @@ def shard_documents(docs: DataFrame, shards: int = 16, ranges_per_shard: int = 8
     3. Measure each range; draw again inside those over twice the target (inside one text's group by doc_id) and subdivide
        them, until none is left that can be divided.
     4. Running sums inside the ranges, over the known sizes of the ranges before, give each record's place in the whole;
-       equal parts of it are the shards. A group of equal texts under a 64th of a shard goes where its first record goes;
-       a larger one is divided.
+       equal parts of it are the shards. The rule is the same for every record, so that a group of equal texts, whose records
+       stand together, is divided where a shard ends, however large or small it is.
 
     A null doc_id sorts first. Rows that repeat a doc_id and text are records of their own. An empty table gives no rows.
     """
@@ -63,19 +72,17 @@ def shard_documents(docs: DataFrame, shards: int = 16, ranges_per_shard: int = 8
     rows = materialize(rows, "shard-keys")  # 32 bytes a record; the texts are read once
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     n = shards * ranges_per_shard
-    drawn = _sampled(rows, F.col("size") * F.lit(n * samples_per_range / max(total, 1)), F.lit(False))
+    drawn = _sampled(rows, F.col("size") * F.lit(n * samples_per_range / max(total, 1)))
     splitters = _quantiles(drawn, n)
     target = max(total / n, 1)
     for _ in range(8):
         ranged = rows.withColumn("range", _range_of(splitters))
         sizes = ranged.groupBy("range").agg(F.sum("size").alias("bytes"), F.min("k").alias("low"), F.max("k").alias("high"), F.count(F.lit(1)).alias("n"))
         over = sizes.where((F.col("bytes") > 2 * target) & (F.col("n") > 1)).collect()  # as many rows as ranges at most
-        more: set[tuple[int, int]] = set()
-        for r in over:
-            one = r.low == r.high
-            inside = ranged.where(F.col("range") == r.range)
-            keys = _sampled(inside, F.col("size") * F.lit(samples_per_range / target), F.lit(one))
-            more |= set(_quantiles(keys, round(r.bytes / target)))
+        if not over:
+            break
+        keys = _sampled_inside(ranged, [r.range for r in over], [r.range for r in over if r.low == r.high], samples_per_range / target)
+        more = {x for r in over for x in _quantiles(keys.get(r.range, []), round(r.bytes / target))}
         if more <= set(splitters):
             break
         splitters = sorted({*splitters, *more})
@@ -88,10 +95,8 @@ def _placed(ranged: DataFrame, shards: int, total: int) -> DataFrame:
     starts = starts.select("range", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("start"))
     order = W.partitionBy("range").orderBy("k", "id", "size", "text_crc32")
     at = F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
-    group = W.partitionBy("range", "k")
-    rows = ranged.withColumn("at", at).withColumn("first_at", F.min("at").over(group)).withColumn("group_bytes", F.sum("size").over(group))
-    rows = rows.join(F.broadcast(starts), "range")
-    place = F.col("start") + F.when(F.col("group_bytes") * 64 * shards <= total, F.col("first_at")).otherwise(F.col("at"))
+    rows = ranged.withColumn("at", at).join(F.broadcast(starts), "range")
+    place = F.col("start") + F.col("at")
     rows = rows.withColumn("shard", F.least(F.floor(place * shards / F.lit(max(total, 1))), F.lit(shards - 1)).cast("int"))
     # the slot: the record's number inside (range, shard), after the records of that shard in the ranges before
     rows = rows.withColumn("nth", F.row_number().over(W.partitionBy("range", "shard").orderBy("k", "id", "size", "text_crc32")).cast("long") - 1)
@@ -103,8 +108,19 @@ def _placed(ranged: DataFrame, shards: int, total: int) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, assigned: DataFrame, path: str) -> None:
-    """Writes docs as Parquet folders shard=0 ... in slot order, by the assignment of shard_documents; doc_ids must be unique."""
-    placed = docs.join(assigned.select("doc_id", F.col("shard"), F.col("slot").alias("_slot")), "doc_id")
+    """Writes docs as Parquet folders shard=0 ... in slot order, by the assignment of shard_documents.
+
+    Every row is written once: a null doc_id finds its own rows, and rows that repeat a doc_id and text take the slots of these
+    one by one. A column of docs called shard gives way to the assigned one.
+    """
+    size = (F.octet_length(text_or_empty()) + 1).cast("long")
+    names = [c for c in docs.columns if c != "shard"]
+    rows = docs.select(id_or_lowest().alias("_id"), size.alias("_size"), F.crc32(text_or_empty().cast("binary")).alias("_crc32"), F.struct(*names).alias("_row"))
+    places = assigned.select(id_or_lowest().alias("_id"), F.col("size").alias("_size"), F.col("text_crc32").alias("_crc32"), "shard", F.col("slot").alias("_slot"))
+    same = W.partitionBy("_id", "_size", "_crc32")
+    rows = rows.withColumn("_nth", F.row_number().over(same.orderBy(F.xxhash64("_row"))))
+    places = places.withColumn("_nth", F.row_number().over(same.orderBy("shard", "_slot")))
+    placed = rows.join(places, ["_id", "_size", "_crc32", "_nth"]).select("_row.*", "shard", "_slot")
     placed.repartition("shard").sortWithinPartitions("shard", "_slot").drop("_slot").write.partitionBy("shard").parquet(path)
 
 

@@ -40,9 +40,19 @@ def test_quantiles():
     assert _quantiles([], 4) == [] and _quantiles([(1, 0)] * 9, 4) == [(1, 0)] and _quantiles([(i, 0) for i in range(8)], 4) == [(2, 0), (4, 0), (6, 0)]
 
 
+def test_groups_of_every_size_are_cut_at_the_same_places(spark):
+    # 200 copies are under a 64th of a shard of the larger table and over it in the smaller one
+    for others in (300, 6000):
+        rows = [(i, "same text") for i in range(200)] + [(1000 + i, f"text {i:06d} of its own") for i in range(others)]
+        load = laws(rows, shard_documents(frame(spark, rows), 4).collect(), 4)
+        assert max(load) - min(load) <= 2 * 23
+
+
 def test_written_shards(spark, tmp_path):
-    rows = [(i, f"text {i}") for i in range(50)]
-    docs = frame(spark, rows).drop("shard")
+    rows = [(i, f"text {i}") for i in range(50)] + [(None, "none"), (None, None), (3, "text 3"), (3, "text 3"), (3, "another")]
+    docs = frame(spark, rows)
     write_shards(docs, shard_documents(docs, 4), str(tmp_path / "s"))
     back = spark.read.parquet(str(tmp_path / "s"))
-    assert back.count() == 50 and back.select("shard").distinct().count() == 4
+    order = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    assert sorted(((r.doc_id, r.text) for r in back.collect()), key=order) == sorted(rows, key=order)
+    assert back.select("shard").distinct().count() == 4
