@@ -93,15 +93,17 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, longest: int
     the least hash of doc_id.
 
     Two thirds of them train the dictionaries; the others, which these haven't seen, the calibration. Rows with a null label or
-    doc_id are left out. Where one class has no rows, every score is the share of label 1 (0.5 without any rows).
+    doc_id are left out, and so are doc_ids whose labels contradict each other; of several texts of one doc_id the least counts.
+    Where one class has no rows, every score is the share of label 1 (0.5 without any rows).
     """
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("mark")).where("doc_id is not null and mark in (0, 1)")
+    marks = marks.groupBy("doc_id").agg(F.min("mark").alias("mark"), F.max("mark").alias("other")).where("mark = other").drop("other")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).where(F.octet_length("text") <= longest)
     seen: dict[int, list[bytes]] = {}
     for mark in (0, 1):
         # the bounded sample is drawn from the ids first, so that few texts are joined
-        chosen = marks.where(F.col("mark") == mark).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
-        rows = texts.join(F.broadcast(chosen.select("doc_id")), "doc_id").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id")).limit(per_class)
+        chosen = marks.where(F.col("mark") == mark).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+        rows = texts.join(F.broadcast(chosen.select("doc_id")), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         seen[mark] = [r.text.encode() for r in rows.select("text").collect()]
     n0, n1 = len(seen[0]), len(seen[1])
     if not n0 or not n1:

@@ -42,3 +42,15 @@ def test_odd_rows(spark):
     assert classify_quality(frame(spark, []), spark.createDataFrame([], schema)).count() == 0
     one = fit(frame(spark, rows), spark.createDataFrame([(i, 1, 0) for i, _ in rows[:9]], schema))
     assert {r.score > 0.5 for r in score_quality(frame(spark, rows), one).collect()} == {True}
+
+
+def test_repeated_ids_have_one_text_and_no_contradiction(spark):
+    rows, marks = labelled(random.Random(5), 120)
+    schema = "doc_id long, quality int, toxic int"
+    marks += [(7, 1 - marks[7][1], 0)]  # contradicts: left out
+    rows += [(9, "zzz later text"), (9, "~ even later")]
+    plain = fit(frame(spark, [r for r in rows[:120] if r[0] != 7]), spark.createDataFrame([m for m in marks if m[0] != 7], schema))
+    for shuffled in (rows, rows[::-1]):
+        got = fit(frame(spark, [(i, t) for i, t in shuffled if i != 9 or t == min(x for j, x in rows if j == 9)]).repartition(5), spark.createDataFrame(marks, schema))
+        again = fit(frame(spark, shuffled).repartition(3), spark.createDataFrame(marks[::-1], schema))
+        assert (got.good, got.bad, got.weights) == (again.good, again.bad, again.weights) == (plain.good, plain.bad, plain.weights)
