@@ -32,10 +32,11 @@ def shared_dir(spark: SparkSession) -> str:
     return shared_dir(spark)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends here and a lost executor costs no recomputation."""
+def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Writes df to the shared folder (a folder for each value of `by`) and reads it back: lineage ends here and a lost executor
+    costs no recomputation."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,73 +25,129 @@ def key_hash(line: Column) -> Column:
     return F.when(key != "", F.unhex(F.md5(key)))
 
 
-@dataclass
+MANIFEST = "seq long, run string, level int, live boolean, buckets int"
+
+
 class LineRuns:
-    """A store of sorted runs (line hash, number of documents), kept as levels of Parquet tables in the shared folder.
+    """A store of sorted runs (line hash, number of documents up to and with the run) in a folder that all executors share.
 
     A batch adds one run to level 0. As soon as a level holds `fanout` runs they are merged into one run of the next level,
     so that n batches leave O(fanout * log n) runs and each row is rewritten O(log n) times. Hashes that have reached
-    `min_docs` are closed: a later batch merge-anti-joins them away before it adds its own run.
-    """
+    `min_docs` are closed: a later batch merge-anti-joins them away before it adds its own run, so that a hash is closed by one
+    row of one run.
 
-    spark: SparkSession
-    min_docs: int = 10
-    fanout: int = 4
-    levels: list[list[str]] = field(default_factory=list)
+    Every run is bucketed and sorted by hash into the same number of buckets, so that Spark merge-joins a batch to the runs
+    bucket by bucket and shuffles only the batch. The manifest table tells which runs live; each change of it is one appended file,
+    written after the run itself, so that a batch that breaks off leaves the store as it was. Opening a folder again (the number
+    of buckets is that of its first run) goes on from the manifest. One writer at a time.
+    """
 
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema("hash binary, n_docs long").parquet(*paths)
+    def __init__(self, spark: SparkSession, path: str | None = None, min_docs: int = 10, fanout: int = 4, buckets: int | None = None):
+        self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
+        self.path = path or f"{shared_dir(spark)}/line-runs-{uuid.uuid4().hex}"
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.levels: list[list[str]] = []
+        self._seq = 0
+        for seq, run, level, live, self.buckets in self._manifest():
+            self._note(run, level, live)
+            self._seq = seq + 1
+
+    def _manifest(self) -> list[tuple]:
+        """The changes so far, in order; there are two or so for each batch."""
+        try:
+            rows = self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifest")
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":
+                return []
+            raise
+        return [tuple(r) for r in rows.orderBy("seq", "live").collect()]
+
+    def _note(self, run: str, level: int, live: bool) -> None:
+        while len(self.levels) <= level:
+            self.levels.append([])
+        self.levels[level].append(run) if live else self.levels[level].remove(run)
+
+    def _change(self, changes: list[tuple[str, int, bool]]) -> None:
+        rows = [(self._seq, run, level, live, self.buckets) for run, level, live in changes]
+        self.spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
+        self._seq += 1
+        for change in changes:
+            self._note(*change)
+
+    def _table(self, run: str) -> DataFrame:
+        if not self.spark.catalog.tableExists(run):  # a run of an earlier session
+            self.spark.sql(
+                f"CREATE TABLE {run} (hash BINARY, n_docs BIGINT) USING parquet "
+                f"CLUSTERED BY (hash) SORTED BY (hash) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{run}'"
+            )
+        return self.spark.table(run)
 
     def _write(self, rows: DataFrame) -> str:
-        path = f"{shared_dir(self.spark)}/line-run-{uuid.uuid4().hex}"
-        # groupBy and join leave the rows hash-partitioned; each file is sorted, so that readers can skip and merge
-        rows.select("hash", "n_docs").sortWithinPartitions("hash").write.parquet(path)
-        return path
+        run = f"line_run_{uuid.uuid4().hex}"
+        sorted_rows = rows.select("hash", "n_docs").write.bucketBy(self.buckets, "hash").sortBy("hash")
+        sorted_rows.option("path", f"{self.path}/{run}").saveAsTable(run, format="parquet")
+        return run
+
+    def _read(self, runs: list[str]) -> DataFrame:
+        """The rows of several runs. As files, not as tables: a union of bucketed tables doesn't bring equal hashes together."""
+        if not runs:
+            return self.spark.createDataFrame([], "hash binary, n_docs long")
+        return self.spark.read.schema("hash binary, n_docs long").parquet(*[f"{self.path}/{run}" for run in runs])
 
     @property
     def runs(self) -> list[str]:
-        return [path for level in self.levels for path in level]
+        return [run for level in self.levels for run in level]
 
-    def totals(self) -> DataFrame:
-        """(hash, n_docs) over all runs."""
-        if not self.runs:
-            return self.spark.createDataFrame([], "hash binary, n_docs long")
-        return self._read(self.runs).groupBy("hash").agg(F.sum("n_docs").alias("n_docs"))
+    def totals(self, runs: list[str] | None = None) -> DataFrame:
+        """(hash, n_docs) over the runs (none given: over all)."""
+        return self._read(self.runs if runs is None else runs).groupBy("hash").agg(F.max("n_docs").alias("n_docs"))
 
     def closed(self) -> DataFrame:
-        """The hashes found in at least min_docs documents so far."""
-        return self.totals().where(F.col("n_docs") >= self.min_docs)
+        """(hash, n_docs) of the hashes found in at least min_docs documents so far; those after a hash closed aren't in n_docs."""
+        return self._read(self.runs).where(F.col("n_docs") >= self.min_docs)
+
+    def fresh(self, lines: DataFrame) -> DataFrame:
+        """(hash, n_docs) of the batch's hashes that aren't closed, with the documents of the runs."""
+        batch = lines.select("doc_id", "hash").distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("new"))
+        before = F.lit(0)
+        for k, run in enumerate(self.runs):
+            batch = batch.join(self._table(run).select("hash", F.col("n_docs").alias(f"n{k}")).hint("merge"), "hash", "left")
+            before = F.greatest(before, F.coalesce(f"n{k}", F.lit(0)))
+        return batch.where(before < self.min_docs).select("hash", (F.col("new") + before).cast("long").alias("n_docs"))
 
     def add(self, lines: DataFrame) -> None:
         """lines: (doc_id, hash) of the batch; all rows of a doc_id have to be in one batch, and count once."""
-        batch = lines.groupBy("hash").agg(F.count_distinct("doc_id").alias("n_docs"))
-        if self.runs:
-            batch = batch.join(self.closed().select("hash"), "hash", "left_anti")
-        self._push(0, self._write(batch))
+        batch = self.fresh(lines)
+        self._change([(self._write(batch), 0, True)])
+        level = 0
+        while level < len(self.levels) and len(self.levels[level]) >= self.fanout:
+            merged, old = self._write(self.totals(self.levels[level])), list(self.levels[level])
+            self._change([(run, level, False) for run in old] + [(merged, level + 1, True)])
+            level += 1
 
-    def _push(self, level: int, path: str) -> None:
-        while len(self.levels) <= level:
-            self.levels.append([])
-        self.levels[level].append(path)
-        if len(self.levels[level]) >= self.fanout:
-            merged = self._read(self.levels[level]).groupBy("hash").agg(F.sum("n_docs").alias("n_docs"))
-            path, self.levels[level] = self._write(merged), []
-            self._push(level + 1, path)
+
+#: A hash found in more than one of 2^14 of all (document, line) rows is a hot one; so there are fewer than 2^14 of them.
+HOT_SHARE = 1 << 14
 
 
 def frequent_lines(docs: DataFrame, min_docs: int = 10, batches: int = 4, fanout: int = 4) -> DataFrame:
     """(doc_id, hash) for every document and line key of it that at least min_docs documents have.
 
     The documents are fed to the runs in `batches` batches, as a crawl would. The line hashes (16 bytes a line, once for each
-    document) are computed in one pass and written batch by batch; texts aren't moved.
+    document) are computed in one pass and written batch by batch; texts aren't moved. The rows of a hot hash don't meet in one
+    task: these hashes, fewer than 2^14, are broadcast, and all others joined.
     """
     hashes = F.array_distinct(F.transform(F.split(F.col("text"), "\n", -1), key_hash))
     lines = docs.select("doc_id", F.explode(hashes).alias("hash")).where(F.col("hash").isNotNull())
-    lines = materialize(lines.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches))), "line-hashes")
-    runs = LineRuns(docs.sparkSession, min_docs, fanout)
+    lines = materialize(lines.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")), "line-hashes", by="batch")
+    runs = LineRuns(docs.sparkSession, None, min_docs, fanout)
     for k in range(batches):
         runs.add(lines.where(F.col("batch") == k))
-    return lines.select("doc_id", "hash").join(runs.closed().select("hash"), "hash", "left_semi")
+    lines = lines.select("doc_id", "hash")
+    least = F.lit(lines.count()) < F.col("n_docs") * HOT_SHARE
+    hot = F.broadcast(runs.closed().where(least).select("hash"))
+    rare = runs.closed().where(~least).select("hash")
+    return lines.join(hot, "hash", "left_semi").union(lines.join(hot, "hash", "left_anti").join(rare, "hash", "left_semi"))
 
 
 def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, batches: int = 4, fanout: int = 4, carry: tuple[str, ...] = ()) -> DataFrame:

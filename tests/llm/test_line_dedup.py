@@ -44,6 +44,38 @@ def test_levels_are_compacted_and_closed_hashes_leave(spark):
     assert totals[b"hot"] == 2 and len(totals) == 8  # closed by the first batch, so later ones add nothing to it
 
 
+def test_a_batch_joins_the_runs_without_shuffling_them(spark):
+    runs = LineRuns(spark, min_docs=2, fanout=4)
+    batch = spark.createDataFrame([(1, b"hot"), (2, b"cold")], "doc_id long, hash binary")
+    for _ in range(3):
+        runs.add(batch)
+    plan = runs.fresh(batch)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 3 and plan.count("Exchange hashpartitioning") == 2  # both of the batch alone
+
+
+def test_a_store_opens_again_by_its_folder(spark, tmp_path):
+    batch = lambda b: spark.createDataFrame([(b, b"hot"), (b, bytes([b]))], "doc_id long, hash binary")
+    path = str(tmp_path / "runs")
+    first = LineRuns(spark, path, min_docs=3, fanout=2, buckets=3)
+    for b in range(3):
+        first.add(batch(b))
+    for run in first.runs:
+        spark.sql(f"DROP TABLE {run}")  # as in a new session; the files stay
+    again = LineRuns(spark, path, min_docs=3, fanout=2)
+    assert again.levels == first.levels and again.buckets == 3
+    assert [bytes(r.hash) for r in again.closed().collect()] == [b"hot"]
+    again.add(batch(9))
+    totals = {bytes(r.hash): r.n_docs for r in LineRuns(spark, path, min_docs=3).totals().collect()}
+    assert totals == {b"hot": 3, bytes([0]): 1, bytes([1]): 1, bytes([2]): 1, bytes([9]): 1}
+
+
+def test_hot_and_rare_lines_are_both_found(spark):
+    # over 2^14 lines: "shared" is a hot hash in them, "pair 7" and the like are not
+    rows = [(i, "\n".join(["shared", f"pair {i // 3}", *(f"{i} {j}" for j in range(60))])) for i in range(600)]
+    got = drop_frequent_lines(frame(spark, rows), min_docs=3).collect()
+    assert {r.n_dropped for r in got} == {2} and len(got) == 600
+
+
 def test_hash_of_the_kept_text(spark):
     got = drop_frequent_lines(frame(spark, [(1, None)])).first()
     assert got.kept_text == "" and got.n_lines == 1 and hashlib.sha256(b"").hexdigest()
