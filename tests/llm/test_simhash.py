@@ -100,3 +100,20 @@ def test_similar_links_are_those_of_the_shingle_sets(spark):
     assert all(like[i] >= 0.8 for i in linked) and all(c in (d, d - d % 2) for d, c in got.items())
     wanted = {i for i in like if like[i] >= 0.8}
     assert len(wanted) > 80 and len(linked) >= 0.97 * len(wanted)
+
+
+def test_components_with_a_hot_node(spark):
+    from docmill.llm.graph import connected_components
+
+    rng = random.Random(4)
+    edges = [(0, i) for i in range(1, 3000)] + [(9000, 2 * i) for i in range(2000, 2400)] + [(10_000 + rng.randrange(900), 10_000 + rng.randrange(900)) for _ in range(700)]
+    low = {x: x for e in edges for x in e}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in edges:
+            if low[a] != low[b]:
+                low[a] = low[b] = min(low[a], low[b])
+                changed = True
+    got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: low[x] for e in edges if e[0] != e[1] for x in e}
