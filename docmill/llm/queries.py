@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from docmill.llm.decontamination import op10_decontamination
+from docmill.llm.language_id import op11_language_id
 from docmill.llm.line_dedup import OP2_SQL, op2_line_dedup
 from docmill.llm.lm_scoring import op9_lm_scoring
 from docmill.llm.packing import op4_packing
@@ -28,5 +29,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_decontamination": op10_decontamination,
+    "op11_language_id": op11_language_id,
 }
 ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op6_substring_dedup": OP6_SQL, "op7_suffix_array": OP7_SQL}
