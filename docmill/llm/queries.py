@@ -15,6 +15,7 @@ from docmill.llm.quality_classifier import op8_quality_classifier
 from docmill.llm.quality_rules import op5_quality_rules
 from docmill.llm.sharding import op3_sharding
 from docmill.llm.simhash import op1_simhash
+from docmill.llm.source_divergence import OP13_SQL, op13_source_divergence
 from docmill.llm.substring_dedup import OP6_SQL, op6_substring_dedup
 from docmill.llm.suffix_array import OP7_SQL, op7_suffix_array
 
@@ -30,5 +31,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_decontamination": op10_decontamination,
     "op11_language_id": op11_language_id,
+    "op13_source_divergence": op13_source_divergence,
 }
-ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op6_substring_dedup": OP6_SQL, "op7_suffix_array": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op6_substring_dedup": OP6_SQL, "op7_suffix_array": OP7_SQL, "op13_source_divergence": OP13_SQL}
