@@ -11,6 +11,7 @@ from docmill.llm.language_id import op11_language_id
 from docmill.llm.line_dedup import OP2_SQL, op2_line_dedup
 from docmill.llm.lm_scoring import op9_lm_scoring
 from docmill.llm.packing import op4_packing
+from docmill.llm.phrases import OP12_SQL, op12_phrases
 from docmill.llm.quality_classifier import op8_quality_classifier
 from docmill.llm.quality_rules import op5_quality_rules
 from docmill.llm.sharding import op3_sharding
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_decontamination": op10_decontamination,
     "op11_language_id": op11_language_id,
+    "op12_phrases": op12_phrases,
     "op13_source_divergence": op13_source_divergence,
 }
-ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op6_substring_dedup": OP6_SQL, "op7_suffix_array": OP7_SQL, "op13_source_divergence": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op6_substring_dedup": OP6_SQL, "op7_suffix_array": OP7_SQL, "op12_phrases": OP12_SQL, "op13_source_divergence": OP13_SQL}
