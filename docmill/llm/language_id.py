@@ -153,18 +153,19 @@ class ContextTrees:
 def sample_by_language(docs: DataFrame, sample_bytes: int, longest: int) -> DataFrame:
     """(lang, text): for each language the whole texts of up to `longest` bytes with the least hashes of doc_id, until the next one
     would pass sample_bytes. Null languages and empty texts teach nothing; of several texts of a doc_id the least counts."""
-    texts = docs.where("lang is not null").select(F.col("lang").cast("string").alias("lang"), id_or_lowest().alias("id"), letters(text_or_empty()).alias("text"))
-    sizes = texts.select("lang", "id", F.octet_length("text").cast("long").alias("n")).where((F.col("n") > 0) & (F.col("n") <= longest))
-    sizes = sizes.groupBy("lang", "id").agg(F.max("n").alias("n"))
-    # a cut by hash first: on average eight times the sample passes, so that the ordered sum sees a bounded group
+    usable = docs.where(F.col("lang").isNotNull() & F.octet_length("text").between(1, longest))
+    place = F.pmod(F.xxhash64("id"), F.lit(2**52)) / F.lit(float(2**52))
+    rows = usable.select(F.col("lang").cast("string").alias("lang"), id_or_lowest().alias("id"), "text").withColumn("place", place)
+    sizes = rows.select("lang", "id", "place", F.octet_length("text").cast("long").alias("n")).groupBy("lang", "id", "place").agg(F.max("n").alias("n"))
+    # a first cut by hash, so that the ordered sum sees a bounded group: about twice what is wanted passes
     whole = sizes.groupBy("lang").agg(F.sum("n").alias("all"))
-    sizes = sizes.join(whole, "lang").withColumn("h", F.xxhash64("id"))
-    share = F.pmod("h", F.lit(2**52)) / F.lit(float(2**52))
-    sizes = sizes.where(share < 8.0 * sample_bytes / F.col("all") + 64.0 * longest / F.col("all"))
-    so_far = F.sum("n").over(W.partitionBy("lang").orderBy(share, "id").rowsBetween(W.unboundedPreceding, 0))
-    chosen = sizes.withColumn("share", share).select("lang", "id", so_far.alias("so_far"), "n").where(F.col("so_far") - F.col("n") < sample_bytes)
-    rows = texts.where(F.octet_length("text").between(1, longest)).join(chosen.select("lang", "id"), ["lang", "id"])
-    return rows.groupBy("lang", "id").agg(F.min("text").alias("text")).select("lang", "text")
+    sizes = sizes.join(whole, "lang").where(F.col("place") < (2.0 * sample_bytes + 16.0 * longest) / F.col("all"))
+    so_far = F.sum("n").over(W.partitionBy("lang").orderBy("place", "id").rowsBetween(W.unboundedPreceding, 0))
+    chosen = sizes.withColumn("so_far", so_far).where(F.col("so_far") - F.col("n") < sample_bytes)
+    # a row for each language: texts up to its last place are the sample, so that no text is shuffled to find it
+    limits = materialize(chosen.groupBy("lang").agg(F.max("place").alias("limit")), "sample-limits")
+    rows = rows.join(limits, "lang").where("place <= limit")
+    return rows.groupBy("lang", "id").agg(F.min(letters(F.col("text"))).alias("text")).select("lang", "text")
 
 
 def fit_trees(docs: DataFrame, sample_bytes: int = 1 << 20, longest: int = 1 << 16) -> DataFrame:
