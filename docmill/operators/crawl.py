@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.operators.relational import STATEMENTS, statement_query
+from docmill.operators.relational import STATEMENTS, run_statement, statement_query
 from docmill.plans.dialects import both
 from docmill.sources.tables import lasting, table
 
@@ -77,8 +77,7 @@ SPARK_EDGES, DUCK_EDGES = both(_EDGES)
 
 def crawl_bfs(spark: SparkSession, d: str) -> DataFrame:
     """The pages' hosts, pages and links, reached from their domains."""
-    table(spark, d, "pages").createOrReplaceTempView("pages")
-    edges = lasting(spark.sql(SPARK_EDGES))
+    edges = lasting(run_statement(spark, d, SPARK_EDGES))
     return crawl_frontier(edges, edges.join(edges.select(F.col("url").alias("parent")), "parent", "left_anti").select(F.col("parent").alias("url")))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from docmill.sources.tables import table
@@ -111,13 +114,26 @@ SELECT conv_id, turn, round(coalesce(len(list_intersect(w, b)) / nullif(len(w),
 }
 
 
+_TABLE = re.compile(rf"\b(FROM|JOIN)\s+({'|'.join(TABLES)})\b(\s+(?:AS\s+)?[a-z]\w*)?")
+
+
+def run_statement(spark: SparkSession, d: str, statement: str) -> DataFrame:
+    """A statement over a folder's tables. The statement is analysed over views of names that nobody else has, which then go: a view
+    of the caller's under a table's name stays as it is."""
+    mark = f"docmill_{uuid.uuid4().hex}_"
+    names = {m[1] for m in _TABLE.findall(statement)}
+    for t in names:
+        table(spark, d, t).createOrReplaceTempView(mark + t)
+    try:
+        return spark.sql(_TABLE.sub(lambda m: f"{m[1]} {mark}{m[2]}{m[3] or ' AS ' + m[2]}", statement))
+    finally:
+        for t in names:
+            spark.catalog.dropTempView(mark + t)
+
+
 def statement_query(name: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        statement = STATEMENTS[name][0]
-        for t in TABLES:
-            if t in statement:
-                table(spark, d, t).createOrReplaceTempView(t)
-        return spark.sql(statement)
+        return run_statement(spark, d, STATEMENTS[name][0])
 
     run.__name__ = name
     return run

@@ -30,11 +30,12 @@ WITH n AS (SELECT p_partkey, lower(trim(p_name)) AS label, lower(trim(p_type)) A
 o AS (SELECT *, coalesce(LEN(AINT(ADIS(a), ADIS(b))) / nullif(greatest(LEN(ADIS(a)), LEN(ADIS(b))), 0), #0) AS ov FROM w)
 SELECT p_partkey, round(CASE WHEN label = query THEN #1 WHEN contains(label, query) OR contains(query, label) THEN #0.92 WHEN ov >= #0.6 THEN #0.55 + #0.35 * ov ELSE #0 END, 6) AS match,
   CASE WHEN LEN(x) = 0 AND LEN(y) = 0 THEN #1 WHEN LEN(x) = 0 OR LEN(y) = 0 THEN #0.5 WHEN AJOIN(ASORT(x), ' ') = AJOIN(ASORT(y), ' ') THEN #1 ELSE #0 END AS numbers FROM o""",
-    # the best link of each hit and label, and what they add to its score: .25 of the best signal, .10 of the best specificity
+    # the best link of each hit and label, and what they add to its score: .25 of the best signal, .10 of the best specificity;
+    # products end in half a millionth, which engines round either way, so that a thousandth of that is added first
     "semantic_boost": """
 WITH s AS (SELECT l.l_orderkey, p.p_brand, l.l_discount * 10 AS link, least(#1, p.p_size / #50) AS specificity, l.l_discount * 10 * least(#1, p.p_retailprice / #2000) AS signal FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey),
 b AS (SELECT l_orderkey, p_brand, max(signal) AS signal, max(specificity) AS specificity FROM s GROUP BY l_orderkey, p_brand), k AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY signal DESC, specificity DESC, p_brand) AS k FROM b)
-SELECT l_orderkey, count(*) AS n_labels, max(CASE WHEN k = 1 THEN p_brand END) AS best, round(least(#1, #0.25 * max(signal) + #0.10 * max(specificity)), 6) AS boost FROM k GROUP BY l_orderkey""",
+SELECT l_orderkey, count(*) AS n_labels, max(CASE WHEN k = 1 THEN p_brand END) AS best, round(least(#1, #0.25 * max(signal) + #0.10 * max(specificity)) + #0.000000001, 6) AS boost FROM k GROUP BY l_orderkey""",
     # a link with its node and the node's aliases
     "link_aliases": """
 WITH a AS (SELECT p_type, AGGTEXT(DISTINCT p_brand; p_brand) AS aliases FROM part GROUP BY p_type) SELECT l.l_orderkey, l.l_linenumber, p.p_type, a.aliases FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey JOIN a ON p.p_type = a.p_type WHERE l.l_linenumber = 1""",

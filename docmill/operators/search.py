@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-from collections import Counter
+import hashlib
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docmill.functions.text import cosine, normalized, snippet, tokens
+from docmill.operators.index import DOC, PostingIndex, grams_of, index_of, search_index, terms_in
 from docmill.operators.texts import NORM, TRIGRAMS
-from docmill.sources.tables import lasting, table
+from docmill.sources.tables import table
 
 #: Queries that are broadcast at a time.
 BLOCK = 1024
@@ -26,28 +26,22 @@ def _numbered(order, *by):
     return F.row_number().over(W.partitionBy("item_id").orderBy(order, *by))
 
 
-def hybrid_search(docs: DataFrame, queries: DataFrame, candidates: int = 250, top: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def hybrid_search(index: PostingIndex, queries: DataFrame, candidates: int = 250, top: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(item_id, doc_id, rank, score, overlap): the best documents of each query (item_id, text).
 
     Candidates: the best by BM25 over the query's first 8 tokens, and the best by shared trigrams. The score is 0.72 * (1 / (1 + rank
-    by BM25 - 1 over candidates)) plus 0.28 * shared / larger trigram set. Postings are filtered by the queries' terms before
-    anything is shuffled; ties go to the smaller doc_id. Queries are broadcast, BLOCK of them at a time.
+    by BM25 - 1 over candidates)) plus 0.28 * shared / larger trigram set; ties go to the smaller doc_id. Queries are taken BLOCK at a
+    time; each shard of the index gives its best candidates, so that what is shuffled hangs on queries and shards, not on texts.
     """
     if (n := -(-queries.count() // BLOCK)) > 1:
         parts = [queries.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) for k in range(n)]
-        return reduce(DataFrame.union, [hybrid_search(docs, part, candidates, top, k1, b) for part in parts])
-    wanted = queries.select("item_id", F.explode(F.array_distinct(F.slice(tokens(F.col("text")), 1, 8))).alias("term"))
-    read = lasting(_read(docs, queries, wanted, candidates))
-    words = read.where("item_id IS NULL")
-    totals = words.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"))
-    post = words.select("doc_id", "len", F.explode(F.arrays_zip("terms", "counts")).alias("t")).select("doc_id", "len", F.col("t.terms").alias("term"), F.col("t.counts").alias("tf"))
-    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
-    bm25 = post.join(df, "term").crossJoin(F.broadcast(totals)).join(wanted, "term").groupBy("item_id", "doc_id").agg(F.round(F.sum(part), 6).alias("bm25"))
+        return reduce(DataFrame.union, [hybrid_search(index, part, candidates, top, k1, b) for part in parts])
+    rows = queries.select("item_id", F.array_distinct(F.slice(tokens(F.col("text")), 1, 8)).alias("terms"), normalized(F.col("text")).alias("n")).collect()
+    hits = search_index(index, [(r.item_id, r.terms or [], grams_of(r.n or "")) for r in rows], candidates, k1, b)
+    bm25 = hits.where("bm25 IS NOT NULL").select("item_id", "doc_id", F.round("bm25", 6).alias("bm25"))
     bm25 = bm25.withColumn("nth", _numbered(F.desc("bm25"), "doc_id")).where(F.col("nth") <= candidates)
-    shared = read.where("item_id IS NOT NULL").select("item_id", "doc_id", "qn", "cn", "overlap")
-    near = shared.withColumn("nth3", _numbered(F.desc("overlap"), "doc_id")).where(F.col("nth3") <= candidates)
+    near = hits.where("bm25 IS NULL").select("item_id", "doc_id", "qn", "cn", "overlap")
+    near = near.withColumn("nth3", _numbered(F.desc("overlap"), "doc_id")).where(F.col("nth3") <= candidates)
     both = bm25.select("item_id", "doc_id", "nth").join(near, ["item_id", "doc_id"], "full")
     like = F.coalesce(F.least(F.col("overlap") / F.greatest("qn", "cn"), F.lit(1.0)), F.lit(0.0))
     score = F.round(0.72 * F.coalesce(1 / F.col("nth"), F.lit(0.0)) + 0.28 * like, 6)
@@ -55,53 +49,24 @@ def hybrid_search(docs: DataFrame, queries: DataFrame, candidates: int = 250, to
     return out.withColumn("rank", _numbered(F.desc("score"), "doc_id").cast("long")).where(F.col("rank") <= top)
 
 
-def _read(docs: DataFrame, queries: DataFrame, wanted: DataFrame, candidates: int) -> DataFrame:
-    """One pass over the texts for a block of queries: a row for each text with its length and the counts of the queries' terms, and
-    a row for each query and text among the batch's `candidates` with most shared trigrams.
-
-    The sets of a text live in Python, since Spark's regular expressions and array functions take twenty times as long on them.
-    """
-    terms = {r.term for r in wanted.select("term").distinct().collect()}
-    asked = [(r.item_id, _grams(r.n)) for r in queries.select("item_id", normalized(F.col("text")).alias("n")).collect() if r.n]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, rows, sizes, shared = batch.column("doc_id"), [], [], []
-            for n in batch.column("n").to_pylist():
-                w = _WORD.findall(n) if n is not None else None
-                counts = Counter(x for x in w or () if x in terms)
-                rows.append((None if w is None else len(w), list(counts), list(counts.values())))
-                grams = _grams(n or "")
-                sizes.append(len(grams))
-                shared.append([len(grams & q) for _, q in asked])
-            yield _found(ids, *(pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32())))), *[None] * 4)
-            order = np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable")
-            for (item, q), overlap in zip(asked, np.array(shared).T):
-                best = order[np.argsort(-overlap[order], kind="stable")][:candidates]
-                best = best[overlap[best] > 0]
-                same = [pa.array(np.full(len(best), x), t) for x, t in ((item, pa.int64()), (len(q), pa.int32()))]
-                yield _found(ids.take(pa.array(best)), None, None, None, same[0], same[1], pa.array(np.array(sizes)[best], pa.int32()), pa.array(overlap[best], pa.int64()))
-
-    return docs.select("doc_id", normalized(F.col("text")).alias("n")).mapInArrow(run, _READ)
-
-
-_WORD = regex.compile(r"[\p{L}\p{N}]+")
-_READ = "doc_id long, len int, terms array<string>, counts array<int>, item_id long, qn int, cn int, overlap long"
-_TYPES = (pa.int64(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.int64(), pa.int32(), pa.int32(), pa.int64())
+def documents_index(spark: SparkSession, d: str) -> PostingIndex:
+    """The lasting index of a folder's documents."""
+    return index_of(spark, table(spark, d, "documents"), hashlib.md5(d.encode()).hexdigest())
 
 
-def _grams(n: str) -> set[str]:
-    """As trigrams()."""
-    return {n[i : i + 3] for i in range(len(n) - 2)} if len(n) >= 3 else {n} if n else set()
+def index_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The documents as the index holds them: their version, words and trigrams."""
+    return documents_index(spark, d).rows(DOC).select(F.col("id").alias("doc_id"), F.col("key").alias("version"), F.col("size").cast("long").alias("words"), F.col("grams").cast("long").alias("grams"))
 
 
-def _found(*columns: pa.Array | None) -> pa.RecordBatch:
-    return pa.record_batch([pa.nulls(len(columns[0]), t) if c is None else c.cast(t) for c, t in zip(columns, _TYPES)], names=[c.split()[0] for c in _READ.split(", ")])
+def index_terms(spark: SparkSession, d: str) -> DataFrame:
+    """The vocabulary of the index: in how many documents a term is, and how often."""
+    return terms_in(documents_index(spark, d))
 
 
 def search_hybrid(spark: SparkSession, d: str) -> DataFrame:
     """Queries: every benchmark item whose id is divisible by 20."""
-    return hybrid_search(table(spark, d, "documents"), table(spark, d, "benchmark").where("item_id % 20 = 0"))
+    return hybrid_search(documents_index(spark, d), table(spark, d, "benchmark").where("item_id % 20 = 0"))
 
 
 def search_snippets(spark: SparkSession, d: str) -> DataFrame:
@@ -163,7 +128,7 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
 def vector_rerank(spark: SparkSession, d: str, candidates: int = 10, weight: float = 0.35) -> DataFrame:
     """Twenty hits of each query, the first `candidates` of them by 0.65 of their score and 0.35 of the cosine of document and query
     (0 without vectors), the others unchanged behind them; vectors belong to the documents and items with their ids."""
-    hits = hybrid_search(table(spark, d, "documents"), table(spark, d, "benchmark").where("item_id % 20 = 0"), top=20)
+    hits = hybrid_search(documents_index(spark, d), table(spark, d, "benchmark").where("item_id % 20 = 0"), top=20)
     v = table(spark, d, "embeddings")
     both = hits.join(v.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("x")), "doc_id", "left").join(v.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("y")), "item_id", "left")
     near = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(cosine(F.col("x"), F.col("y")), F.lit(0.0))))
@@ -185,8 +150,12 @@ def vector_centroids(spark: SparkSession, d: str) -> DataFrame:
 
 _TOKENS = "regexp_extract_all({0}, '[\\p{{L}}\\p{{N}}]+')"
 _N, _T = NORM.format("text"), _TOKENS.format(NORM.format("text"))
-QUERIES = {f.__name__: f for f in (search_hybrid, search_snippets, vector_topk, vector_rerank, vector_centroids)}
+QUERIES = {f.__name__: f for f in (index_documents, index_terms, search_hybrid, search_snippets, vector_topk, vector_rerank, vector_centroids)}
 ORACLE_SQL = {
+    "index_documents": f"""
+WITH n AS (SELECT doc_id, text, {_N} AS n FROM documents) SELECT doc_id, md5(coalesce(text, chr(0))) AS version, len(regexp_extract_all(n, '[\\p{{L}}\\p{{N}}]+')) AS words, len({TRIGRAMS}) AS grams FROM n""",
+    "index_terms": f"""
+SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS occurrences FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_T}) AS term FROM documents) GROUP BY ALL) GROUP BY term""",
     "search_hybrid": f"""
 WITH w AS (SELECT doc_id, {_T} AS w FROM documents), tot AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM w),
 q AS (SELECT item_id, text FROM benchmark WHERE item_id % 20 = 0),

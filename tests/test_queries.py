@@ -33,3 +33,17 @@ def test_entry_and_registry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     if os.path.isdir(SMALL):
         assert entry.entry(spark).count() > 0
+
+
+def test_a_callers_views_stay(spark):
+    """Statements name their tables; a view of the caller's under such a name is neither read nor lost."""
+    mine = spark.createDataFrame([(1,)], "x int")
+    for name in ("documents", "pages", "lineitem"):
+        mine.createOrReplaceTempView(name)
+    before = {t.name for t in spark.catalog.listTables()}
+    for name in ("hash_ids", "crawl_bfs", "semantic_boost"):
+        assert catalog.QUERIES[name](spark, SMALL).count() > 1
+    assert {t.name for t in spark.catalog.listTables()} == before
+    assert spark.table("documents").columns == spark.table("pages").columns == ["x"]
+    for name in ("documents", "pages", "lineitem"):
+        spark.catalog.dropTempView(name)
