@@ -65,14 +65,6 @@ SELECT doc_id, mention, CASE WHEN mention = '' THEN CAST(0 AS BIGINT) ELSE CAST(
     "mention_chunks": f"""
 WITH {_LINES}, m AS (SELECT doc_id, start AS a, start + length(line) AS b, lower(regexp_extract(line, R'([A-Za-z]+)', 1)) AS label, round(least(#1, length(line) / #200), 6) AS confidence FROM l WHERE HAS(line, R'[A-Za-z]')),
 c AS (SELECT *, EXPLODE(SEQ(CAST(greatest(0, floor((a - 900) / 750) + 1) AS INT), CAST(greatest(0, floor((a - 900) / 750) + 1, floor((b - 1) / 750)) AS INT))) AS chunk FROM m) SELECT doc_id, CAST(chunk AS BIGINT) AS chunk, label, max(confidence) AS confidence FROM c GROUP BY doc_id, chunk, label""",
-    # labels next to each other in their block: .05 if equal, .40 of shared words, .30 of shared trigrams, .15 for initials, .10 for numbers
-    "alias_merge": """
-WITH n AS (SELECT p_partkey, p_brand, lower(trim(p_name)) AS label FROM part), g AS (SELECT p_partkey, p_brand, label, lag(label) OVER b AS other, lag(p_partkey) OVER b AS other_key FROM n WINDOW b AS (PARTITION BY p_brand ORDER BY label, p_partkey)),
-s AS (SELECT *, ADIS(W(label)) AS a, ADIS(W(other)) AS b, ADIS(MAPL(SEQ(1, greatest(1, length(label) - 2)), i => substr(label, CAST(i AS INT), 3))) AS ga, ADIS(MAPL(SEQ(1, greatest(1, length(other) - 2)), i => substr(other, CAST(i AS INT), 3))) AS gb,
-  regexp_extract_all(label, R'([0-9]+)', 1) AS x, regexp_extract_all(other, R'([0-9]+)', 1) AS y FROM g WHERE other IS NOT NULL),
-v AS (SELECT p_partkey, other_key, CASE WHEN label = other THEN #0.05 ELSE #0 END + #0.40 * LEN(AINT(a, b)) / greatest(1, LEN(a) + LEN(b) - LEN(AINT(a, b))) + #0.30 * LEN(AINT(ga, gb)) / greatest(1, LEN(ga) + LEN(gb) - LEN(AINT(ga, gb))) + CASE WHEN substr(label, 1, 1) = substr(other, 1, 1) THEN #0.15 ELSE #0 END
-  + #0.10 * CASE WHEN LEN(x) = 0 AND LEN(y) = 0 THEN #1 WHEN LEN(x) = 0 OR LEN(y) = 0 THEN #0.5 WHEN AJOIN(ASORT(x), ' ') = AJOIN(ASORT(y), ' ') THEN #1 ELSE #0 END AS score, AJOIN(ASORT(x), ' ') <> AJOIN(ASORT(y), ' ') AS blocked FROM s)
-SELECT p_partkey, other_key, round(score, 6) AS score, CASE WHEN blocked THEN 'separate' WHEN score >= #0.94 THEN 'merge' WHEN score >= #0.85 THEN 'review' ELSE 'separate' END AS decision FROM v""",
     # does a span say what it is said to say: in range, literally, or in its normal form
     "span_checks": """
 WITH s AS (SELECT doc_id, text, length(text) AS n, CAST(floor(length(text) / 3) AS INT) AS a, lower(trim(substr(text, CAST(floor(length(text) / 3) AS INT) + 1, 30))) AS mention FROM documents)

@@ -64,11 +64,6 @@ SELECT conv_id, turn, score, CASE WHEN score >= #0.67 THEN 'supported' WHEN scor
 WITH {_TURNS}, l AS (SELECT conv_id, max(coalesce(LEN(AINT(q, a)) / nullif(greatest(LEN(q), LEN(a)), 0), #0)) AS lexical FROM p GROUP BY conv_id), v AS (SELECT vec_id, POSEX(embedding; pos, x) FROM embeddings),
 n AS (SELECT a.vec_id, sum(CAST(a.x AS DOUBLE) * b.x) / nullif(sqrt(sum(CAST(a.x AS DOUBLE) * a.x)) * sqrt(sum(CAST(b.x AS DOUBLE) * b.x)), #0) AS cosine FROM v a JOIN v b ON b.vec_id = a.vec_id + 1 AND a.pos = b.pos GROUP BY a.vec_id)
 SELECT l.conv_id, round(l.lexical, 6) AS lexical, round(coalesce(n.cosine, #0), 5) AS cosine, coalesce(n.cosine, #0) < #0.18 AND l.lexical < #0.2 AS refused FROM l LEFT JOIN n ON l.conv_id = n.vec_id""",
-    # cited ids set right: two edits at most, and only where one known id is nearest
-    "citation_repair": """
-WITH known AS (SELECT DISTINCT p_brand AS id FROM part), cited AS (SELECT DISTINCT lower(substr(p_brand, 1, 7)) AS id FROM part UNION SELECT p_brand FROM part UNION SELECT replace(p_brand, '#', '') FROM part),
-d AS (SELECT c.id, k.id AS known, levenshtein(c.id, k.id) AS d FROM cited c JOIN known k ON lower(substr(c.id, 1, 5)) = lower(substr(k.id, 1, 5))), b AS (SELECT id, min(d) AS d FROM d WHERE d <= 2 GROUP BY id)
-SELECT d.id, CASE WHEN count(*) = 1 THEN max(d.known) END AS repaired, CAST(min(d.d) AS BIGINT) AS edits FROM d JOIN b ON d.id = b.id AND d.d = b.d GROUP BY d.id""",
     # where a conversation has lines with a number, only these stay
     "claim_selection": """
 WITH f AS (SELECT conv_id, turn, HAS(text, R'[0-9]') AS decision FROM conversations WHERE role = 'assistant'), m AS (SELECT *, max(CASE WHEN decision THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS some_decide FROM f) SELECT conv_id, turn, decision FROM m WHERE decision OR some_decide = 0""",
