@@ -10,7 +10,7 @@ from itertools import combinations, product
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.llm.common import materialize, narrowed, null_if_lowest
@@ -268,73 +268,77 @@ def link_forest(fps: DataFrame, links: Links) -> DataFrame:
     return at_anchors(fps, links).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "a long, b long")
 
 
-def _pairs(a: Column, b: Column) -> list[Column]:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+#: Bytes of shingle sets of a tile: a task compares two tiles of one group of candidates.
+TILE_BYTES = 1 << 22
 
 
-def _first_candidates(classes: DataFrame, links: Links) -> DataFrame:
-    """(a, b): two candidates for each id that has any: that with the fewest differing bits and that with the least id."""
-    columns = ["anchor", "home", "id", *(f"fp{k}" for k in range(links.words64))]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for anchor, home, ids, *fps in _whole_groups(batches, columns):
-            for x, y, bits in _near(links.threshold, anchor, home, *fps):
-                node, other, bits = ids[np.append(x, y)], ids[np.append(y, x)], np.append(bits, bits)
-                for order in (np.lexsort((other, bits, node)), np.lexsort((other, node))):
-                    own = order[np.concatenate(([True], node[order][1:] != node[order][:-1]))]
-                    yield pa.record_batch([pa.array(node[own]), pa.array(other[own]), pa.array(bits[own].astype(np.int32))], names=["node", "other", "bits"])
-
-    met = at_anchors(classes, links).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "node long, other long, bits int")
-    best = met.groupBy("node").agg(F.min(F.struct("bits", "other"))["other"].alias("near"), F.min("other").alias("least"))
-    return best.select("node", F.explode(F.array("near", "least")).alias("other")).select(*_pairs(F.col("node"), F.col("other"))).where("a <> b").distinct()
-
-
-def _other_candidates(classes: DataFrame, links: Links) -> DataFrame:
-    """(a, b): every candidate whose ids have different roots; classes: id, root, fp0, ..."""
-    columns = ["anchor", "home", "id", "root", *(f"fp{k}" for k in range(links.words64))]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for anchor, home, ids, root, *fps in _whole_groups(batches, columns):
-            for x, y, _ in _near(links.threshold, anchor, home, *fps):
-                apart = root[x] != root[y]
-                if apart.any():
-                    yield pa.record_batch([pa.array(ids[x[apart]]), pa.array(ids[y[apart]])], names=["a", "b"])
-
-    met = at_anchors(classes, links, ("root",)).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "a long, b long")
-    return met.select(*_pairs(F.col("a"), F.col("b"))).where("a <> b").distinct()
-
-
-def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose sets of shingles (id, shingles) have a Jaccard similarity of `least` or more."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = 0
-                if min(len(x), len(y)) >= least * max(len(x), len(y)) - 1:  # else they can't be
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both > 0 and both / (len(x) + len(y) - both) >= least)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    one = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
-    two = one.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    return two.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
+def _stretches(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of sorted batches, cut where one of the keys changes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        new = np.zeros(batch.num_rows, bool)
+        for v in values:
+            new[1:] |= v[1:] != v[:-1]
+        cuts = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+        if held and any(held[-1].column(k)[-1].as_py() != v[0] for k, v in zip(keys, values)):
+            yield pa.Table.from_batches(held)
+            held = []
+        for first, last in zip(cuts, cuts[1:]):
+            held.append(batch.slice(first, last - first))
+            if last < batch.num_rows:
+                yield pa.Table.from_batches(held)
+                held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _similar_within(group: pa.Table, links: Links) -> tuple[list[int], list[int]]:
+    """Links that connect the ids of two tiles (right: the second one) just as all their near copies do: a pair is compared only
+    while nothing connects it."""
+    ids, right = group.column("id").to_pylist(), group.column("right").to_numpy(zero_copy_only=False)
+    fps = np.stack([group.column(f"fp{k}").to_numpy() for k in range(links.words64)], axis=1).view(np.uint64)
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("shingles")]
+    sizes = np.array([len(x) for x in sets])
+    root = list(range(len(ids)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    seconds = np.flatnonzero(right) if right.any() else np.arange(len(ids))
+    a, b = [], []
+    for x in np.flatnonzero(~right).tolist():
+        ys = seconds if right.any() else seconds[x + 1 :]
+        near = np.bitwise_count(fps[ys] ^ fps[x]).sum(axis=1) <= links.threshold
+        near &= np.minimum(sizes[ys], sizes[x]) >= links.least_jaccard * np.maximum(sizes[ys], sizes[x]) - 1  # else they can't be
+        for y in ys[near].tolist():
+            if (i := find(x)) != (j := find(y)):
+                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                if both and both / (sizes[x] + sizes[y] - both) >= links.least_jaccard:
+                    root[max(i, j)] = min(i, j)
+                    a.append(ids[x])
+                    b.append(ids[y])
+    return a, b
 
 
 def similar_links(docs: DataFrame, classes: DataFrame, links: Links) -> DataFrame:
-    """(a, b): links between classes (id, fp0, ..., digest) of narrowed docs that connect them just as do all candidates with a
-    Jaccard similarity of least_jaccard or more.
+    """(a, b): links between classes (id, fp0, ..., digest) of narrowed docs that connect them just as do all pairs of a Jaccard
+    similarity of least_jaccard or more whose candidates a chain of candidates connects.
 
-    Every candidate is compared by its sets of shingles, joined in Spark, unless what was compared before connects it: first two
-    candidates of each class, so that a large group of near copies gets its links without all its pairs, then all that are left
-    between different components. Classes of one id are one document.
+    Candidates (fingerprints at links.threshold or fewer bits) leave the anchors as a forest, which gives groups of texts that may be
+    near copies. A group is dealt into tiles of about TILE_BYTES of shingle sets, and each two tiles of it are compared in one task,
+    by fingerprints first and then by the sets; what leaves is again a forest. So neither candidates nor near copies are ever rows
+    pair by pair, and a large group spreads over tasks. Classes of one id are one document.
     """
     classes = materialize(classes, "classes")
-    first = materialize(_first_candidates(classes, links), "candidates")
-    ends = classes.join(first.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id")
-    texts = docs.join(ends.select("id", "digest"), F.col("doc_id") == F.col("id")).select("id", "digest", "text")
+    groups = connected_components(link_forest(classes, links))
+    members = materialize(classes.join(groups, F.col("id") == F.col("node")).drop("node"), "candidates")
+    texts = docs.join(members.select("id", "digest"), F.col("doc_id") == F.col("id")).select("id", "digest", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -347,12 +351,29 @@ def similar_links(docs: DataFrame, classes: DataFrame, links: Links) -> DataFram
                     sets.append(shingles.tobytes())
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(digests, pa.int64()), pa.array(sets, pa.binary())], names=["id", "digest", "shingles"])
 
-    sets = materialize(texts.mapInArrow(run, "id long, digest long, shingles binary").dropDuplicates(["id", "digest"]), "shingles")
-    found = materialize(_similar(first, sets, links.least_jaccard), "links")
-    roots = connected_components(found)
-    left = ends.join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id"))
-    rest = _other_candidates(left, links).join(first, ["a", "b"], "left_anti")
-    return found.union(_similar(materialize(rest, "candidates"), sets, links.least_jaccard))
+    sets = texts.mapInArrow(run, "id long, digest long, shingles binary").dropDuplicates(["id", "digest"])
+    fps = [f"fp{k}" for k in range(links.words64)]
+    rows = materialize(members.join(sets, ["id", "digest"]).select("root", "id", "digest", *fps, "shingles"), "shingles")
+    tiles = rows.groupBy("root").agg(F.ceil(F.sum(F.octet_length("shingles") + 64) / TILE_BYTES).cast("int").alias("tiles"))
+    dealt = rows.join(tiles, "root").withColumn("tile", F.pmod(F.xxhash64("id", "digest"), F.col("tiles")).cast("int"))
+    left = dealt.withColumn("lo", F.col("tile")).withColumn("hi", F.explode(F.sequence("tile", F.col("tiles") - 1))).withColumn("right", F.lit(False))
+    right = dealt.where("tile > 0").withColumn("hi", F.col("tile")).withColumn("lo", F.explode(F.sequence(F.lit(0), F.col("tile") - 1))).withColumn("right", F.lit(True))
+    columns = ["root", "lo", "hi", "right", "id", *fps, "shingles"]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = [], []
+        for group in _stretches(batches, ["root", "lo", "hi"]):
+            if group.num_rows > 1:
+                x, y = _similar_within(group, links)
+                a += x
+                b += y
+                if len(a) >= 1 << 16:
+                    yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                    a, b = [], []
+        yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    met = left.select(columns).unionByName(right.select(columns)).repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi", "right")
+    return met.mapInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, links: Links = EXACT) -> DataFrame:
