@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,8 +39,8 @@ class LineRuns:
     `min_docs` are closed: a later batch merge-anti-joins them away before it adds its own run, so that a hash is closed by one
     row of one run.
 
-    Every run is bucketed and sorted by hash into the same number of buckets, so that Spark merge-joins a batch to the runs
-    bucket by bucket and shuffles only the batch. The manifest table tells which runs live; each change of it is one appended file,
+    Every run is bucketed and sorted by hash into the same number of buckets, one file for each, so that Spark merge-joins a batch
+    to the runs bucket by bucket: it shuffles and sorts only the batch and reads the runs in the order in which they are stored. The manifest table tells which runs live; each change of it is one appended file,
     written after the run itself, so that a batch that breaks off leaves the store as it was. Opening a folder again (the number
     of buckets is that of its first run) goes on from the manifest. One writer at a time.
     """
@@ -48,6 +51,8 @@ class LineRuns:
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
         self._seq = 0
+        # lets a scan of a bucketed table with one file a bucket keep its order; Spark checks the files and sorts where there are more
+        spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
         for seq, run, level, live, self.buckets in self._manifest():
             self._note(run, level, live)
             self._seq = seq + 1
@@ -117,59 +122,114 @@ class LineRuns:
 
     def add(self, lines: DataFrame) -> None:
         """lines: (doc_id, hash) of the batch; all rows of a doc_id have to be in one batch, and count once."""
-        batch = self.fresh(lines)
-        self._change([(self._write(batch), 0, True)])
+        changes = [(self._write(self.fresh(lines)), 0, True)]
+        live = [list(level) for level in self.levels] or [[]]
+        live[0].append(changes[0][0])
         level = 0
-        while level < len(self.levels) and len(self.levels[level]) >= self.fanout:
-            merged, old = self._write(self.totals(self.levels[level])), list(self.levels[level])
-            self._change([(run, level, False) for run in old] + [(merged, level + 1, True)])
+        while len(live[level]) >= self.fanout:
+            merged = self._write(self.totals(live[level]))
+            changes += [(run, level, False) for run in live[level]] + [(merged, level + 1, True)]
+            live[level] = []
             level += 1
+            if level == len(live):
+                live.append([])
+            live[level].append(merged)
+        # a run that comes and goes in one batch isn't in the manifest at all
+        gone = {run for run, _, there in changes if not there} & {run for run, _, there in changes if there}
+        self._change([c for c in changes if c[0] not in gone])
 
 
 #: A hash found in more than one of 2^14 of all (document, line) rows is a hot one; so there are fewer than 2^14 of them.
 HOT_SHARE = 1 << 14
 
 
-def frequent_lines(docs: DataFrame, min_docs: int = 10, batches: int = 4, fanout: int = 4) -> DataFrame:
-    """(doc_id, hash) for every document and line key of it that at least min_docs documents have.
-
-    The documents are fed to the runs in `batches` batches, as a crawl would. The line hashes (16 bytes a line, once for each
-    document) are computed in one pass and written batch by batch; texts aren't moved. The rows of a hot hash don't meet in one
-    task: these hashes, fewer than 2^14, are broadcast, and all others joined.
-    """
+def feed_lines(docs: DataFrame, min_docs: int, batches: int, fanout: int) -> tuple[LineRuns, DataFrame]:
+    """The runs after all lines of docs, and the lines (doc_id, hash). The documents are fed in `batches` batches, as a crawl would; the
+    hashes (16 bytes a line, once for each document) are computed in one pass and written batch by batch; texts aren't moved."""
     hashes = F.array_distinct(F.transform(F.split(F.col("text"), "\n", -1), key_hash))
     lines = docs.select("doc_id", F.explode(hashes).alias("hash")).where(F.col("hash").isNotNull())
     lines = materialize(lines.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")), "line-hashes", by="batch")
     runs = LineRuns(docs.sparkSession, None, min_docs, fanout)
     for k in range(batches):
         runs.add(lines.where(F.col("batch") == k))
-    lines = lines.select("doc_id", "hash")
+    return runs, lines.select("doc_id", "hash")
+
+
+#: So many closed hashes (16 bytes each) are broadcast at most; more of them are joined.
+MOST_BROADCAST = 1 << 20
+
+
+def frequent_lines(closed: DataFrame, lines: DataFrame) -> DataFrame:
+    """(doc_id, hash) for every document and line of it (lines) whose hash is closed. The rows of a hot hash don't meet in one task:
+    these hashes, fewer than 2^14, are broadcast, and all others joined."""
     least = F.lit(lines.count()) < F.col("n_docs") * HOT_SHARE
-    hot = F.broadcast(runs.closed().where(least).select("hash"))
-    rare = runs.closed().where(~least).select("hash")
+    hot = F.broadcast(closed.where(least).select("hash"))
+    rare = closed.where(~least).select("hash")
     return lines.join(hot, "hash", "left_semi").union(lines.join(hot, "hash", "left_anti").join(rare, "hash", "left_semi"))
 
 
+_TO_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+
+
+def _without_closed(docs: DataFrame, closed: DataFrame) -> DataFrame:
+    """(doc_id, kept_text, n_lines, n_kept, carried) by a broadcast set of closed hashes: texts stay where they are."""
+    known = docs.sparkSession.sparkContext.broadcast(frozenset(bytes(r.hash) for r in closed.select("hash").collect()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bad = known.value
+        seen: dict[bytes, bool] = {}
+
+        def stays(line: bytes) -> bool:
+            if (found := seen.get(line)) is None:
+                key = line.strip(BLANKS.encode()).translate(_TO_LOWER)
+                found = not key or hashlib.md5(key).digest() not in bad
+                if len(line) < 256:
+                    if len(seen) >= 1 << 16:
+                        seen.clear()
+                    seen[line] = found
+            return found
+
+        for batch in batches:
+            texts, sizes, kept = [], [], []
+            for text in batch.column("text"):
+                lines = text.as_buffer().to_pybytes().split(b"\n")
+                keep = [x for x in lines if stays(x)]
+                texts.append(b"\n".join(keep))
+                sizes.append(len(lines))
+                kept.append(len(keep))
+            columns = [batch.column("doc_id"), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(sizes, pa.int64()), pa.array(kept, pa.int64()), batch.column("carried")]
+            yield pa.record_batch(columns, names=["doc_id", "kept_text", "n_lines", "n_kept", "carried"])
+
+    carried = docs.schema["carried"].dataType.simpleString()
+    return docs.mapInArrow(run, f"doc_id long, kept_text string, n_lines long, n_kept long, carried {carried}")
+
+
+def _joined_without(docs: DataFrame, bad: DataFrame) -> DataFrame:
+    """The same by joining each text with its closed hashes."""
+    joined = docs.join(bad.groupBy("doc_id").agg(F.collect_set("hash").alias("bad")), "doc_id", "left").withColumn("lines", F.split("text", "\n", -1))
+    keep = F.when(F.col("bad").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: F.coalesce(~F.array_contains("bad", key_hash(x)), F.lit(True))))
+    kept = joined.select("doc_id", F.size("lines").cast("long").alias("n_lines"), keep.alias("keep"), "carried")
+    return kept.select("doc_id", F.array_join("keep", "\n").alias("kept_text"), "n_lines", F.size("keep").cast("long").alias("n_kept"), "carried")
+
+
 def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, batches: int = 4, fanout: int = 4, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, kept_text, n_lines, n_dropped) and the columns in carry, a row for each row of docs.
 
     A text is split at \\n; lines whose key (blanks stripped, A-Z lower-cased) has at least one code point and is found in at
     least min_docs documents lose all their lines, the first ones too. A null text is an empty one, which has one empty line;
     empty lines always stay. Null doc_ids are together one document. Rows that repeat a doc_id count as one document and each
-    of them is returned. Other columns are not read.
+    of them is returned. Other columns are not read. Up to MOST_BROADCAST closed hashes are broadcast, so that texts aren't
+    shuffled; where there are more, each text is joined with its own, with the same result.
     """
     docs = docs.select(id_or_lowest().alias("doc_id"), text_or_empty().alias("text"), F.struct(F.lit(0).alias("_"), *carry).alias("carried"))
-    bad = frequent_lines(docs, min_docs, batches, fanout).groupBy("doc_id").agg(F.collect_set("hash").alias("bad"))
-    joined = docs.join(bad, "doc_id", "left").withColumn("lines", F.split("text", "\n", -1))
-    keep = F.when(F.col("bad").isNull(), F.col("lines")).otherwise(
-        F.filter("lines", lambda x: F.coalesce(~F.array_contains("bad", key_hash(x)), F.lit(True)))
-    )
-    kept = joined.select("doc_id", F.size("lines").cast("long").alias("n_lines"), keep.alias("keep"), "carried")
+    runs, lines = feed_lines(docs, min_docs, batches, fanout)
+    closed = runs.closed()
+    if closed.count() <= MOST_BROADCAST:
+        kept = _without_closed(docs, closed)
+    else:
+        kept = _joined_without(docs, frequent_lines(closed, lines))
     return kept.select(
-        null_if_lowest(F.col("doc_id")).alias("doc_id"),
-        F.array_join("keep", "\n").alias("kept_text"),
-        "n_lines",
-        (F.col("n_lines") - F.size("keep")).alias("n_dropped"),
+        null_if_lowest(F.col("doc_id")).alias("doc_id"), "kept_text", "n_lines", (F.col("n_lines") - F.col("n_kept")).alias("n_dropped"),
         *[F.col("carried")[c].alias(c) for c in carry],
     )
 

@@ -1,6 +1,9 @@
 import hashlib
 from collections import defaultdict
 
+import pytest
+
+from docmill.llm import line_dedup
 from docmill.llm.line_dedup import LineRuns, drop_frequent_lines
 from tests.llm.helpers import corpus, frame
 
@@ -24,8 +27,10 @@ def brute(rows, min_docs):
     return sorted(out)
 
 
-def test_against_brute_force(spark):
-    rows = corpus(n=50)
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_against_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(line_dedup, "MOST_BROADCAST", most)
+    rows = corpus(n=50) + [(None, f"null {i} \n Null Line") for i in range(12)] + [(70, "long line " * 50000 + "\n" + "L\n" * 20000), (71, "\x00\n\tÉ \n")]
     for least, batches in ((3, 1), (3, 9), (10, 4)):
         got = drop_frequent_lines(frame(spark, rows), least, batches, 2).collect()
         assert sorted((-1 if r[0] is None else r[0], *r[1:]) for r in got) == brute(rows, least)
@@ -50,6 +55,7 @@ def test_a_batch_joins_the_runs_without_shuffling_them(spark):
     for _ in range(3):
         runs.add(batch)
     plan = runs.fresh(batch)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1  # the batch; the runs are read in their order
     assert plan.count("SortMergeJoin") == 3 and plan.count("Exchange hashpartitioning") == 2  # both of the batch alone
 
 
@@ -69,7 +75,9 @@ def test_a_store_opens_again_by_its_folder(spark, tmp_path):
     assert totals == {b"hot": 3, bytes([0]): 1, bytes([1]): 1, bytes([2]): 1, bytes([9]): 1}
 
 
-def test_hot_and_rare_lines_are_both_found(spark):
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_hot_and_rare_lines_are_both_found(spark, monkeypatch, most):
+    monkeypatch.setattr(line_dedup, "MOST_BROADCAST", most)
     # over 2^14 lines: "shared" is a hot hash in them, "pair 7" and the like are not
     rows = [(i, "\n".join(["shared", f"pair {i // 3}", *(f"{i} {j}" for j in range(60))])) for i in range(600)]
     got = drop_frequent_lines(frame(spark, rows), min_docs=3).collect()
