@@ -26,16 +26,16 @@ def _numbered(order, *by):
     return F.row_number().over(W.partitionBy("item_id").orderBy(order, *by))
 
 
-def hybrid_search(index: PostingIndex, queries: DataFrame, candidates: int = 250, top: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(item_id, doc_id, rank, score, overlap): the best documents of each query (item_id, text).
+def hybrid_candidates(index: PostingIndex, queries: DataFrame, candidates: int = 250, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(item_id, doc_id, score, overlap): the candidates of each query (item_id, text): the best by BM25 over its first 8 tokens, and the
+    best by shared trigrams. The score is 0.72 * (1 / (1 + rank by BM25 - 1 over candidates)) plus 0.28 * shared / larger trigram set.
 
-    Candidates: the best by BM25 over the query's first 8 tokens, and the best by shared trigrams. The score is 0.72 * (1 / (1 + rank
-    by BM25 - 1 over candidates)) plus 0.28 * shared / larger trigram set; ties go to the smaller doc_id. Queries are taken BLOCK at a
-    time; each shard of the index gives its best candidates, so that what is shuffled hangs on queries and shards, not on texts.
+    Queries are taken BLOCK at a time; each shard of the index gives its best candidates, so that what is shuffled hangs on queries and
+    shards, not on texts.
     """
     if (n := -(-queries.count() // BLOCK)) > 1:
         parts = [queries.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) for k in range(n)]
-        return reduce(DataFrame.union, [hybrid_search(index, part, candidates, top, k1, b) for part in parts])
+        return reduce(DataFrame.union, [hybrid_candidates(index, part, candidates, k1, b) for part in parts])
     rows = queries.select("item_id", F.array_distinct(F.slice(tokens(F.col("text")), 1, 8)).alias("terms"), normalized(F.col("text")).alias("n")).collect()
     hits = search_index(index, [(r.item_id, r.terms or [], grams_of(r.n or "")) for r in rows], candidates, k1, b)
     bm25 = hits.where("bm25 IS NOT NULL").select("item_id", "doc_id", F.round("bm25", 6).alias("bm25"))
@@ -45,8 +45,13 @@ def hybrid_search(index: PostingIndex, queries: DataFrame, candidates: int = 250
     both = bm25.select("item_id", "doc_id", "nth").join(near, ["item_id", "doc_id"], "full")
     like = F.coalesce(F.least(F.col("overlap") / F.greatest("qn", "cn"), F.lit(1.0)), F.lit(0.0))
     score = F.round(0.72 * F.coalesce(1 / F.col("nth"), F.lit(0.0)) + 0.28 * like, 6)
-    out = both.select("item_id", "doc_id", score.alias("score"), F.coalesce("overlap", F.lit(0)).cast("long").alias("overlap"))
-    return out.withColumn("rank", _numbered(F.desc("score"), "doc_id").cast("long")).where(F.col("rank") <= top)
+    return both.select("item_id", "doc_id", score.alias("score"), F.coalesce("overlap", F.lit(0)).cast("long").alias("overlap"))
+
+
+def hybrid_search(index: PostingIndex, queries: DataFrame, candidates: int = 250, top: int = 10) -> DataFrame:
+    """(item_id, doc_id, rank, score, overlap): the best candidates of each query; ties go to the smaller doc_id."""
+    found = hybrid_candidates(index, queries, candidates)
+    return found.withColumn("rank", _numbered(F.desc("score"), "doc_id").cast("long")).where(F.col("rank") <= top)
 
 
 def documents_index(spark: SparkSession, d: str) -> PostingIndex:
