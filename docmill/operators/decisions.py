@@ -81,8 +81,8 @@ WITH r AS (SELECT r_regionkey, sha1(concat('topic|', lower(r_name))) AS k FROM r
 s AS (SELECT s_suppkey, n.k AS parent, sha1(concat(n.k, '|', lower(s_name))) AS k, s_acctbal FROM supplier JOIN n ON s_nationkey = n_nationkey) SELECT s_suppkey, parent, k AS node_key, CASE WHEN s_acctbal >= 0 THEN 'active' ELSE 'candidate' END AS status FROM s""",
     # vectors against the centre of each label: .78 matches alone; the best eight of a label
     "topic_match": """
-WITH v AS (SELECT vec_id, label, POSEX(embedding; pos, x) FROM embeddings), c AS (SELECT label, pos, avg(CAST(x AS DOUBLE)) AS x FROM v GROUP BY label, pos),
-s AS (SELECT v.vec_id, v.label, sum(CAST(v.x AS DOUBLE) * c.x) / nullif(sqrt(sum(CAST(v.x AS DOUBLE) * v.x)) * sqrt(sum(c.x * c.x)), #0) AS cosine FROM v JOIN c ON v.label = c.label AND v.pos = c.pos GROUP BY v.vec_id, v.label),
+WITH v AS (SELECT label, POSEX(embedding; pos, x) FROM embeddings), m AS (SELECT label, pos, avg(CAST(x AS DOUBLE)) AS x FROM v GROUP BY label, pos), c AS (SELECT label, CENTRE AS centre FROM m GROUP BY label),
+s AS (SELECT e.vec_id, e.label, COS(e.embedding; c.centre) AS cosine FROM embeddings e JOIN c ON e.label = c.label),
 k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(cosine, 6) DESC, vec_id) AS k FROM s) SELECT vec_id, label, round(cosine, 5) AS cosine, cosine >= #0.78 AS matched FROM k WHERE k <= 8""",
     # nodes and links of two runs, the surest of each kept
     "graph_merge": """

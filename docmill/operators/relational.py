@@ -32,7 +32,7 @@ w AS (SELECT conv_id, unnest(range(0, max(a + n), 200)) AS b FROM s GROUP BY con
 SELECT s.conv_id, s.turn, w.b AS window_start, least(s.a + s.n, w.b + 200) - greatest(s.a, w.b) AS shared FROM s JOIN w ON s.conv_id = w.conv_id AND s.a < w.b + 200 AND w.b < s.a + s.n"""),
     # the ordered neighbours -8 ... +2 of a turn
     "join_neighbours": ("""
-SELECT a.conv_id, a.turn, count(b.turn) AS n_near, sum(length(b.text)) AS near_chars FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn BETWEEN a.turn - 8 AND a.turn + 2 GROUP BY a.conv_id, a.turn""", """
+SELECT conv_id, turn, count(turn) OVER near AS n_near, sum(length(text)) OVER near AS near_chars FROM conversations WINDOW near AS (PARTITION BY conv_id ORDER BY turn RANGE BETWEEN 8 PRECEDING AND 2 FOLLOWING)""", """
 SELECT a.conv_id, a.turn, count(b.turn) AS n_near, sum(length(b.text))::BIGINT AS near_chars FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn BETWEEN a.turn - 8 AND a.turn + 2 GROUP BY a.conv_id, a.turn"""),
     "join_missing_work": ("SELECT d.doc_id, d.lang FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) OR NOT EXISTS (SELECT 1 FROM embeddings e WHERE e.vec_id = d.doc_id)", None),
     "join_semi_subset": ("SELECT doc_id, source, n_chars FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)", None),

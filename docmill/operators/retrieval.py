@@ -23,7 +23,7 @@ SELECT conv_id, turn, HAS(AJOIN(ASORT(w), ' '), R'(^| )(the|les|die|los|all|tout
     "hit_quality": f"""
 WITH {_TURNS} SELECT conv_id, turn, round(#0.5 + CASE WHEN HAS(lower(line), R'copyright|all rights|license|cookie') OR line = '' THEN -#0.4 ELSE #0 END + CASE WHEN LEN(AINT(a, topic)) > 0 THEN #0.15 ELSE #0 END + CASE WHEN length(line) >= 220 THEN #0.04 ELSE #0 END, 6) AS quality FROM p""",
     # no candidates: what holds the text, the first hundred, each as if ranked first
-    "contains_fallback": "SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) AS BIGINT) AS nth, round(1 / (1 + #1), 6) AS score FROM documents WHERE contains(lower(text), 'the th') ORDER BY doc_id LIMIT 100",
+    "contains_fallback": "SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) AS BIGINT) AS nth, round(1 / (1 + #1), 6) AS score FROM (SELECT doc_id FROM documents WHERE contains(lower(text), 'the th') ORDER BY doc_id LIMIT 100) AS f",
     # a label against a query: equal, one in the other, or enough shared words; numbers must not contradict
     "label_match": """
 WITH n AS (SELECT p_partkey, lower(trim(p_name)) AS label, lower(trim(p_type)) AS query FROM part), w AS (SELECT *, W(label) AS a, W(query) AS b, regexp_extract_all(label, R'([0-9]+)', 1) AS x, regexp_extract_all(query, R'([0-9]+)', 1) AS y FROM n),
@@ -49,7 +49,7 @@ WITH n AS (SELECT doc_id, trim(regexp_replace(lower(text), R'[\\s]+', ' ', ALL))
 SELECT k.key, count(*) AS n, min(k.doc_id) AS first_doc FROM k WHERE NOT EXISTS (SELECT 1 FROM embeddings e WHERE e.vec_id = k.doc_id) GROUP BY k.key""",
     # an answer can be a quote: a top score, a clear gap to the next, few topic words
     "extractive_gate": """
-WITH s AS (SELECT l_orderkey, l_linenumber, l_extendedprice / max(l_extendedprice) OVER () AS score FROM lineitem), r AS (SELECT *, row_number() OVER w AS k, lead(score) OVER w AS next FROM s WINDOW w AS (PARTITION BY l_orderkey ORDER BY score DESC, l_linenumber))
+WITH m AS (SELECT max(l_extendedprice) AS most FROM lineitem), s AS (SELECT l_orderkey, l_linenumber, l_extendedprice / most AS score FROM lineitem CROSS JOIN m), r AS (SELECT *, row_number() OVER w AS k, lead(score) OVER w AS next FROM s WINDOW w AS (PARTITION BY l_orderkey ORDER BY score DESC, l_linenumber))
 SELECT l_orderkey, l_linenumber, round(score, 6) AS score, score >= #0.9 AND score - coalesce(next, #0) >= #0.08 AS quote FROM r WHERE k = 1""",
     # how far a line supports a claim, and its band
     "claim_scores": f"""
@@ -61,8 +61,7 @@ SELECT conv_id, turn, score, CASE WHEN score >= #0.67 THEN 'supported' WHEN scor
     "topic_mismatch": f"WITH {_TURNS} SELECT conv_id, count(*) AS used, CAST(sum(CASE WHEN LEN(AINT(topic, a)) = 0 THEN 1 ELSE 0 END) AS BIGINT) AS off_topic, max(CASE WHEN LEN(topic) > 0 AND LEN(AINT(topic, a)) = 0 THEN 1 ELSE 0 END) = 1 AS refused FROM p GROUP BY conv_id",
     # refused where the best of both measures is too low
     "relevance_gate": f"""
-WITH {_TURNS}, l AS (SELECT conv_id, max(coalesce(LEN(AINT(q, a)) / nullif(greatest(LEN(q), LEN(a)), 0), #0)) AS lexical FROM p GROUP BY conv_id), v AS (SELECT vec_id, POSEX(embedding; pos, x) FROM embeddings),
-n AS (SELECT a.vec_id, sum(CAST(a.x AS DOUBLE) * b.x) / nullif(sqrt(sum(CAST(a.x AS DOUBLE) * a.x)) * sqrt(sum(CAST(b.x AS DOUBLE) * b.x)), #0) AS cosine FROM v a JOIN v b ON b.vec_id = a.vec_id + 1 AND a.pos = b.pos GROUP BY a.vec_id)
+WITH {_TURNS}, l AS (SELECT conv_id, max(coalesce(LEN(AINT(q, a)) / nullif(greatest(LEN(q), LEN(a)), 0), #0)) AS lexical FROM p GROUP BY conv_id), n AS (SELECT a.vec_id, COS(a.embedding; b.embedding) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)
 SELECT l.conv_id, round(l.lexical, 6) AS lexical, round(coalesce(n.cosine, #0), 5) AS cosine, coalesce(n.cosine, #0) < #0.18 AND l.lexical < #0.2 AS refused FROM l LEFT JOIN n ON l.conv_id = n.vec_id""",
     # where a conversation has lines with a number, only these stay
     "claim_selection": """
@@ -98,9 +97,9 @@ WITH f AS (SELECT event_id, concat('answer: ```json ', coalesce(props, ''), ' ``
 SELECT event_id, body IS NOT NULL AS found, JSONGET(coalesce(body, '{}'), '$.k') AS k FROM o""",
     # the newest twelve answers with the same key before each vector, and whether one is near enough to be used again
     "answer_cache": """
-WITH r AS (SELECT vec_id, label, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings), s AS (SELECT label, vec_id, k, EXPLODE(SEQ(1, 12)) AS back FROM r),
-v AS (SELECT label, vec_id, k, POSEX(embedding; pos, x) FROM r), c AS (SELECT s.vec_id, s.back, sum(CAST(a.x AS DOUBLE) * b.x) / nullif(sqrt(sum(CAST(a.x AS DOUBLE) * a.x)) * sqrt(sum(CAST(b.x AS DOUBLE) * b.x)), #0) AS cosine
-FROM s JOIN v a ON a.vec_id = s.vec_id JOIN v b ON b.label = s.label AND b.k = s.k - s.back AND b.pos = a.pos GROUP BY s.vec_id, s.back) SELECT vec_id, round(max(cosine), 5) AS best, max(cosine) >= #0.985 AS hit FROM c GROUP BY vec_id""",
+WITH r AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings), s AS (SELECT label, vec_id, k, EXPLODE(SEQ(1, 12)) AS back FROM r),
+p AS (SELECT s.vec_id, r.vec_id AS other FROM s JOIN r ON r.label = s.label AND r.k = s.k - s.back), c AS (SELECT p.vec_id, COS(a.embedding; b.embedding) AS cosine FROM p JOIN embeddings a ON a.vec_id = p.vec_id JOIN embeddings b ON b.vec_id = p.other)
+SELECT vec_id, round(max(cosine), 5) AS best, max(cosine) >= #0.985 AS hit FROM c GROUP BY vec_id""",
 }
 
 PAIRS = {name: both(s) for name, s in RETRIEVAL.items()}

@@ -56,8 +56,9 @@ SELECT event_id, CASE WHEN props IS NULL OR NOT regexp_matches(trim(props), '^[{
     # the turn of a window of ten before and two after that says most of the asked turn's words
     "context_subject": ("""
 WITH w AS (SELECT conv_id, turn, array_distinct(regexp_extract_all(lower(text), '([\\\\p{L}\\\\p{N}]+)', 1)) AS w FROM conversations),
-s AS (SELECT a.conv_id, a.turn, b.turn AS source_turn, round(10 * size(array_intersect(a.w, b.w)) / greatest(size(a.w), 1) - 0.15D * abs(a.turn - b.turn), 6) AS score FROM w a JOIN w b ON a.conv_id = b.conv_id AND b.turn BETWEEN a.turn - 10 AND a.turn + 2 AND b.turn <> a.turn),
-r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, source_turn) AS k FROM s) SELECT conv_id, turn, source_turn, score FROM r WHERE k = 1""", """
+n AS (SELECT *, collect_list(struct(turn AS t, w AS v)) OVER (PARTITION BY conv_id ORDER BY turn RANGE BETWEEN 10 PRECEDING AND 2 FOLLOWING) AS near FROM w),
+s AS (SELECT conv_id, turn, array_min(transform(filter(near, b -> b.t <> turn), b -> struct(-round(10 * size(array_intersect(w, b.v)) / greatest(size(w), 1) - 0.15D * abs(turn - b.t), 6) AS less, b.t AS source_turn))) AS best FROM n)
+SELECT conv_id, turn, best.source_turn, 0 - best.less AS score FROM s WHERE best IS NOT NULL""", """
 WITH w AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '([\\p{L}\\p{N}]+)', 1)) AS w FROM conversations),
 s AS (SELECT a.conv_id, a.turn, b.turn AS source_turn, round(10 * len(list_intersect(a.w, b.w)) / greatest(len(a.w), 1) - 0.15::DOUBLE * abs(a.turn - b.turn), 6) AS score FROM w a JOIN w b ON a.conv_id = b.conv_id AND b.turn BETWEEN a.turn - 10 AND a.turn + 2 AND b.turn <> a.turn),
 r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, source_turn) AS k FROM s) SELECT conv_id, turn, source_turn, score FROM r WHERE k = 1"""),

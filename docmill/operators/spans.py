@@ -11,6 +11,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docmill.functions.mapped import check_mentions
+from docmill.functions.text import tokens
 from docmill.sources.tables import table
 
 
@@ -213,7 +215,20 @@ def quote_grounding(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.coalesce("start", F.lit(-1)).alias("start_"), F.coalesce("end", F.lit(-1)).alias("end_"), "how", F.md5(F.coalesce("span", F.lit(""))).alias("span_md5"))
 
 
-QUERIES = {f.__name__: f for f in (merged_lines, quote_grounding)}
+def mention_checks(spark: SparkSession, d: str) -> DataFrame:
+    """The commonest word of four letters or more of each language, in capitals, as a mention in its documents: claimed where it first
+    stands, three characters further, or beyond the end, as the document's id says."""
+    docs = table(spark, d, "documents").select("doc_id", "lang", "text")
+    words = docs.select("lang", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).where("length(term) >= 4")
+    top = words.groupBy("lang", "term").agg(F.count(F.lit(1)).alias("n")).groupBy("lang").agg(F.min_by("term", F.struct(-F.col("n"), "term")).alias("term"))
+    place = F.instr(F.lower("text"), F.col("term")) - 1
+    start = F.expr("CASE pmod(doc_id, 3) WHEN 0 THEN place WHEN 1 THEN place + 3 ELSE length(text) + 5 END")
+    rows = docs.join(top, "lang").withColumn("place", place).select(F.col("doc_id").alias("id"), "text", F.upper("term").alias("mention"), start.alias("start"), (start + F.length("term")).alias("end"))
+    found = check_mentions(rows)
+    return found.select(F.col("id").alias("doc_id"), "verdict", F.coalesce("found_start", F.lit(-1)).alias("found_start"), F.coalesce("found_end", F.lit(-1)).alias("found_end"))
+
+
+QUERIES = {f.__name__: f for f in (merged_lines, quote_grounding, mention_checks)}
 _DUCK = "(SELECT doc_id, text, p AS start_, p + length(x) AS end_, coalesce(nullif(regexp_extract(x, '([0-9]+)', 1), ''), '') AS number, CASE WHEN length(x) >= 40 THEN 0.9::DOUBLE ELSE 0.7::DOUBLE END AS confidence, {1} AS source, i FROM (SELECT doc_id, text, x, i, coalesce(sum(length(x) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS p FROM (SELECT doc_id, text, unnest(string_split_regex(text, '{0}')) AS x, unnest(range(len(string_split_regex(text, '{0}')))) AS i FROM t)) WHERE length(x) >= {2})"
 _SIG = "left(trim(regexp_replace(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')), 255)"
 _A, _B = _SIG.format("substr(n.text, r.start_ + 1, r.end_ - r.start_)"), _SIG.format("substr(n.text, n.start_ + 1, n.end_ - n.start_)")
@@ -228,4 +243,12 @@ FROM (SELECT n.doc_id, n.k, n.start_, n.end_, n.number, n.confidence, r.start_ A
   CASE WHEN n.start_ <= r.end_ THEN least(r.end_, n.end_) > n.start_ AND (least(r.end_, n.end_) - n.start_) / greatest(least(r.end_ - r.start_, n.end_ - n.start_), 1) >= 0.85 AND {_A} <> '' AND {_B} <> '' AND (contains({_A}, {_B}) OR contains({_B}, {_A}))
   ELSE n.start_ - r.end_ <= 60 AND NOT regexp_matches(substr(n.text, r.end_ + 1, n.start_ - r.end_), '[.\\n]') END AS j FROM r JOIN n ON n.doc_id = r.doc_id AND n.k = r.k + 1))
 SELECT doc_id, start_, end_, number, confidence, parts FROM r QUALIFY row_number() OVER (PARTITION BY doc_id, g ORDER BY k DESC) = 1""",
+    # of these texts only the case differs between a mention and its place
+    "mention_checks": """
+WITH c AS (SELECT lang, term, count(*) AS n FROM (SELECT lang, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'))) AS term FROM documents) WHERE length(term) >= 4 GROUP BY 1, 2),
+t AS (SELECT lang, term FROM c QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, term) = 1),
+p AS (SELECT doc_id, text, term, instr(lower(text), term) - 1 AS place, length(text) AS n, length(term) AS k FROM documents JOIN t USING (lang)),
+s AS (SELECT *, CASE doc_id % 3 WHEN 0 THEN place WHEN 1 THEN place + 3 ELSE n + 5 END AS start_ FROM p), r AS (SELECT *, start_ >= 0 AND start_ + k <= n AS inside FROM s),
+v AS (SELECT *, CASE WHEN inside AND substr(text, start_ + 1, k) = upper(term) THEN 'strict' WHEN inside AND lower(substr(text, start_ + 1, k)) = term THEN 'normalised' WHEN place >= 0 THEN 'moved' WHEN inside THEN 'mismatch' ELSE 'out_of_range' END AS verdict FROM r)
+SELECT doc_id, verdict, CASE WHEN verdict IN ('strict', 'normalised') THEN start_ WHEN verdict = 'moved' THEN place ELSE -1 END AS found_start, CASE WHEN verdict IN ('strict', 'normalised') THEN start_ + k WHEN verdict = 'moved' THEN place + k ELSE -1 END AS found_end FROM v""",
 }
