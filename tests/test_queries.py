@@ -19,7 +19,7 @@ def rows(frame, columns):
 
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for f in glob.glob(f"{SMALL}/*.parquet"):
@@ -29,6 +29,14 @@ def test_against_sql(spark, name):
     assert rows(got, sorted(got.columns)) == rows(want, sorted(got.columns))
 
 
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
+def test_queries_without_sql(spark):
+    """Quotes are grounded by an alignment, which tests/test_spans.py holds against brute force."""
+    assert set(catalog.QUERIES) - set(catalog.ORACLE_SQL) == {"quote_grounding"}
+    how = {r.how: r["count"] for r in catalog.QUERIES["quote_grounding"](spark, SMALL).groupBy("how").count().collect()}
+    assert how["exact"] > 20 and how["fuzzy"] > 20 and how["span_unresolved"] + how.get("offset_mismatch", 0) > 20
+
+
 def test_entry_and_registry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     if os.path.isdir(SMALL):
