@@ -43,8 +43,9 @@ _BYTES = mixed(np.arange(1, 257, dtype=np.uint64))
 class Spans:
     """Hashes of any spans of a sequence of values.
 
-    values: bytes (uint8) or 64-bit hashes. Equal spans have equal hashes wherever they stand; different ones differ but for
-    a chance of about 2**-64 for each pair.
+    values: bytes (uint8) or 64-bit hashes. Equal spans have equal hashes wherever they stand. Different ones nearly always
+    differ, but there are spans (such as Thue-Morse sequences) that collide with certainty under any base: what hashes bring together
+    has to be compared itself before it counts as equal.
     """
 
     def __init__(self, values: np.ndarray):
