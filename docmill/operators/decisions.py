@@ -112,7 +112,7 @@ WITH w AS (SELECT p_type, FILT(W(p_type), x => x NOT IN ('the', 'of', 'and')) AS
 WITH t AS (SELECT p_brand, W(p_type) AS w FROM part), r AS (SELECT p_brand, AT(w, 1) AS word, AJOIN(HEAD(w, 1, 2), ' ') AS root FROM t), c AS (SELECT p_brand, root, word, count(*) AS n FROM r GROUP BY p_brand, root, word),
 k AS (SELECT a.p_brand, a.root, a.n, b.root AS target, b.n + CASE WHEN a.word = b.word THEN #0.6 ELSE #0 END AS score, row_number() OVER (PARTITION BY a.p_brand, a.root ORDER BY b.n + CASE WHEN a.word = b.word THEN #0.6 ELSE #0 END DESC, b.root) AS k FROM c a LEFT JOIN c b ON a.p_brand = b.p_brand AND a.word = b.word AND a.root <> b.root AND a.n <= 2 AND b.n > 2)
 SELECT p_brand, coalesce(target, root) AS root, CAST(sum(n) AS BIGINT) AS n FROM k WHERE k = 1 GROUP BY p_brand, coalesce(target, root)""",
-    # why labels were refused, counted by run, and how often a reason that was expected came up
+    # why labels were refused, counted by run, and each reason's share
     "reject_histogram": """
 WITH r AS (SELECT p_brand, CASE WHEN LEN(W(p_name)) = 0 THEN 'EMPTY' WHEN LEN(W(p_name)) < 2 THEN 'TOO_GENERIC' WHEN HAS(lower(p_name), R'^[0-9# ]+$') THEN 'NUMERIC_ONLY' ELSE 'OK' END AS reason FROM part) SELECT p_brand, reason, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY p_brand), 6) AS share FROM r GROUP BY p_brand, reason""",
     # what speaks for a node: the best score of decisions and of all else

@@ -87,7 +87,7 @@ SELECT p_brand, p_partkey, CAST(by_price AS BIGINT) AS by_price, CAST(by_size AS
     "set_union_best": ("""
 SELECT user_id, max(score) AS score FROM (SELECT user_id, round(value * 0.37D + 0.58D, 6) AS score FROM events WHERE event_type = 'purchase' UNION ALL SELECT user_id, round(value, 6) FROM events WHERE event_type = 'click') GROUP BY user_id""", """
 SELECT user_id, max(score) AS score FROM (SELECT user_id, round(value * 0.37::DOUBLE + 0.58::DOUBLE, 6) AS score FROM events WHERE event_type = 'purchase' UNION ALL SELECT user_id, round(value, 6) FROM events WHERE event_type = 'click') GROUP BY user_id"""),
-    "set_missing": ("SELECT user_id FROM events WHERE event_type = 'view' EXCEPT SELECT user_id FROM events WHERE event_type = 'error'", None),
+    "set_missing": ("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'", None),
     # tree: region > nation > supplier with path and depth; ends when no node is left, and a cycle fails at Spark's level limit
     "tree_paths": ("""
 WITH RECURSIVE n AS (SELECT concat('r', r_regionkey) AS id, CAST(NULL AS STRING) AS parent, r_name AS title FROM region UNION ALL SELECT concat('n', n_nationkey), concat('r', n_regionkey), n_name FROM nation UNION ALL SELECT concat('s', s_suppkey), concat('n', s_nationkey), s_name FROM supplier),
