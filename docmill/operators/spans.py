@@ -40,6 +40,27 @@ def signature(text: str) -> str:
     return regex.sub(r"\s+", " ", regex.sub(r"[^\p{L}\p{N}_\s]", " ", text.lower())).strip()[:255]
 
 
+def fold_spans(text: str, spans: list, rules: MergeRules) -> Iterator[list]:
+    """[start, end, number, confidence, parts] of the merged spans of a text."""
+    ordered = sorted((s["start"], s["end"], i) for i, s in enumerate(spans) if s and s["start"] is not None and s["end"] is not None and 0 <= s["start"] < s["end"] <= len(text))
+    now: list | None = None
+    for start, end, i in ordered:
+        s = spans[i]
+        if now is not None:
+            if start <= now[1]:
+                shared = min(now[1], end) - start
+                joins = shared > 0 and shared / max(min(now[1] - now[0], end - start), 1) >= rules.overlap and rules.same(text[now[0] : now[1]], text[start:end])
+            else:
+                joins = not rules.separates(text[now[1] : start])
+            if joins:
+                now = [now[0], max(now[1], end), now[2] or s["number"], max(now[3], s["confidence"] or 0.0), now[4] + 1]
+                continue
+            yield now
+        now = [start, end, s["number"], s["confidence"] or 0.0, 1]
+    if now is not None:
+        yield now
+
+
 SPAN = "struct<start: int, end: int, number: string, confidence: double>"
 
 
@@ -52,31 +73,12 @@ def merge_spans(docs: DataFrame, rules: MergeRules = MergeRules()) -> DataFrame:
     null lists have no result; repeated rows are folded each for itself.
     """
 
-    def fold(text: str, spans: list) -> Iterator[list]:
-        ordered = sorted((s["start"], s["end"], i) for i, s in enumerate(spans) if s and s["start"] is not None and s["end"] is not None and 0 <= s["start"] < s["end"] <= len(text))
-        now: list | None = None
-        for start, end, i in ordered:
-            s = spans[i]
-            if now is not None:
-                if start <= now[1]:
-                    shared = min(now[1], end) - start
-                    joins = shared > 0 and shared / max(min(now[1] - now[0], end - start), 1) >= rules.overlap and rules.same(text[now[0] : now[1]], text[start:end])
-                else:
-                    joins = not rules.separates(text[now[1] : start])
-                if joins:
-                    now = [now[0], max(now[1], end), now[2] or s["number"], max(now[3], s["confidence"] or 0.0), now[4] + 1]
-                    continue
-                yield now
-            now = [start, end, s["number"], s["confidence"] or 0.0, 1]
-        if now is not None:
-            yield now
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for doc, text, spans in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
                 if text is not None and spans:
-                    out += [(doc, *x) for x in fold(text, spans)]
+                    out += [(doc, *x) for x in fold_spans(text, spans, rules)]
             types = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.int32())
             yield pa.record_batch([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=["doc_id", "start", "end", "number", "confidence", "parts"])
 

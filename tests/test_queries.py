@@ -31,8 +31,10 @@ def test_against_sql(spark, name):
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
 def test_queries_without_sql(spark):
-    """Quotes are grounded by an alignment, which tests/test_spans.py holds against brute force."""
-    assert set(catalog.QUERIES) - set(catalog.ORACLE_SQL) == {"quote_grounding"}
+    """Quotes are grounded by an alignment, which tests/test_spans.py holds against brute force; the chain of decisions is a fold over
+    lines, with golden rows in tests/test_decided.py."""
+    assert set(catalog.QUERIES) - set(catalog.ORACLE_SQL) == {"quote_grounding", "decision_chain"}
+    assert catalog.QUERIES["decision_chain"](spark, SMALL).where("confidence >= 0.6").count() > 0
     how = {r.how: r["count"] for r in catalog.QUERIES["quote_grounding"](spark, SMALL).groupBy("how").count().collect()}
     assert how["exact"] > 20 and how["fuzzy"] > 20 and how["span_unresolved"] + how.get("offset_mismatch", 0) > 20
 
