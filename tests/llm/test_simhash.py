@@ -1,13 +1,20 @@
+import os
 import random
 import re
+from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
+import pytest
 import xxhash
 
 from docmill.llm import simhash as s
 from tests.llm.helpers import corpus, frame, words
 
 
+TABLES = "/root/testdata/sf0.1"
+
+
 def brute(rows, shingle=3, threshold=2):
     prints = []
     for _, text in rows:
@@ -117,3 +124,24 @@ def test_components_with_a_hot_node(spark):
                 changed = True
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: low[x] for e in edges if e[0] != e[1] for x in e}
+
+
+@pytest.mark.skipif(not os.path.isdir(TABLES), reason="no test tables")
+def test_near_copies_of_the_tables_are_linked(spark):
+    """Every pair of texts with a Jaccard similarity of 0.8 or more of their five-word shingles, found by counting shared shingles (but for those of over 400 texts)."""
+    rows = spark.read.parquet(f"{TABLES}/documents.parquet").select("doc_id", "text").collect()
+    sets = {}
+    for r in rows:
+        x = frozenset(s.shingle_set(r.text or "", 5).tolist())
+        sets[x] = min(sets.get(x, r.doc_id), r.doc_id)
+    ids = {i: x for x, i in sets.items()}
+    holders = defaultdict(list)
+    for i, x in ids.items():
+        for g in x:
+            holders[g].append(i)
+    shared = Counter()
+    for held in holders.values():
+        shared.update(combinations(sorted(held), 2)) if len(held) <= 400 else None
+    pairs = [(a, b) for (a, b), n in shared.items() if n / (len(ids[a]) + len(ids[b]) - n) >= 0.8]
+    root = {r.doc_id: r.component_id for r in s.near_duplicates(spark.createDataFrame(rows), s.SIMILAR).select("doc_id", "component_id").collect()}
+    assert len(pairs) >= 40 and sum(root[a] == root[b] for a, b in pairs) >= 0.9 * len(pairs)
