@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,7 @@ from docmill.sources.tables import exists, shared_path
 
 #: Postings of a block, and text bytes for each shard at the time of the first build.
 POSTINGS, SHARD_BYTES = 128, 1 << 24
+MOST_NAMED = 1024
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
 DOC, TERM, GRAM = "doc", "term", "gram"
 #: doc: key is its version, id, size (words; null for a null text), grams; term: size (documents), grams (occurrences), slots, counts and for each block the largest count
@@ -77,6 +79,7 @@ class PostingIndex:
     spark: SparkSession
     root: str
     version: int = 0
+    _live: DataFrame | None = None
 
     @classmethod
     def open(cls, spark: SparkSession, root: str) -> PostingIndex:
@@ -89,10 +92,24 @@ class PostingIndex:
         """(part, gen, docs, words, texts, parts): the live generation of each shard and its totals."""
         return self.spark.read.parquet(f"{self.root}/manifest").where(F.col("version") == self.version).drop("version")
 
-    def rows(self, kind: str) -> DataFrame:
-        """The live rows of a kind."""
-        stored = self.spark.read.schema(f"{ROW}, gen int").parquet(f"{self.root}/rows").where(F.col("kind") == kind)
-        return stored.join(self.manifest().select("part", "gen"), ["part", "gen"])
+    def _stored(self) -> DataFrame:
+        """The live rows of all kinds. Few live shards are named in the filter, so that only their files are listed; many are joined."""
+        if self._live is None:
+            stored = self.spark.read.schema(f"{ROW}, gen int").parquet(f"{self.root}/rows")
+            shards = self.manifest().select("part", "gen")
+            named = shards.limit(MOST_NAMED + 1).collect()
+            if len(named) > MOST_NAMED:
+                self._live = stored.join(shards, ["part", "gen"])
+            else:
+                parts: dict[int, list[int]] = {}
+                for r in named:
+                    parts.setdefault(r.gen, []).append(r.part)
+                self._live = stored.where(reduce(lambda x, y: x | y, [(F.col("gen") == g) & F.col("part").isin(x) for g, x in parts.items()], F.lit(False)))
+        return self._live
+
+    def rows(self, *kinds: str) -> DataFrame:
+        """The live rows of some kinds."""
+        return self._stored().where(F.col("kind").isin(*kinds))
 
     def _named(self, docs: DataFrame, parts: int) -> DataFrame:
         part = F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")
@@ -230,11 +247,11 @@ def search_index(index: PostingIndex, asked: list[tuple[int, list[str], set[str]
     totals = index.manifest().agg(F.coalesce(F.sum("docs"), F.lit(0)), F.try_divide(F.sum("words"), F.sum("texts"))).first()
     terms, grams = sorted({t for _, w, _ in asked for t in w}), sorted({g for *_, x in asked for g in x})
     n, mean = totals[0], totals[1] or 1.0
-    found = index.rows(TERM).where(F.col("key").isin(terms)) if terms else index.rows(TERM).limit(0)
-    weights = {r.key: idf(n, r.df) for r in found.groupBy("key").agg(F.sum("size").alias("df")).collect()}  # a row for each of the queries' terms
-    rows = index.rows(DOC).unionByName(found)
-    if grams:
-        rows = rows.unionByName(index.rows(GRAM).where(F.col("key").isin(grams)))
+    if terms:  # a row for each of the queries' terms
+        weights = {r.key: idf(n, r.df) for r in index.rows(TERM).where(F.col("key").isin(terms)).groupBy("key").agg(F.sum("size").alias("df")).collect()}
+    else:
+        weights = {}
+    rows = index.rows(DOC, TERM, GRAM).where((F.col("kind") == DOC) | (F.col("kind") == TERM) & F.col("key").isin(list(weights)) | (F.col("kind") == GRAM) & F.col("key").isin(grams))
 
     def search(table: pa.Table) -> pa.Table:
         shard, out = Shard(table), []

@@ -33,10 +33,13 @@ def hybrid_candidates(index: PostingIndex, queries: DataFrame, candidates: int =
     Queries are taken BLOCK at a time; each shard of the index gives its best candidates, so that what is shuffled hangs on queries and
     shards, not on texts.
     """
-    if (n := -(-queries.count() // BLOCK)) > 1:
-        parts = [queries.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) for k in range(n)]
+    asked = queries.select("item_id", F.array_distinct(F.slice(tokens(F.col("text")), 1, 8)).alias("terms"), normalized(F.col("text")).alias("n"))
+    rows = asked.limit(2 * BLOCK + 1).collect()
+    if len(rows) > 2 * BLOCK:
+        queries = queries.dropDuplicates(["item_id", "text"])
+        n = -(-queries.count() // BLOCK)
+        parts = [queries.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
         return reduce(DataFrame.union, [hybrid_candidates(index, part, candidates, k1, b) for part in parts])
-    rows = queries.select("item_id", F.array_distinct(F.slice(tokens(F.col("text")), 1, 8)).alias("terms"), normalized(F.col("text")).alias("n")).collect()
     hits = search_index(index, [(r.item_id, r.terms or [], grams_of(r.n or "")) for r in rows], candidates, k1, b)
     bm25 = hits.where("bm25 IS NOT NULL").select("item_id", "doc_id", F.round("bm25", 6).alias("bm25"))
     bm25 = bm25.withColumn("nth", _numbered(F.desc("bm25"), "doc_id")).where(F.col("nth") <= candidates)

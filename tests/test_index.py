@@ -99,3 +99,14 @@ def test_an_empty_table(spark, root):
     queries = spark.createDataFrame([(1, "word")], "item_id long, text string")
     assert index.rows(ix.DOC).count() == 0 and hybrid_search(index, queries).count() == 0
     assert hybrid_search(index.refresh(frame(spark, [(1, "a word")])), queries).count() == 1
+
+
+def test_queries_in_blocks_find_the_same(spark, root, monkeypatch):
+    from docmill.operators import search
+
+    rows = texts(80)
+    index = ix.PostingIndex.open(spark, root).refresh(frame(spark, rows))
+    queries = spark.createDataFrame([(i, f"w{i} w{i + 3}") for i in range(11)] + [(1, "w1 w4")] * 2, "item_id long, text string")
+    once = sorted(tuple(r) for r in hybrid_search(index, queries.distinct()).collect())
+    monkeypatch.setattr(search, "BLOCK", 3)
+    assert sorted(tuple(r) for r in hybrid_search(index, queries).collect()) == once and len(once) > 50
