@@ -13,6 +13,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docmill.llm import char_model
 from docmill.llm.common import BLANKS, id_or_lowest, materialize, null_if_lowest, text_or_empty
 
 SYMBOLS = b"#*$%&|<>"
@@ -201,57 +202,87 @@ def fit(docs: DataFrame) -> dict[str, KneserNey]:
     return models
 
 
-def quality_rules(docs: DataFrame, languages: int = 32, width: float = 2.5, least_spread: float = 0.01) -> DataFrame:
+def quality_rules(docs: DataFrame, languages: int = 32, width: float = 2.5, least_spread: float = 0.01, held: int = 1 << 21) -> DataFrame:
     """A row for each row of docs: (doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
-    perplexity).
+    perplexity, letter_perplexity).
 
     Words are `[^\\x20\\x09-\\x0D]+` of the text (null: none). word_chars: code points in words; n_symbols: characters of
     `[#*$%&|<>]`; n_dup_lines: lines (split at \\n) with a word that equal an earlier one; n_repeat_words: words in 3-word windows
     that the text has twice or more. base_failed: under 50 words, or over half of them n_repeat_words. kept: not base_failed, and
-    the perplexity within its language's band.
-
-    The perplexity is that of the text's characters under a modified Kneser-Ney 4-gram model of its language, counted over all texts
-    of the language in Spark. Characters are folded to 32 classes, so that a language's model has at most 2**20 n-grams whatever
-    the corpus (word n-grams would grow with it, and could not be broadcast). The band is the median of the log perplexity of the
-    documents that haven't base_failed, `width` times the distance to the lower and to the upper decile (at least least_spread)
-    down and up: for a bell-shaped spread about three standard deviations. Each language has a model of its own, and null is one
-    more; `languages` of them are held and broadcast at a time, and documents are scored by as many passes as that takes, each
-    over its own languages' rows. No words: perplexity null. Rows that repeat a doc_id count each.
+    both perplexities within their bands of the language.
+
+    letter_perplexity is that of the text's code points, none of them folded, under a modified Kneser-Ney 5-gram model of its
+    language. Texts are dealt into two halves by hash, and each is scored by the model of the other half, so that no text vouches
+    for its own noise. The n-grams grow with the corpus: Spark counts them and joins each order to the next lower one, and they are
+    broadcast in ranges of about `held`, each but the first for one more pass over the texts.
+
+    perplexity is that of the characters folded to 32 classes (shapes of words, whatever the script's size) under a 4-gram model,
+    counted over all texts of the language in Spark; at most 2**20 n-grams for a language.
+
+    A band is the median of the log perplexity of the documents that haven't base_failed, `width` times the distance to the lower
+    and to the upper decile (at least least_spread) down and up: for a bell-shaped spread about three standard deviations. Each
+    language has models of its own, and null is one more; `languages` of them are held and broadcast at a time, and documents are
+    scored by as many passes as that takes, each over its own languages' rows. No words: perplexities null. Rows that repeat a
+    doc_id count each.
     """
     docs = docs.select(id_or_lowest().alias("doc_id"), text_or_empty().alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"))
+    docs = docs.withColumns({"fold": char_model.fold(), "digest": F.md5("text")})
     names = [r.lang for r in docs.select("lang").distinct().orderBy("lang").collect()]  # a row for each language
     columns = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    row = ["doc_id", "lang", "digest"]
 
-    def scored_by(models: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def scored_by(models: Broadcast, letters: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 rows = []
                 for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
                     features = base_features(text)
-                    rows.append((*features, float(-models.value[lang].of_codes(codes(text)).mean(dtype=np.float64)) if features[0] else None))
+                    rows.append((*features, len(text), float(-models.value[lang].of_codes(codes(text)).mean(dtype=np.float64)) if features[0] else None))
                 if rows:
                     *numbers, logs = zip(*rows)
-                    yield pa.record_batch([batch.column("doc_id"), batch.column("lang"), *(pa.array(x, pa.int64()) for x in numbers), pa.array(logs, pa.float64())], names=["doc_id", "lang", *columns, "log_perplexity"])
+                    letter_logs = pa.array(char_model.sums(letters.value, batch))
+                    yield pa.record_batch([*(batch.column(c) for c in row), *(pa.array(x, pa.int64()) for x in numbers), pa.array(logs, pa.float64()), letter_logs], names=[*row, *columns, "n_letters", "log_perplexity", "letter_logs"])
+
+        return run
+
+    def more_by(letters: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    yield pa.record_batch([*(batch.column(c) for c in row), pa.array(char_model.sums(letters.value, batch))], names=[*row, "more_logs"])
 
         return run
 
-    schema = "doc_id long, lang string, " + "".join(f"{c} long, " for c in columns) + "log_perplexity double"
-    parts = []
+    broadcast = docs.sparkSession.sparkContext.broadcast
+    keyed = "doc_id long, lang string, digest string, "
+    schema = keyed + "".join(f"{c} long, " for c in columns) + "n_letters long, log_perplexity double, letter_logs double"
+    parts, more = [], []
     for first in range(0, max(len(names), 1), languages):
         some = names[first : first + languages]
         own = docs if len(names) <= languages else docs.where(F.col("lang").isin(some))
-        parts.append(own.mapInArrow(scored_by(docs.sparkSession.sparkContext.broadcast(fit(own))), schema))
+        for k, letters in enumerate(char_model.ranges(char_model.fit(char_model.count(own)), held)):
+            if k == 0:
+                parts.append(own.mapInArrow(scored_by(broadcast(fit(own)), broadcast(letters)), schema))
+            else:  # rows of one doc_id and text have one sum
+                more.append(own.mapInArrow(more_by(broadcast(letters)), keyed + "more_logs double").groupBy(*row).agg(F.max("more_logs").alias("more_logs")))
     scored = reduce(DataFrame.union, parts)
+    if more:
+        added = reduce(DataFrame.union, more).groupBy(*row).agg(F.sum("more_logs").alias("more_logs"))
+        scored = scored.join(added, row, "left").withColumn("letter_logs", F.col("letter_logs") + F.coalesce("more_logs", F.lit(0.0)))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    scored = materialize(scored.withColumn("base_failed", failed), "quality")
-    deciles = F.percentile_approx("log_perplexity", [0.1, 0.5, 0.9], 10_000)
-    bands = scored.where(~F.col("base_failed")).groupBy("lang").agg(deciles.alias("q"))  # a row for each language
-    low = F.col("q")[1] - width * F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(least_spread))
-    high = F.col("q")[1] + width * F.greatest(F.col("q")[2] - F.col("q")[1], F.lit(least_spread))
-    bands = bands.select("lang", low.alias("low"), high.alias("high"))
-    inside = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(False))
+    by_letter = F.when(F.col("n_words") > 0, -F.col("letter_logs") / F.col("n_letters"))
+    scored = materialize(scored.withColumns({"base_failed": failed, "letter_log_perplexity": by_letter}).drop("digest", "n_letters", "letter_logs", "more_logs"), "quality")
+    measures = ["log_perplexity", "letter_log_perplexity"]
+    deciles = [F.percentile_approx(c, [0.1, 0.5, 0.9], 10_000).alias(f"{c}_q") for c in measures]
+    bands = scored.where(~F.col("base_failed")).groupBy("lang").agg(*deciles)  # a row for each language
+    inside = F.lit(True)
+    for c in measures:
+        low, middle, high = (F.col(f"{c}_q")[k] for k in range(3))
+        down, up = F.greatest(middle - low, F.lit(least_spread)), F.greatest(high - middle, F.lit(least_spread))
+        inside = inside & F.coalesce(F.col(c).between(middle - width * down, middle + width * up), F.lit(False))
     return scored.join(F.broadcast(bands), "lang", "left").select(
-        null_if_lowest(F.col("doc_id")).alias("doc_id"), *columns, "base_failed", (~F.col("base_failed") & inside).alias("kept"), F.pow(F.lit(10.0), "log_perplexity").alias("perplexity")
+        null_if_lowest(F.col("doc_id")).alias("doc_id"), *columns, "base_failed", (~F.col("base_failed") & inside).alias("kept"),
+        F.pow(F.lit(10.0), "log_perplexity").alias("perplexity"), F.pow(F.lit(10.0), "letter_log_perplexity").alias("letter_perplexity"),
     )
 
 
