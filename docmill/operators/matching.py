@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections import deque
+from collections.abc import Iterator
 from functools import reduce
+from itertools import chain, groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -217,27 +222,62 @@ def alias_merge(spark: SparkSession, d: str) -> DataFrame:
     return alias_pairs(run_statement(spark, d, SPARK_NODES), ABBREVIATIONS)
 
 
-def one_to_one(pairs: DataFrame) -> DataFrame:
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(c.to_pylist() for c in batch.columns))
+
+
+def one_to_one(pairs: DataFrame, copies: DataFrame | None = None) -> DataFrame:
     """(grp, e, p): what a pass over the expected e of each group in order takes, where each takes the best p that is still free; pairs:
-    grp, e, p, choice (smaller is better).
+    grp, e, p, choice (a number; smaller is better, then the smaller p).
 
-    Rounds in place of the pass: each e asks for its best p; of those that ask for one p the first keeps its claim, the others give
-    that p up for good. That ends in the pass's result, since an earlier e never gives way to a later one.
+    copies (grp, p, of): further p that whatever takes `of` would take as well, so that they need no pairs of their own. The pass reads a
+    group's pairs in order as a stream; what it holds is which p of the group are taken, and its copies.
     """
-    pairs = lasting(pairs.select("grp", "e", "p", "choice"))
-    while True:
-        asked = lasting(pairs.groupBy("grp", "e").agg(F.min(F.struct("choice", "p")).alias("best")).select("grp", "e", F.col("best.p").alias("p")))
-        losers = asked.withColumn("first", F.min("e").over(W.partitionBy("grp", "p"))).where("e <> first").select("grp", "e", "p")
-        if losers.isEmpty():
-            return asked
-        # all later ones lose what the first asks for, whether they have asked for it yet or not
-        claims = asked.groupBy("grp", "p").agg(F.min("e").alias("first"))
-        settled = asked.join(claims, ["grp", "p"]).where("e = first").select("grp", "e")
-        first_loser = losers.groupBy("grp").agg(F.min("e").alias("least_loser"))  # every e before it has its p for good
-        fixed = settled.join(first_loser, ["grp"], "left").where("least_loser IS NULL OR e < least_loser").select("grp", "e")
-        taken = asked.join(fixed, ["grp", "e"]).select("grp", "p", F.col("e").alias("owner"))
-        left = pairs.join(losers, ["grp", "e", "p"], "left_anti").join(taken, ["grp", "p"], "left").where("owner IS NULL OR owner = e")
-        pairs = lasting(left.select("grp", "e", "p", "choice"))
+    kind = pairs.schema["grp"].dataType.simpleString()
+    number = lambda c: F.col(c).cast("long").alias(c)
+    none = lambda t, c: F.lit(None).cast(t).alias(c)
+    rows = pairs.select("grp", number("e"), F.col("choice").cast("double").alias("choice"), number("p"), none("long", "of"))
+    if copies is not None:  # e is null: they come first
+        rows = rows.unionByName(copies.select("grp", none("long", "e"), none("double", "choice"), number("p"), number("of")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        whole = lambda: pa.record_batch([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], names=["grp", "e", "p"])
+        batches = iter(batches)
+        if (first := next(batches, None)) is None:
+            return
+        types = (first.schema.field("grp").type, pa.int64(), pa.int64())
+        for grp, group in groupby(_rows(chain([first], batches)), itemgetter(0)):
+            taken: set[int] = set()
+            more: dict[int, deque] = {}
+
+            def free(p: int) -> int | None:
+                """The first of p and its copies that nobody has."""
+                if p not in taken:
+                    return p
+                left = more.get(p)
+                while left and left[0] in taken:
+                    left.popleft()
+                return left[0] if left else None
+
+            for e, asks in groupby(group, itemgetter(1)):
+                if e is None:
+                    for _, _, _, p, of in asks:
+                        more.setdefault(of, deque()).append(p)
+                    continue
+                for _, alike in groupby(asks, itemgetter(2)):
+                    if (best := min((q for x in alike if (q := free(x[3])) is not None), default=None)) is not None:
+                        taken.add(best)
+                        out.append((grp, e, best))
+                        break
+                if len(out) >= 1 << 14:
+                    yield whole()
+                    out.clear()
+        yield whole()
+
+    ordered = rows.where("grp IS NOT NULL").repartition("grp").sortWithinPartitions("grp", F.asc_nulls_first("e"), "choice", "p")
+    return ordered.mapInArrow(run, f"grp {kind}, e long, p long")
 
 
 def signature(text: Column) -> Column:
@@ -245,33 +285,81 @@ def signature(text: Column) -> Column:
     return F.substring(F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), "[^\\p{L}\\p{N}_\\s]", " "), "(?U)\\s+", " ")), 1, 255)
 
 
+#: Sentences of either side that one task compares at once.
+SENTENCES = 512
+
+
+def _met(xs: list[str], ys: list[str], least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which x meet which y, and their choice: -2 if one holds the other, or else minus the share of words if that is `least` or more."""
+    by_size = sorted(range(len(ys)), key=lambda j: len(ys[j]))
+    sizes = [len(ys[j]) for j in by_size]
+    inside = np.zeros((len(xs), len(ys)), bool)
+    for i, x in enumerate(xs):
+        inside[i, [j for j in by_size[bisect_left(sizes, len(x)) :] if x in ys[j]]] = True
+        inside[i, [j for j in by_size[: bisect_right(sizes, len(x))] if ys[j] in x]] = True
+    words = [[set(t.split(" ")) for t in side] for side in (xs, ys)]
+    known = {w: k for k, w in enumerate(set().union(*words[0]) & set().union(*words[1]))}
+    has = [np.zeros((len(side), len(known)), np.float32) for side in words]
+    for side, m in zip(words, has):
+        for i, ws in enumerate(side):
+            m[i, [known[w] for w in ws if w in known]] = 1
+    most = np.maximum(*np.meshgrid(*(np.array([len(ws) for ws in side], float) for side in words), indexing="ij"))
+    overlap = np.round((has[0] @ has[1].T).astype(float) / most, 9)
+    i, j = np.nonzero(inside | (overlap >= least))
+    return i, j, np.where(inside[i, j], -2.0, -overlap[i, j])
+
+
+def _candidates(rows: DataFrame, least: float) -> DataFrame:
+    """candidate_matches of rows (grp, side, at, sig), side: 0 expected, 1 predicted."""
+    kind = rows.schema["grp"].dataType.simpleString()
+    rows = rows.select("grp", F.col("side").cast("int").alias("side"), F.col("at").cast("long").alias("at"), "sig").where("grp IS NOT NULL AND sig IS NOT NULL AND (side = 0 OR sig <> '')")
+    parts = lambda side: F.ceil(F.count_if(F.col("side") == side) / SENTENCES).cast("int")
+    sizes = rows.groupBy("grp").agg(parts(0).alias("lows"), parts(1).alias("highs")).where("lows > 0 AND highs > 0")
+    own, other = (F.when(F.col("side") == 0, F.col(a)).otherwise(F.col(b)) for a, b in (("lows", "highs"), ("highs", "lows")))
+    dealt = rows.join(sizes, "grp").withColumn("mine", F.pmod(F.xxhash64("at"), own).cast("int")).withColumn("theirs", F.explode(F.sequence(F.lit(0), other - 1)))
+    low, high = (F.when(F.col("side") == s, F.col("mine")).otherwise(F.col("theirs")) for s in (0, 1))
+    tiles = dealt.select("grp", low.alias("low"), high.alias("high"), "side", "at", "sig").repartition("grp", "low", "high").sortWithinPartitions("grp", "low", "high", "side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = iter(batches)
+        if (first := next(batches, None)) is None:
+            return
+        grps, found, n = [], [[], [], []], 0
+        whole = lambda: pa.record_batch([pa.array(grps, first.schema.field("grp").type), *(pa.array(np.concatenate(c) if c else np.zeros(0), t) for c, t in zip(found, (pa.int64(), pa.int64(), pa.float64())))], names=["grp", "e", "p", "choice"])
+        for (grp, *_), tile in groupby(_rows(chain([first], batches)), itemgetter(0, 1, 2)):
+            sides = ([], [])
+            for _, _, _, side, at, sig in tile:
+                sides[side].append((at, sig))
+            if sides[0] and sides[1]:
+                i, j, choice = _met(*([sig for _, sig in x] for x in sides), least)
+                grps += [grp] * len(i)
+                for c, x in zip(found, (np.array([at for at, _ in sides[0]], np.int64)[i], np.array([at for at, _ in sides[1]], np.int64)[j], choice)):
+                    c.append(x)
+                n += len(i)
+                if n >= 1 << 16:
+                    yield whole()
+                    grps, found, n = [], [[], [], []], 0
+        yield whole()
+
+    return tiles.mapInArrow(run, f"grp {kind}, e long, p long, choice double")
+
+
 def candidate_matches(expected: DataFrame, predicted: DataFrame, least: float) -> DataFrame:
     """(grp, e, p, choice) of expected and predicted (grp, at, sig): one signature holds the other, or enough words are shared.
 
-    A signature that holds another has all its trigrams, so the pairs of a group meet on the held one's first trigram by hash, or on a
-    shared word; neither side's whole group is compared. Empty predicted signatures match nothing, an empty expected one the first.
+    A group's sentences are dealt into parts of about SENTENCES for either side, and each two parts are compared at once, so that a large
+    group spreads over many tasks and only what meets leaves them. Empty predicted signatures match nothing, an empty expected one the first.
     """
-    grams = lambda c: trigrams(c)
-    e = expected.select("grp", F.col("at").alias("e"), F.col("sig").alias("x")).where("x IS NOT NULL")
-    p = predicted.select("grp", F.col("at").alias("p"), F.col("sig").alias("y")).where("y <> ''")
-    rare = lambda c: F.element_at(F.array_sort(F.transform(grams(c), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g")))), 1).g
-    several = lambda c: F.array_union(grams(c), F.array_union(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.substring(c, i, F.lit(1))), F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.substring(c, i, F.lit(2)))))
-    words = lambda c: F.array_distinct(F.split(c, " "))
-    held = e.where("x <> ''").withColumn("key", rare(F.col("x"))).join(p.withColumn("key", F.explode(several(F.col("y")))), ["grp", "key"])
-    holds = e.where("x <> ''").withColumn("key", F.explode(several(F.col("x")))).join(p.withColumn("key", rare(F.col("y"))), ["grp", "key"])
-    shares = e.where("x <> ''").withColumn("key", F.explode(words(F.col("x")))).join(p.withColumn("key", F.explode(words(F.col("y")))), ["grp", "key"])
-    columns = ["grp", "e", "p", "x", "y"]
-    met = reduce(DataFrame.unionByName, [t.select(columns) for t in (held, holds, shares, e.where("x = ''").join(p, "grp"))]).distinct()
-    inside = F.contains("x", "y") | F.contains("y", "x")
-    overlap = F.size(F.array_intersect(words(F.col("x")), words(F.col("y")))) / F.greatest(F.size(words(F.col("x"))), F.size(words(F.col("y"))))
-    met = met.withColumn("inside", inside).withColumn("overlap", F.round(overlap, 9))
-    return met.where(F.col("inside") | (F.col("overlap") >= least)).select("grp", "e", "p", F.struct((~F.col("inside")).alias("not_inside"), F.when(F.col("inside"), 0.0).otherwise(-F.col("overlap")).alias("overlap"), F.col("p").alias("at")).alias("choice"))
+    sides = [x.select("grp", F.lit(k).alias("side"), "at", "sig") for k, x in enumerate((expected, predicted))]
+    return _candidates(sides[0].unionByName(sides[1]), least)
 
 
 def _matches(spark: SparkSession, d: str, least: float) -> tuple[DataFrame, DataFrame]:
     s = table(spark, d, "conversations").select(F.col("conv_id").alias("grp"), "turn", "role", F.posexplode(F.split("text", "[.]")).alias("pos", "sentence"))
     s = s.select("grp", (F.col("turn") * 1000 + F.col("pos")).cast("long").alias("at"), "role", signature(F.col("sentence")).alias("sig")).where("sig <> ''")
-    return s, one_to_one(candidate_matches(s.where("role = 'user'"), s.where("role = 'assistant'"), least))
+    sides = s.where("role IN ('user', 'assistant')").select("grp", (F.col("role") == "assistant").cast("int").alias("side"), "at", "sig")
+    sides = sides.withColumn("of", F.min("at").over(W.partitionBy("grp", "side", "sig")))
+    return s, one_to_one(_candidates(sides.where("side = 0 OR at = of"), least), sides.where("side = 1 AND at <> of").select("grp", F.col("at").alias("p"), "of"))
 
 
 def match_pairs(spark: SparkSession, d: str) -> DataFrame:

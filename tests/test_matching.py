@@ -145,3 +145,31 @@ def test_one_to_one_is_the_pass(spark):
     got = {tuple(r) for r in m.one_to_one(m.candidate_matches(frame(expected), frame(predicted), 0.65)).collect()}
     assert got == passed(0.65) and len(got) > 15
     assert m.one_to_one(m.candidate_matches(frame([]), frame(predicted), 0.65)).count() == 0
+
+
+@pytest.mark.parametrize("most", [512, 5])
+def test_copies_in_a_conversation_make_no_rounds_and_no_pairs_of_copies(spark, monkeypatch, tmp_path, most):
+    monkeypatch.setattr(m, "SENTENCES", most)
+    monkeypatch.setattr(m, "lasting", lambda df: pytest.fail("a round"))
+    pairs, passed = [], m.one_to_one
+    monkeypatch.setattr(m, "one_to_one", lambda x, *copies: pairs.append(x) or passed(x, *copies))
+    rng = random.Random(3)
+    texts = lambda n: ". ".join(rng.choice(["yes", "no", "yes we do", "do it now", "not now or here", "now"]) for _ in range(n))
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", texts(14)) for c in (1, 2) for t in range(8)] + [(None, 0, "user", "yes"), (None, 1, "assistant", "yes"), (3, 0, "user", "yes"), (4, 0, "system", "no"), (4, 1, "user", None)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    want = set()
+    for c in (1, 2):
+        said = [(t * 1000 + k, r, x.strip()) for g, t, r, text in rows if g == c for k, x in enumerate(text.split("."))]
+        used = set()
+        for e, x in [(at, x) for at, r, x in said if r == "user"]:
+            best = None
+            for p, y in [(at, y) for at, r, y in said if r == "assistant" and at not in used]:
+                a, b = set(x.split()), set(y.split())
+                inside, o = x in y or y in x, len(a & b) / max(len(a), len(b))
+                if (inside or o >= 0.5) and (best is None or (not inside, -o * (not inside), p) < best):
+                    best = (not inside, -o * (not inside), p)
+            if best:
+                used.add(best[2])
+                want.add((c, e, best[2]))
+    assert {tuple(r) for r in m.match_pairs(spark, str(tmp_path)).collect()} == want and len(want) > 60
+    assert pairs[0].count() <= 2 * 56 * 6  # 112 sentences of users, six different ones of assistants
