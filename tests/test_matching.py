@@ -173,3 +173,4 @@ def test_copies_in_a_conversation_make_no_rounds_and_no_pairs_of_copies(spark, m
                 want.add((c, e, best[2]))
     assert {tuple(r) for r in m.match_pairs(spark, str(tmp_path)).collect()} == want and len(want) > 60
     assert pairs[0].count() <= 2 * 56 * 6  # 112 sentences of users, six different ones of assistants
+    assert {(r.conv_id, r.matched) for r in m.match_scores(spark, str(tmp_path)).where("conv_id < 3").collect()} == {(c, sum(x[0] == c for x in want)) for c in (1, 2)}
