@@ -117,7 +117,8 @@ def within_edits(cited: DataFrame, known: DataFrame, most: int = 2) -> DataFrame
     """
     sides = [x.where("id IS NOT NULL").select("id").distinct() for x in (cited, known)]
     left, right = (s.select(F.col("id").alias(n), F.explode(deletions(F.col("id"), most)).alias("part")) for s, n in zip(sides, ("id", "known")))
-    pairs = left.join(right, "part").select("id", "known").distinct()
+    # merged: by the size of the ids' file Spark would broadcast all their parts
+    pairs = left.join(right.hint("merge"), "part").select("id", "known").distinct()
     return pairs.withColumn("edits", F.levenshtein("id", "known", most)).where("edits >= 0")
 
 
@@ -125,9 +126,9 @@ def repair_ids(cited: DataFrame, known: DataFrame, most: int = 2) -> DataFrame:
     """(answer, id, repaired, edits, accepted) of cited (answer, id): the one nearest known id within `most` edits, null where several
     are as near or none is (edits: -1); an answer is accepted only if all its ids are repaired."""
     found = within_edits(cited, known, most)
-    best = found.groupBy("id").agg(F.min(F.struct("edits", "known")).alias("best"), F.collect_list(F.struct("edits", "known")).alias("all"))
-    ties = F.size(F.filter("all", lambda x: x.edits == F.col("best.edits")))
-    best = best.select("id", F.when(ties == 1, F.col("best.known")).alias("repaired"), F.col("best.edits").cast("long").alias("edits"))
+    ties = found.groupBy("id", "edits").agg(F.count(F.lit(1)).alias("n"), F.min("known").alias("known"))
+    best = ties.groupBy("id").agg(F.min(F.struct("edits", "n", "known")).alias("best"))
+    best = best.select("id", F.when(F.col("best.n") == 1, F.col("best.known")).alias("repaired"), F.col("best.edits").cast("long").alias("edits"))
     rows = cited.select("answer", "id").join(best, "id", "left")
     accepted = F.min(F.col("repaired").isNotNull()).over(W.partitionBy("answer"))
     return rows.select("answer", "id", "repaired", F.coalesce("edits", F.lit(-1).cast("long")).alias("edits"), accepted.alias("accepted"))

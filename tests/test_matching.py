@@ -174,3 +174,11 @@ def test_copies_in_a_conversation_make_no_rounds_and_no_pairs_of_copies(spark, m
     assert {tuple(r) for r in m.match_pairs(spark, str(tmp_path)).collect()} == want and len(want) > 60
     assert pairs[0].count() <= 2 * 56 * 6  # 112 sentences of users, six different ones of assistants
     assert {(r.conv_id, r.matched) for r in m.match_scores(spark, str(tmp_path)).where("conv_id < 3").collect()} == {(c, sum(x[0] == c for x in want)) for c in (1, 2)}
+
+
+def test_parts_of_ids_are_never_broadcast(spark, tmp_path):
+    spark.createDataFrame([(f"id{i:06d}",) for i in range(50)] + [(None,)], "id string").write.parquet(f"{tmp_path}/ids")
+    ids = spark.read.parquet(f"{tmp_path}/ids")
+    pairs = m.within_edits(ids, ids)
+    assert "Broadcast" not in pairs._jdf.queryExecution().toString()  # the file is small, its ids' parts need not be
+    assert {(r.id, r.known): r.edits for r in pairs.collect()} == {(a, b): n for a, b, n in ((f"id{i:06d}", f"id{j:06d}", levenshtein(f"{i:06d}", f"{j:06d}")) for i in range(50) for j in range(50)) if n <= 2}
