@@ -168,29 +168,59 @@ WEIGHTS = (0.05, 0.40, 0.30, 0.15, 0.10)
 LEAST_WORDS = 0.75
 
 
+#: Words of a label, in their order by rarity, that are one mark together; labels of more words than LONG have marks of one word.
+TOGETHER, LONG = 3, 12
+
+
+def _marked(sets: DataFrame) -> DataFrame:
+    """sets with mark in place of words (hashes, in one order over all sets), and their number as size: marks of which any two sets share
+    one that share LEAST_WORDS of their words. held: the words of the mark; rest: how many of the set's words come after them.
+
+    Each of the two has some `share` of its words at least in common with the other, so that TOGETHER of those stand among its first
+    size - share + TOGETHER, and the same ones in both. Sets of one and two words have no others like them than equal ones.
+    """
+    n = F.size("words")
+    spare = n - F.ceil(n * LEAST_WORDS).cast("int")
+    sets = sets.withColumn("size", n).withColumn("first", F.slice("words", F.lit(1), F.least(spare + TOGETHER, n)))
+    mark = lambda held, rest, hashed: F.struct(held.cast("int").alias("held"), rest.cast("int").alias("rest"), hashed.alias("mark"))
+    at = lambda i: F.col("first")[i - 1]
+    behind = lambda i, left, f: F.flatten(F.transform(F.sequence(i + 1, F.size("first") - left), f))
+    last = lambda i, j: F.transform(F.sequence(j + 1, F.size("first")), lambda k: mark(F.lit(TOGETHER), F.col("size") - k, F.xxhash64(F.lit(TOGETHER), at(i), at(j), at(k))))
+    threes = behind(F.lit(0), 2, lambda i: behind(i, 1, lambda j: last(i, j)))
+    none = F.array().cast("array<struct<held int, rest int, mark bigint>>")
+    few = F.when(F.col("size") < TOGETHER, F.array(mark(F.col("size"), F.lit(0), F.xxhash64("size", "words")))).when(F.col("size") * LEAST_WORDS <= LONG, threes).otherwise(none)
+    ones = F.transform(F.slice("words", F.lit(1), F.size("first") - TOGETHER + 1), lambda w, k: mark(F.lit(1), F.col("size") - k - 1, F.xxhash64(F.lit(1), w)))
+    marks = F.concat(few, F.when(F.col("size") > LONG, ones).otherwise(none))
+    return sets.select(*[c for c in sets.columns if c not in ("words", "first")], F.explode(marks).alias("x")).select("*", "x.*").drop("x")
+
+
 def alias_pairs(nodes: DataFrame, abbreviations: dict[str, str]) -> DataFrame:
     """(left_id, right_id, score, action): every two nodes (id, label, kind, parent) that may be merged: of one kind, not of different
     parents, without contradicting numbers, with a score of 0.85 or more (auto_merge from 0.94).
 
     Nodes of equal kind, label and parent are one (the smallest id stands for them; alias_members lists them), so that copies make no
-    pairs. Others must share three quarters of their words: a prefix join with length and position filters on the words, rarest first,
-    finds all such pairs without comparing a whole kind; what it finds is scored. Labels without words are left out.
+    pairs. Others must share three quarters of their words: a join on marks of three words each, rarest words first, finds all such pairs
+    without comparing a whole kind or nodes of different parents; what it finds is scored. Labels without words are left out.
     """
     reps = nodes.where("label IS NOT NULL AND kind IS NOT NULL").groupBy("kind", "label", "parent").agg(F.min("id").alias("id"))
     reps = lasting(reps.withColumn("words", _distinct_words(F.col("label"))).where(F.size("words") > 0))
-    word = reps.select("id", "kind", F.explode("words").alias("word"))
+    word = reps.select("id", "kind", "parent", F.explode(F.transform("words", lambda w: F.xxhash64(w))).alias("word"))
     usual = word.groupBy("kind", "word").agg(F.count(F.lit(1)).alias("n"))
-    sets = word.join(usual, ["kind", "word"]).groupBy("id", "kind").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("set"))
-    prefix = F.size("set") - F.ceil(F.size("set") * LEAST_WORDS).cast("int") + 1
-    marks = sets.select("id", "kind", F.size("set").alias("size"), F.posexplode(F.slice("set", F.lit(1), prefix)).alias("at", "x")).select("id", "kind", "size", "at", "x.word")
-    a, b = marks.alias("a"), marks.alias("b")
-    need = F.ceil((F.col("a.size") + F.col("b.size")) * (LEAST_WORDS / (1 + LEAST_WORDS)))
-    can = 1 + F.least(F.col("a.size") - F.col("a.at"), F.col("b.size") - F.col("b.at")) - 1
-    on = (F.col("a.kind") == F.col("b.kind")) & (F.col("a.word") == F.col("b.word")) & (F.col("a.id") < F.col("b.id"))
-    near = (F.col("a.size") >= LEAST_WORDS * F.col("b.size")) & (F.col("b.size") >= LEAST_WORDS * F.col("a.size")) & (can >= need)
-    found = a.join(b, on & near).select(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id")).distinct()
+    sets = word.join(usual.hint("merge"), ["kind", "word"]).groupBy("id", "kind", "parent").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("set"))
+    marks = _marked(sets.select("id", "kind", "parent", F.transform("set", lambda x: x.word).alias("words")))
+    # a node without parent meets all, another one those of its parent
+    within = F.when(F.col("parent").isNull(), F.array(F.lit(None).cast("string"))).otherwise(F.array(F.lit(None).cast("string"), F.col("parent").cast("string")))
+    a, b = marks.alias("a"), marks.withColumn("within", F.explode(within)).alias("b")
+    on = (F.col("a.kind") == F.col("b.kind")) & (F.col("a.mark") == F.col("b.mark")) & F.col("a.parent").cast("string").eqNullSafe(F.col("b.within"))
+    once = F.when(F.col("a.parent").isNull() & F.col("b.parent").isNotNull(), F.col("a.id") != F.col("b.id")).otherwise(F.col("a.id") < F.col("b.id"))
+    # by the first mark that two sets share they have no more in common than its words and the rest
+    most = F.col("a.held") + F.least("a.rest", "b.rest")
+    near = (F.col("a.held") == F.col("b.held")) & ((1 + LEAST_WORDS) * most >= LEAST_WORDS * (F.col("a.size") + F.col("b.size")))
+    ids = [f(F.col("a.id"), F.col("b.id")).alias(c) for f, c in ((F.least, "left_id"), (F.greatest, "right_id"))]
+    found = a.join(b.hint("merge"), on & once & near).select(*ids).distinct()
     whole = lambda side: reps.select(F.col("id").alias(f"{side}_id"), F.struct("label", "parent", "words").alias(side))
     pairs = found.join(whole("left"), "left_id").join(whole("right"), "right_id").where("left.parent IS NULL OR right.parent IS NULL OR left.parent = right.parent")
+    pairs = pairs.where(_jaccard(F.col("left.words"), F.col("right.words")) >= LEAST_WORDS)
     x, y = _numbers(F.col("left.words")), _numbers(F.col("right.words"))
     some = (F.size(x) > 0).cast("int") + (F.size(y) > 0).cast("int")
     pairs = pairs.where((some < 2) | (x == y))

@@ -182,3 +182,30 @@ def test_parts_of_ids_are_never_broadcast(spark, tmp_path):
     pairs = m.within_edits(ids, ids)
     assert "Broadcast" not in pairs._jdf.queryExecution().toString()  # the file is small, its ids' parts need not be
     assert {(r.id, r.known): r.edits for r in pairs.collect()} == {(a, b): n for a, b, n in ((f"id{i:06d}", f"id{j:06d}", levenshtein(f"{i:06d}", f"{j:06d}")) for i in range(50) for j in range(50)) if n <= 2}
+
+
+def test_marks_of_words_meet_wherever_three_quarters_are_shared_and_seldom_elsewhere(spark):
+    rng = random.Random(12)
+    sets = []
+    for size in (1, 2, 3, 4, 5, 7, 8, 9, 12, 13, 15, 16, 17, 20, 24):
+        for _ in range(12):
+            words = set(rng.sample(range(60), size))
+            sets += [words, words ^ {rng.randrange(60)}, {*list(words)[1:], rng.randrange(60)}, words | {*rng.sample(range(60), size // 3)}]
+    sets = [sorted(x) for x in sets if x]
+    rows = m._marked(spark.createDataFrame(list(enumerate(sets)), "id int, words array<long>")).collect()
+    marks = [{} for _ in sets]
+    for r in rows:
+        marks[r.id][r.mark] = (r.held, r.rest)
+    near = far = met = 0
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            like = len({*a} & {*b}) / len({*a} | {*b})
+            if like >= m.LEAST_WORDS:
+                near += 1
+                both = marks[i].keys() & marks[j].keys()
+                assert any(marks[i][k][0] + min(marks[i][k][1], marks[j][k][1]) >= len({*a} & {*b}) for k in both), (a, b)
+            elif len(a) <= m.LONG and len(b) <= m.LONG and min(len(a), len(b)) > m.TOGETHER:
+                far += 1
+                met += bool(marks[i].keys() & marks[j].keys())
+    assert near > 300 and met < far / 50
+    assert max(map(len, marks)) == 35 + 5  # of 16 words
