@@ -225,7 +225,7 @@ def mention_checks(spark: SparkSession, d: str) -> DataFrame:
     top = words.groupBy("lang", "term").agg(F.count(F.lit(1)).alias("n")).groupBy("lang").agg(F.min_by("term", F.struct(-F.col("n"), "term")).alias("term"))
     place = F.instr(F.lower("text"), F.col("term")) - 1
     start = F.expr("CASE pmod(doc_id, 3) WHEN 0 THEN place WHEN 1 THEN place + 3 ELSE length(text) + 5 END")
-    rows = docs.join(top, "lang").withColumn("place", place).select(F.col("doc_id").alias("id"), "text", F.upper("term").alias("mention"), start.alias("start"), (start + F.length("term")).alias("end"))
+    rows = docs.join(F.broadcast(top), "lang").withColumn("place", place).select(F.col("doc_id").alias("id"), "text", F.upper("term").alias("mention"), start.alias("start"), (start + F.length("term")).alias("end"))
     found = check_mentions(rows)
     return found.select(F.col("id").alias("doc_id"), "verdict", F.coalesce("found_start", F.lit(-1)).alias("found_start"), F.coalesce("found_end", F.lit(-1)).alias("found_end"))
 

@@ -70,3 +70,27 @@ def test_odd_rows(spark):
     got = {(r.id, r.verdict, r.found_start) for r in m.check_mentions(spark.createDataFrame(rows, schema)).collect()}
     assert got == {(None, "out_of_range", None), (2, "out_of_range", None), (3, "moved", 200000), (3, "strict", 0)}
     assert m.check_mentions(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_runs_of_simple_characters_fold_like_single_ones():
+    rng = random.Random(5)
+    odd = [*ALPHABET, *"bZ09 .;'`\r", "  ", "\r\n", "--", "\u200d", "\u0600", "\U0001f1e9\U0001f1ea"]
+    for _ in range(4000):
+        text = "".join(rng.choice(odd) if rng.random() < 0.5 else rng.choice("ab Cd.") for _ in range(rng.randrange(40)))
+        out, at = m.normal_form(text)
+        starts = {x.start() for x in regex.finditer(r"\X", text)}
+        assert out == whole(text) and at.tolist() == sorted(at.tolist()) and set(at[:-1].tolist()) <= starts, text
+        if out:
+            i = rng.randrange(len(out))
+            if wanted := out[i : i + 3].strip():
+                found = out.find(wanted)
+                assert m.first_place(text, wanted) == m.source_span(at, text, found, found + len(wanted))
+        assert m.first_place(text, "qqqq") is None
+
+
+def test_what_comes_after_the_first_place_is_hardly_read(monkeypatch):
+    read, folded = [], m._folded
+    monkeypatch.setattr(m, "_folded", lambda plain: read.append(plain) or folded(plain))
+    text = "é à " * 500 + "the Needlé here " + "é à " * 50000
+    assert m.first_place(text, m.normal_form("needlÉ")[0]) == (2004, 2010)
+    assert len(read) < 20000
