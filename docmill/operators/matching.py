@@ -21,29 +21,40 @@ from docmill.plans.dialects import both
 from docmill.operators.relational import run_statement
 from docmill.sources.tables import lasting, table
 
-#: Vectors of a tile: a task multiplies two tiles of one group.
-TILE = 1024
+#: Vectors of a tile: a task multiplies two tiles of one group, so many rows of the first at a time.
+TILE, AT_ONCE = 4096, 512
+#: Vectors of a group that one step of the pass settles; up to 1000 Spark limits them before it shuffles.
+HEAD = 1000
+#: Near pairs for each vector that are written.
+FEW = 16
+
+
+def _by_size(t: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each length of the vectors their rows in t, and the unit vectors."""
+    found: dict[int, tuple[list, list]] = {}
+    for i, x in enumerate(t.column("embedding").to_pylist()):
+        if x and None not in x:
+            at, rows = found.setdefault(len(x), ([], []))
+            at.append(i)
+            rows.append(x)
+    return {n: (np.array(at), _units(np.array(rows, float))) for n, (at, rows) in found.items()}
 
 
 def _near_in_tiles(threshold: float):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         a, b, s = [], [], []
         if left.num_rows and right.num_rows:
-            sides = []
-            for t in (left, right):
-                by_size: dict[int, tuple[list, list]] = {}
-                for i, x in zip(t.column("id").to_pylist(), t.column("embedding").to_pylist()):
-                    if x and None not in x:
-                        ids, rows = by_size.setdefault(len(x), ([], []))
-                        ids.append(i)
-                        rows.append(x)
-                sides.append({n: (np.array(ids), _units(np.array(rows, float))) for n, (ids, rows) in by_size.items()})
+            ids = [t.column("id").to_numpy() for t in (left, right)]
+            sides = [_by_size(t) for t in (left, right)]
+            one = left.column("lo")[0] == left.column("hi")[0]
             for n in sides[0].keys() & sides[1].keys():
-                (x, u), (y, v) = sides[0][n], sides[1][n]
-                near = np.round(u @ v.T, 6)
-                i, j = np.nonzero(near >= threshold)
-                keep = x[i] < y[j] if left.column("lo")[0] == left.column("hi")[0] else x[i] != y[j]
-                a.append(x[i][keep]), b.append(y[j][keep]), s.append(near[i, j][keep])
+                (x, u), (y, v) = ((i[at], w) for i, (at, w) in zip(ids, (side[n] for side in sides)))
+                for k in range(0, len(x), AT_ONCE):
+                    near = np.round(u[k : k + AT_ONCE] @ v.T, 6)
+                    i, j = np.nonzero(near >= threshold)
+                    p, q = x[k + i], y[j]
+                    keep = p < q if one else p != q
+                    a.append(p[keep]), b.append(q[keep]), s.append(near[i, j][keep])
         whole = lambda parts, t: pa.array(np.concatenate(parts) if parts else np.zeros(0), t)
         return pa.table([whole(a, pa.int64()), whole(b, pa.int64()), whole(s, pa.float64())], names=["a", "b", "similarity"])
 
@@ -82,16 +93,77 @@ def greedy_drops(edges: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, dropped) if dropped else edges.select(F.col("later").alias("id"))
 
 
+def _heads(left: DataFrame, threshold: float) -> DataFrame:
+    """(id, grp, embedding, kept): the pass over the first HEAD of each group of left (id, grp, place, embedding)."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("k")
+        kept = np.ones(t.num_rows, bool)
+        for at, u in _by_size(t).values():
+            near = np.round(u @ u.T, 6) >= threshold
+            for i in range(len(at)):
+                kept[at[i]] = not (near[i, :i] & kept[at[:i]]).any()
+        return t.select(["id", "grp", "embedding"]).append_column("kept", pa.array(kept))
+
+    first = left.withColumn("k", F.row_number().over(W.partitionBy("grp").orderBy("place", "id"))).where(F.col("k") <= HEAD)
+    return first.groupBy("grp").applyInArrow(run, "id long, grp {grp}, embedding {embedding}, kept boolean".format(**dict(left.dtypes)))
+
+
+def _unlike(rest: DataFrame, kept: DataFrame, threshold: float) -> DataFrame:
+    """The rows of rest (id, grp, place, embedding) that none of kept (grp, embedding) of their group is near: rest is dealt into parts of
+    about TILE rows, each of which gets all of its group's kept ones."""
+
+    def run(rows: pa.Table, others: pa.Table) -> pa.Table:
+        free = np.ones(rows.num_rows, bool)
+        if rows.num_rows and others.num_rows:
+            known = _by_size(others)
+            for n, (at, u) in _by_size(rows).items():
+                if n in known:
+                    for k in range(0, len(at), AT_ONCE):
+                        free[at[k : k + AT_ONCE]] = ~(np.round(u[k : k + AT_ONCE] @ known[n][1].T, 6) >= threshold).any(axis=1)
+        return rows.select(["id", "grp", "place", "embedding"]).filter(pa.array(free))
+
+    parts = rest.groupBy(F.col("grp").alias("g")).agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("parts"))
+    same = F.col("grp").eqNullSafe(F.col("g"))
+    rows = rest.join(parts, same).select("id", "grp", "place", "embedding", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
+    others = kept.join(parts, same).select("grp", "embedding", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return rows.groupBy("grp", "part").cogroup(others.groupBy("grp", "part")).applyInArrow(run, "id long, grp {grp}, place {place}, embedding {embedding}".format(**dict(rest.dtypes)))
+
+
 def collapse_near(v: DataFrame, threshold: float = 0.965) -> DataFrame:
     """(id, kept): whether each of v (id, grp, place, embedding) stays when near vectors of its group that come earlier (by place, then
-    id) push it out; a vector that was pushed out pushes nobody."""
+    id) push it out; a vector that was pushed out pushes nobody.
+
+    Where many are near, the pairs grow with the square of a group, so they are not written: what the pass keeps of the first HEAD of
+    each group is final and pushes out what it is near to, then the first HEAD of what is left, and so on. When by what was pushed out
+    few pairs can be left (FEW for each vector), the rest is settled on its pairs. Null, empty and zero vectors stay.
+    """
+    even = F.coalesce(F.forall("embedding", lambda x: x.isNotNull()) & F.exists("embedding", lambda x: x != 0), F.lit(False))
+    left = lasting(v.where(even).select(F.col("id").cast("long").alias("id"), "grp", "place", "embedding"))
+    stay, many = [], not left.isEmpty()
+    while many:
+        heads = lasting(_heads(left, threshold))
+        kept = heads.where("kept")
+        stay.append(kept.select("id"))
+        was, left = left, lasting(_unlike(left.join(heads.select("id"), "id", "left_anti"), kept.select("grp", "embedding"), threshold))
+        sizes = [t.select("grp", *[F.lit(int(k == i)).alias(c) for i, c in enumerate(("was", "heads", "now"))], held.alias("held")) for k, (t, held) in enumerate(((was, F.lit(0)), (heads, F.col("kept").cast("int")), (left, F.lit(0))))]
+        sizes = reduce(DataFrame.unionByName, sizes).groupBy("grp").agg(*[F.sum(c).alias(c) for c in ("was", "heads", "now", "held")]).where("now > 0")
+        n, pairs = sizes.agg(F.coalesce(F.sum("now"), F.lit(0)), F.sum(F.col("now") * F.col("now") / 2 * F.log((F.col("was") - F.col("heads")) / F.col("now")) / F.col("held"))).first()
+        many = n > 0 and pairs > FEW * n
+        if n and not many:
+            stay.append(left.select("id").join(_dropped(left, threshold), "id", "left_anti"))
+    found = reduce(DataFrame.unionByName, stay) if stay else left.select("id")
+    return v.select("id", even.alias("even")).join(found.withColumn("stays", F.lit(True)), "id", "left").select("id", (~F.col("even") | F.col("stays").isNotNull()).alias("kept"))
+
+
+def _dropped(v: DataFrame, threshold: float) -> DataFrame:
+    """(id): what the pass over v (id, grp, place, embedding) pushes out, by all its near pairs."""
     pairs = near_pairs(v.select("id", "grp", "embedding"), threshold)
     at = v.select("id", F.struct("place", "id").alias("at"))
     placed = pairs.join(at.select(F.col("id").alias("a"), F.col("at").alias("x")), "a").join(at.select(F.col("id").alias("b"), F.col("at").alias("y")), "b")
     first = F.col("x") < F.col("y")
     edges = placed.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("earlier"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("later"))
-    gone = greedy_drops(edges).select("id", F.lit(True).alias("gone"))
-    return v.select("id").join(gone, "id", "left").select("id", F.col("gone").isNull().alias("kept"))
+    return greedy_drops(edges)
 
 
 def vector_collapse(spark: SparkSession, d: str) -> DataFrame:

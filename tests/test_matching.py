@@ -209,3 +209,20 @@ def test_marks_of_words_meet_wherever_three_quarters_are_shared_and_seldom_elsew
                 met += bool(marks[i].keys() & marks[j].keys())
     assert near > 300 and met < far / 50
     assert max(map(len, marks)) == 35 + 5  # of 16 words
+
+
+@pytest.mark.parametrize("head,dense", [(8, True), (3, False), (1, False)])
+def test_collapse_in_steps_is_the_pass_without_all_pairs(spark, monkeypatch, head, dense):
+    monkeypatch.setattr(m, "HEAD", head)
+    monkeypatch.setattr(m, "TILE", 16)
+    monkeypatch.setattr(m, "AT_ONCE", 5)
+    monkeypatch.setattr(m, "FEW", -1 if dense else 1)
+    if dense:
+        monkeypatch.setattr(m, "near_pairs", lambda *_: pytest.fail("all near pairs"))
+    rng = np.random.default_rng(head)
+    size = lambda i: 3 if i % 4 else 2
+    rows = [(i, None if i % 3 == 2 else f"g{i % 3}", float(rng.integers(0, 9)), (rng.normal(size=size(i)) + 0.5).tolist()) for i in range(240)]
+    rows += [(300 + i, "g0", 1.0, [1.0, 1.0, 1.0]) for i in range(30)] + [(400 + i, "g0", -1.0, [[0.0], [], None, [1.0, None]][i % 4]) for i in range(20)]
+    threshold = 0.6 if dense else 0.97
+    got = {r.id for r in m.collapse_near(spark.createDataFrame(rows, VECTORS), threshold).where("kept").collect()}
+    assert got == sequential([r for r in rows if r[0] < 400], threshold) | {*range(400, 420)}
